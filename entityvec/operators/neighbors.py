@@ -3,9 +3,11 @@
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityvec.functions.schema import require_columns
@@ -45,8 +47,6 @@ def pca_reduce(df: DataFrame, vector: str, k: int = 32,
 
 
 def _mean_vector(column: str) -> Column:
-    from pyspark.ml.stat import Summarizer
-
     return Summarizer.mean(F.col(column))
 
 
@@ -87,8 +87,6 @@ def knn_exclude_group(df: DataFrame, item: str, entity: str, vector: str | Colum
 
 
 def _rerank(edges: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     by_row = Window.partitionBy("id").orderBy(F.col("_f").desc(), "rank")
     out = edges.withColumn("_new", F.row_number().over(by_row)).filter(F.col("_new") <= k)
     blank = ~F.col("_f")
@@ -146,9 +144,8 @@ def calibrate_bands(scaled: DataFrame, item: str, fraction: float = 0.03, seed:
                     minimum: int = 10_000) -> list[float]:
     """Band edges: percentiles of the ratios of a sample of anchors, in single precision."""
     sample = calibration_sample(scaled, item, fraction, seed, minimum)
-    values = sample.select(F.explode(ratios(sample)).cast("float").alias("ratio"))
-    import numpy as np
-
+    values = sample.select(F.explode(ratios(sample)).alias("r")).select(
+        F.col("r").cast("float").alias("ratio"))
     return [float(np.float32(e)) for e in exact_percentiles(values, "ratio", percents)]
 
 
