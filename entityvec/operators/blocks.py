@@ -28,6 +28,7 @@ from entityvec.functions.scratch import written
 from entityvec.functions.shipping import ship, unpack
 
 METRICS = ("euclidean", "dot")
+MEMBER = ("id", "grp", "vec")
 BATCH_ROWS = 200_000
 
 
@@ -35,12 +36,17 @@ BATCH_ROWS = 200_000
 class Layout:
     """Sizes of the search; they change the speed, never the result."""
 
-    block_rows: int = 512
+    block_rows: int = 2048
+    block_bytes: int = 8 * 1024 * 1024
     cell_rows: int = 2048
     max_cells: int = 4096
     cells: int | None = None
     copies_from: int = 100_000
 
+    def block_rows_for(self, width: int) -> int:
+        """Rows per block: wide vectors get shorter blocks, so a block fits a batch."""
+        return max(16, min(self.block_rows, self.block_bytes // (8 * max(width, 1))))
+
     def cells_for(self, rows: int) -> int:
         wanted = self.cells or math.ceil(rows / self.cell_rows)
         return max(1, min(wanted, self.max_cells, max(rows, 1)))
@@ -188,8 +194,8 @@ def _route(cells, k: int | None, exclude: bool, self_join: bool):
                     bound = _bounds(a, rows.field("grp"), summary, k, exclude, self_join)
                     names = [f.name for f in rows.type]
                     rows = pa.StructArray.from_arrays(
-                        [pa.array(bound) if n == "bound" else rows.field(n) for n in names],
-                        names=names)
+                        [*[rows.field(n) for n in names], pa.array(bound)],
+                        names=[*names, "bound"])
                 wanted = _cell_scores(a, summary)[0] <= bound[:, None]
                 yield from _packs(rows, wanted, summary.blocks, home)
 
@@ -300,7 +306,7 @@ def count_better(a, ga, bound, best_id, b, gb, ids, metric: str) -> np.ndarray:
 
 
 def _struct_of(schema: T.StructType, extra: list[T.StructField]) -> T.StructType:
-    fields = [T.StructField(n, schema[n].dataType) for n in ("id", "grp", "vec")]
+    fields = [T.StructField(n, schema[n].dataType) for n in MEMBER]
     return T.StructType(fields + extra)
 
 
@@ -310,7 +316,9 @@ def _pack(assigned: DataFrame, blocks: np.ndarray, columns: list[str]) -> DataFr
     table = spark.createDataFrame(
         [(i, int(max(n, 1))) for i, n in enumerate(blocks)], "cell int, _blocks int")
     sub = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    # The filter drops nothing; it makes both uses of the blocks plan alike and share a shuffle.
     return (assigned.join(F.broadcast(table), "cell").withColumn("sub", sub)
+            .filter(F.col("sub").isNotNull())
             .groupBy("cell", "sub").agg(F.collect_list(F.struct(*columns)).alias("rows")))
 
 
@@ -354,7 +362,7 @@ def _summarise(assigned: DataFrame, pivots: np.ndarray, groups, metric: str,
         i = r["cell"]
         rows[i], top[i], lo[i], hi[i] = r["n"], r["g"], r["lo"], r["hi"]
     return CellSummary(metric, pivots, groups, rows, top, lo, hi,
-                       np.ceil(rows / layout.block_rows).astype(np.int64))
+                       np.ceil(rows / layout.block_rows_for(pivots.shape[1])).astype(np.int64))
 
 
 class BlockSearch:
@@ -384,20 +392,21 @@ class BlockSearch:
         self.assigned = written(self.assign(self.corpus), "cells")
         self.summary = _summarise(self.assigned, self.pivots, groups, metric, self.layout)
         self._cells = ship(self.spark, self.summary)
+        # One plan for both sides of a self-join, so its shuffle is done once.
+        self._blocks = _pack(self.assigned, self.summary.blocks, list(MEMBER))
 
     def assign(self, rows: DataFrame) -> DataFrame:
         schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()),
                                T.StructField("radius", T.DoubleType())])
         return rows.mapInArrow(_assign(self._centres), schema)
 
-    def _meet(self, packs: DataFrame, candidates: DataFrame, k: int | None, exclude: bool,
+    def _meet(self, packs: DataFrame, blocks: DataFrame, k: int | None, exclude: bool,
               self_join: bool, member: T.StructType) -> DataFrame:
         routed_schema = T.StructType([
             T.StructField("cell", T.IntegerType()), T.StructField("sub", T.IntegerType()),
             T.StructField("home", T.BooleanType()),
             T.StructField("pack", T.ArrayType(member))])
         routed = packs.mapInArrow(_route(self._cells, k, exclude, self_join), routed_schema)
-        blocks = _pack(candidates, self.summary.blocks, ["id", "grp", "vec"])
         # Sort-merge: rows are megabytes, sizes are unknown to the planner, and adaptive
         # execution can split a block that very many packs are sent to.
         return routed.hint("merge").join(blocks, ["cell", "sub"], "left")
@@ -406,8 +415,9 @@ class BlockSearch:
         placed = written(self.assign(queries), "queries")
         counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
         blocks = np.zeros(len(self.pivots), np.int64)
+        length = self.layout.block_rows_for(self.pivots.shape[1])
         for r in counts:
-            blocks[r["cell"]] = math.ceil(r["n"] / self.layout.block_rows)
+            blocks[r["cell"]] = math.ceil(r["n"] / length)
         return _pack(placed, blocks, columns)
 
     def nearest(self, k: int, queries: DataFrame | None = None,
@@ -419,18 +429,15 @@ class BlockSearch:
             raise ValueError("k must be positive")
         self_join = queries is None
         schema = self.corpus.schema if self_join else queries.select("id", "grp", "vec").schema
-        blank = F.lit(float("inf")).alias("bound")
-        if self_join:
-            packs = _pack(self.assigned.select("*", blank), self.summary.blocks,
-                          ["id", "grp", "vec", "bound"])
-        else:
-            packs = self._query_packs(queries.select("id", "grp", "vec", blank),
-                                      ["id", "grp", "vec", "bound"])
-        candidates = self.assigned
+        packs = blocks = self._blocks
+        if not self_join:
+            packs = self._query_packs(queries.select("id", "grp", "vec"), list(MEMBER))
         if self.size > self.layout.copies_from:
-            candidates = _without_surplus_copies(candidates, k, exclude_group)
+            fewer = _without_surplus_copies(self.assigned, k, exclude_group)
+            if fewer is not self.assigned:
+                blocks = _pack(fewer, self.summary.blocks, list(MEMBER))
         member = _struct_of(schema, [T.StructField("bound", T.DoubleType())])
-        joined = self._meet(packs, candidates, k, exclude_group, self_join, member)
+        joined = self._meet(packs, blocks, k, exclude_group, self_join, member)
         own, other = schema, self.corpus.schema
         edge_schema = T.StructType([
             T.StructField("id", own["id"].dataType), T.StructField("grp", own["grp"].dataType),
@@ -454,7 +461,7 @@ class BlockSearch:
         member = _struct_of(queries.schema, [
             T.StructField("bound", T.DoubleType()),
             T.StructField("best_id", queries.schema["best_id"].dataType)])
-        joined = self._meet(packs, self.assigned, None, True, False, member)
+        joined = self._meet(packs, self._blocks, None, True, False, member)
         out = T.StructType([T.StructField("id", queries.schema["id"].dataType),
                             T.StructField("n", T.LongType())])
         return (joined.select("pack", "rows").mapInArrow(_better(self.metric), out)

@@ -4,6 +4,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entityvec.functions import ids
 from entityvec.functions.schema import require_columns
@@ -59,30 +60,44 @@ def sampling_stats(df: DataFrame, entity: str) -> DataFrame:
 
 
 def distinct_id_summary(df: DataFrame, shard: Column | None = None) -> DataFrame:
-    """Distinct datasets, targets, patches, entities and images in one pass.
+    """Distinct datasets, targets, patches, entities and images.
 
-    Each row is turned into (kind, id) pairs; equal pairs already collapse before the
-    shuffle. Composed and stored entity and image ids form one set each.
+    Pairs of numbers are made distinct first; what is left is counted, and composed into
+    text only where a stored id column has to be merged in.
     """
     df = ids.with_known_spellings(df)
     if "dataset_id" in df.columns:
-        dataset = ids.to_whole_number(F.col("dataset_id"))
+        dataset = _number(df, "dataset_id")
     elif shard is not None:
         dataset = ids.shard_id(shard)
     else:
         dataset = ids.shard_id(F.col("_metadata.file_name"))
-    target = ids.to_whole_number(F.col("target_id"))
-    patch = ids.to_whole_number(F.col("patch_id"))
-    found = [("dataset_id", dataset), ("target_id", target), ("patch_id", patch),
-             ("building_id", ids.composite_id(dataset, target)),
-             ("streetview_image_id", ids.composite_id(dataset, patch))]
-    found += [(n, F.col(n)) for n in ("building_id", "streetview_image_id") if n in df.columns]
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("id"))
-                      for k, c in found])
-    seen = (df.select(F.explode(pairs).alias("p")).select("p.kind", "p.id")
-            .filter(F.col("id").isNotNull()).distinct())
-    kinds = ["dataset_id", "target_id", "patch_id", "building_id", "streetview_image_id"]
-    return seen.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    out = None
+    for part, composed in (("target_id", "building_id"), ("patch_id", "streetview_image_id")):
+        pairs = df.select(dataset.alias("dataset_id"), _number(df, part).alias(part)).distinct()
+        both = F.when(F.col("dataset_id").isNotNull() & F.col(part).isNotNull(), 1)
+        single = [F.count_distinct(part).alias(part)]
+        if part == "target_id":
+            single.insert(0, F.count_distinct("dataset_id").alias("dataset_id"))
+        if composed in df.columns:
+            names = (pairs.select(ids.composite_id(F.col("dataset_id"), F.col(part)).alias("id"))
+                     .unionByName(df.select(F.col(composed).cast("string").alias("id")).distinct())
+                     .filter(F.col("id").isNotNull()).distinct())
+            counted = pairs.agg(*single).join(
+                names.agg(F.count(F.lit(1)).alias(composed)).withColumn("_k", F.lit(1)),
+                F.col("_k") == 1).drop("_k")
+        else:
+            counted = pairs.agg(*single, F.count(both).alias(composed))
+        counted = counted.withColumn("_one", F.lit(1))
+        out = counted if out is None else out.join(counted, "_one")
+    return out.select("dataset_id", "target_id", "patch_id", "building_id", "streetview_image_id")
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """Whole number of a column; no text round trip where it is one already."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return F.col(column).cast("bigint")
+    return ids.to_whole_number(F.col(column))
 
 
 def split_report(rows: DataFrame, entity: str, split: str = "split") -> DataFrame:

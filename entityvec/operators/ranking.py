@@ -26,12 +26,14 @@ class Cut:
 
     digest: str | None
     key: Any = None
+    key_type: T.DataType | None = None
 
     def covers(self, seed: int, key: Column) -> Column:
         if self.digest is None:
             return F.lit(True)
-        h = keyed_hash(seed, key)
-        return (h < self.digest) | ((h == self.digest) & (key < F.lit(self.key)))
+        # One comparison of pairs, so that the hash is computed once per row.
+        return F.struct(keyed_hash(seed, key), key) < F.struct(
+            F.lit(self.digest), F.lit(self.key).cast(self.key_type))
 
 
 def hash_cuts(keys: DataFrame, key: str, seed: int,
@@ -63,7 +65,8 @@ def hash_cuts(keys: DataFrame, key: str, seed: int,
         rows = (keys.select(key, keyed_hash(seed, key).alias("h"), prefix.alias("p"))
                 .filter(F.col("p").isin(sorted({p for p, _ in place.values()})))
                 .withColumn("rn", F.row_number().over(within)).filter(hit).collect())
-        found = {(r["p"], r["rn"] - 1): Cut(r["h"], r[key]) for r in rows}
+        found = {(r["p"], r["rn"] - 1): Cut(r["h"], r[key], keys.schema[key].dataType)
+                 for r in rows}
     return total, [found[place[r]] if r in place else Cut(None) for r in wanted]
 
 
@@ -126,7 +129,7 @@ def rank_in_group(df: DataFrame, group: str, key: str, seed: int, name: str = "r
 
 
 def exact_percentiles(df: DataFrame, value: str, percents: Sequence[float],
-                      buckets: int = 256, small: int = 200_000) -> list[float]:
+                      buckets: int = 256, small: int = 1_000_000) -> list[float]:
     """Linearly interpolated percentiles, exact at any size.
 
     Equal values are counted together, split points come from a bounded quantile sketch,

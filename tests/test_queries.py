@@ -1,0 +1,26 @@
+"""Every registered query against its SQL on the smallest tables."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as registry
+from oracle import compare
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
+def test_matches_sql(spark, name):
+    rows, difference = compare(spark, SF_DIR, registry.queries()[name], registry.oracle_sql()[name])
+    assert difference is None
+    assert rows > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_gives_rows(spark, name):
+    assert registry.queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_entry(spark):
+    assert registry.entry(spark).count() == 4
