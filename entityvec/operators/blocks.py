@@ -15,10 +15,12 @@ do not depend on P, the block size or the partitioning; ties go to the smaller i
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from entityvec.functions.shipping import ship, unpack
 
 METRICS = ("euclidean", "dot")
 MEMBER = ("id", "grp", "vec")
-BATCH_ROWS = 200_000
+BATCH_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -38,8 +40,9 @@ class Layout:
 
     block_rows: int = 2048
     block_bytes: int = 8 * 1024 * 1024
-    cell_rows: int = 2048
+    cell_rows: int = 1024
     max_cells: int = 4096
+    pivot_bytes: int = 64 * 1024 * 1024
     cells: int | None = None
     copies_from: int = 100_000
 
@@ -47,9 +50,11 @@ class Layout:
         """Rows per block: wide vectors get shorter blocks, so a block fits a batch."""
         return max(16, min(self.block_rows, self.block_bytes // (8 * max(width, 1))))
 
-    def cells_for(self, rows: int) -> int:
+    def cells_for(self, rows: int, width: int) -> int:
+        """Number of pivots; they go through the driver, so their total size is bounded."""
         wanted = self.cells or math.ceil(rows / self.cell_rows)
-        return max(1, min(wanted, self.max_cells, max(rows, 1)))
+        fits = max(1, self.pivot_bytes // (8 * max(width, 1)))
+        return max(1, min(wanted, self.max_cells, fits, max(rows, 1)))
 
 
 @dataclass(frozen=True)
@@ -103,20 +108,38 @@ def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def raw_scores(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """Scores that sort alike without the root (squared distances), and their error bound."""
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b))), 0.0
+    size = float((a * a).sum(1).max() + (b * b).sum(1).max())
+    return (-(a @ b.T) if metric == "dot" else squared_distances(a, b)), 1e-12 * size
+
+
+def raw_limit(score: np.ndarray, metric: str) -> np.ndarray:
+    return np.array(score, np.float64) if metric == "dot" else np.square(score, dtype=np.float64)
+
+
+def group_codes(a, b) -> tuple[np.ndarray, np.ndarray]:
+    """Comparable codes of two group columns; a null group is NaN and equals nothing."""
+    both = pa.concat_arrays([a, b]).dictionary_encode().indices
+    codes = both.to_numpy(zero_copy_only=False).astype(np.float64)
+    return codes[: len(a)], codes[len(a):]
+
+
 def same_group(a, b) -> np.ndarray:
-    """Matrix of equal groups; a null group equals nothing."""
-    both = pa.concat_arrays([a, b]) if isinstance(a, pa.Array) else pa.array(np.concatenate([a, b]))
-    codes = both.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.float64)
-    return codes[: len(a), None] == codes[None, len(a):]
+    """Matrix of equal groups."""
+    x, y = group_codes(a, b)
+    return x[:, None] == y[None, :]
 
 
-def _flat(column, row: int) -> pa.StructArray:
+def flat_row(column, row: int) -> pa.StructArray:
     """Struct array held by one row of a list column."""
     values = column[row].values
     return values if values is not None else pa.array([], column.type.value_type)
 
 
-def _chunk(column):
+def as_list(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
@@ -182,9 +205,9 @@ def _route(cells, k: int | None, exclude: bool, self_join: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary: CellSummary = unpack(cells)
         for batch in batches:
-            members = _chunk(batch.column("rows"))
+            members = as_list(batch.column("rows"))
             for i in range(batch.num_rows):
-                rows = _flat(members, i)
+                rows = flat_row(members, i)
                 home = (batch.column("cell")[i].as_py(),
                         batch.column("sub")[i].as_py() if self_join else 0)
                 a = as_matrix(rows.field("vec"))
@@ -197,12 +220,15 @@ def _route(cells, k: int | None, exclude: bool, self_join: bool):
                         [*[rows.field(n) for n in names], pa.array(bound)],
                         names=[*names, "bound"])
                 wanted = _cell_scores(a, summary)[0] <= bound[:, None]
-                yield from _packs(rows, wanted, summary.blocks, home)
+                room = max(1, BATCH_BYTES // (8 * a.shape[1]))
+                yield from _packs(rows, wanted, summary.blocks, home, room)
 
     return run
 
 
-def _packs(rows, wanted: np.ndarray, blocks: np.ndarray, home) -> Iterator[pa.RecordBatch]:
+def _packs(rows, wanted: np.ndarray, blocks: np.ndarray, home,
+           room: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``room`` packed rows."""
     pending, size = [], 0
     everyone = np.arange(len(rows))
     targets = [(home[0], home[1], True, everyone)]
@@ -213,7 +239,7 @@ def _packs(rows, wanted: np.ndarray, blocks: np.ndarray, home) -> Iterator[pa.Re
     for target in targets:
         pending.append(target)
         size += len(target[3])
-        if size >= BATCH_ROWS // 8:
+        if size >= room:
             yield _pack_batch(rows, pending)
             pending, size = [], 0
     if pending:
@@ -234,9 +260,9 @@ def _nearest(metric: str, k: int, exclude: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packs, blocks = _chunk(batch.column("pack")), _chunk(batch.column("rows"))
+            packs, blocks = as_list(batch.column("pack")), as_list(batch.column("rows"))
             for i in range(batch.num_rows):
-                q, c = _flat(packs, i), _flat(blocks, i)
+                q, c = flat_row(packs, i), flat_row(blocks, i)
                 found = _best_pairs(q, c, metric, k, exclude)
                 if batch.column("home")[i].as_py():
                     # One empty edge per row keeps rows that find no neighbour at all.
@@ -249,16 +275,36 @@ def _nearest(metric: str, k: int, exclude: bool):
 
 
 def _best_pairs(q, c, metric: str, k: int, exclude: bool):
+    """(rows of q, rows of c, scores): at most k best candidates per row, and ties of the last."""
     if not len(c) or not len(q):
         return None
     a, b = as_matrix(q.field("vec")), as_matrix(c.field("vec"))
-    s, slack = scores(a, b, metric)
+    s, error = raw_scores(a, b, metric)
+    limit = raw_limit(q.field("bound").to_numpy(zero_copy_only=False), metric) + error
+    hit = s <= limit[:, None]
+    # The bound leaves few candidates as a rule; where it does not, the block's own k-th does.
+    loose = np.nonzero(hit.sum(1) > 4 * k + 64)[0]
+    if len(loose):
+        part = s[loose]
+        if exclude:
+            part[same_group(q.field("grp").take(pa.array(loose)), c.field("grp"))] = np.inf
+        hit[loose] = (part <= (_kth(part, k) + 2 * error)[:, None]) & np.isfinite(part) & hit[loose]
+    r, j = np.nonzero(hit)
     if exclude:
-        s[same_group(q.field("grp"), c.field("grp"))] = np.inf
-    limit = q.field("bound").to_numpy(zero_copy_only=False).astype(np.float64) + slack
-    limit = np.minimum(limit, _kth(s, k) + slack)
-    r, j = np.nonzero((s <= limit[:, None]) & np.isfinite(s))
-    return r, j, pair_scores(a[r], b[j], metric)
+        mine, other = group_codes(q.field("grp"), c.field("grp"))
+        foreign = mine[r] != other[j]
+        r, j = r[foreign], j[foreign]
+    return _first_k(r, j, pair_scores(a[r], b[j], metric), k)
+
+
+def _first_k(r: np.ndarray, j: np.ndarray, score: np.ndarray, k: int):
+    """Per row the k lowest scores, and all that equal the last of them."""
+    order = np.lexsort((score, r))
+    r, j, score = r[order], j[order], score[order]
+    start = np.searchsorted(r, r)
+    last = np.minimum(start + k - 1, len(r) - 1)
+    keep = (np.arange(len(r)) - start < k) | (score <= score[last])
+    return r[keep], j[keep], score[keep]
 
 
 def _edges(q, r, c, j, score) -> pa.RecordBatch:
@@ -274,11 +320,11 @@ def _better(metric: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packs, blocks = _chunk(batch.column("pack")), _chunk(batch.column("rows"))
+            packs, blocks = as_list(batch.column("pack")), as_list(batch.column("rows"))
             for i in range(batch.num_rows):
-                q, c = _flat(packs, i), _flat(blocks, i)
+                q, c = flat_row(packs, i), flat_row(blocks, i)
                 n = count_better(
-                    as_matrix(q.field("vec")), q.field("grp"),
+                    q.field("id"), as_matrix(q.field("vec")), q.field("grp"),
                     q.field("bound").to_numpy(zero_copy_only=False), q.field("best_id"),
                     as_matrix(c.field("vec")), c.field("grp"), c.field("id"), metric)
                 yield pa.RecordBatch.from_arrays([q.field("id"), pa.array(n)], names=["id", "n"])
@@ -286,25 +332,43 @@ def _better(metric: str):
     return run
 
 
-def count_better(a, ga, bound, best_id, b, gb, ids, metric: str) -> np.ndarray:
-    """Rows of other groups that score below the bound, or equal it with a smaller id."""
+def count_better(q_ids, a, ga, bound, best_id, b, gb, ids, metric: str) -> np.ndarray:
+    """Rows of other groups that score below the bound, or equal it with a smaller id.
+
+    The bound is the best score of the own group, so of that group only the query itself can
+    lie below it.
+    """
     if not len(b) or not len(a):
         return np.zeros(len(a), np.int64)
-    s, slack = scores(a, b, metric)
-    s[same_group(ga, gb)] = np.inf
+    s, error = raw_scores(a, b, metric)
     bound = np.asarray(bound, np.float64)
-    n = (s < (bound - slack)[:, None]).sum(1).astype(np.int64)
-    r, j = np.nonzero(np.abs(s - bound[:, None]) <= slack)
+    limit = raw_limit(bound, metric)
+    sure = s < (limit - 2 * error)[:, None]
+    n = sure.sum(1).astype(np.int64)
+    self_at = pc.index_in(q_ids, value_set=ids)
+    here = np.nonzero(self_at.is_valid().to_numpy(zero_copy_only=False))[0]
+    n[here] -= sure[here, self_at.take(pa.array(here)).to_numpy(zero_copy_only=False)]
+    r, j = np.nonzero(np.abs(s - limit[:, None]) <= 2 * error)
+    mine, other = group_codes(ga, gb)
+    foreign = mine[r] != other[j]
+    r, j = r[foreign], j[foreign]
     if len(r):
         exact = pair_scores(a[r], b[j], metric)
         wins = exact < bound[r]
-        tie = np.nonzero(exact == bound[r])[0]
-        for t in tie:
-            wins[t] = ids[int(j[t])].as_py() < best_id[int(r[t])].as_py()
+        tie = exact == bound[r]
+        if tie.any():
+            mine, other = common_order(ids, best_id)
+            wins[tie] = mine[j[tie]] < other[r[tie]]
         np.add.at(n, r[wins], 1)
     return n
 
 
+def common_order(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of both arrays' values in their common order, equal values alike."""
+    place = pc.rank(pa.concat_arrays([a, b]), tiebreaker="dense").to_numpy()
+    return place[:len(a)], place[len(a):]
+
+
 def _struct_of(schema: T.StructType, extra: list[T.StructField]) -> T.StructType:
     fields = [T.StructField(n, schema[n].dataType) for n in MEMBER]
     return T.StructType(fields + extra)
@@ -379,15 +443,16 @@ class BlockSearch:
         self.size = self.corpus.select("id").count()
         if not self.size:
             raise ValueError("no vectors to search")
-        # At most max_cells vectors come to the driver.
+        width = self.corpus.select(F.size("vec")).first()[0]
         sample = (self.corpus.orderBy(keyed_hash(0, "id"), "id")
-                  .limit(self.layout.cells_for(self.size)).collect())
+                  .limit(self.layout.cells_for(self.size, width)).collect())
         pivots = np.array([r["vec"] for r in sample], dtype=np.float64)
         _, keep = np.unique(pivots, axis=0, return_index=True)
         keep.sort()
         self.pivots = pivots[keep]
         groups = np.empty(len(keep), dtype=object)
         groups[:] = [sample[i]["grp"] for i in keep]
+        self.block_rows = self.layout.block_rows_for(width)
         self._centres = ship(self.spark, self.pivots)
         self.assigned = written(self.assign(self.corpus), "cells")
         self.summary = _summarise(self.assigned, self.pivots, groups, metric, self.layout)
@@ -400,25 +465,28 @@ class BlockSearch:
                                T.StructField("radius", T.DoubleType())])
         return rows.mapInArrow(_assign(self._centres), schema)
 
-    def _meet(self, packs: DataFrame, blocks: DataFrame, k: int | None, exclude: bool,
-              self_join: bool, member: T.StructType) -> DataFrame:
+    def _meet(self, packs: DataFrame, blocks: DataFrame, cells: Broadcast, k: int | None,
+              exclude: bool, self_join: bool, member: T.StructType) -> DataFrame:
         routed_schema = T.StructType([
             T.StructField("cell", T.IntegerType()), T.StructField("sub", T.IntegerType()),
             T.StructField("home", T.BooleanType()),
             T.StructField("pack", T.ArrayType(member))])
-        routed = packs.mapInArrow(_route(self._cells, k, exclude, self_join), routed_schema)
+        routed = packs.mapInArrow(_route(cells, k, exclude, self_join), routed_schema)
         # Sort-merge: rows are megabytes, sizes are unknown to the planner, and adaptive
         # execution can split a block that very many packs are sent to.
         return routed.hint("merge").join(blocks, ["cell", "sub"], "left")
 
     def _query_packs(self, queries: DataFrame, columns: list[str]) -> DataFrame:
         placed = written(self.assign(queries), "queries")
-        counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        return _pack(placed, self._block_counts(placed), columns)
+
+    def _block_counts(self, placed: DataFrame) -> np.ndarray:
+        """Blocks needed per cell."""
         blocks = np.zeros(len(self.pivots), np.int64)
         length = self.layout.block_rows_for(self.pivots.shape[1])
-        for r in counts:
+        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
             blocks[r["cell"]] = math.ceil(r["n"] / length)
-        return _pack(placed, blocks, columns)
+        return blocks
 
     def nearest(self, k: int, queries: DataFrame | None = None,
                 exclude_group: bool = False) -> DataFrame:
@@ -431,13 +499,18 @@ class BlockSearch:
         schema = self.corpus.schema if self_join else queries.select("id", "grp", "vec").schema
         packs = blocks = self._blocks
         if not self_join:
-            packs = self._query_packs(queries.select("id", "grp", "vec"), list(MEMBER))
+            packs = self._query_packs(queries.select(*MEMBER), list(MEMBER))
+        cells = self._cells
         if self.size > self.layout.copies_from:
             fewer = _without_surplus_copies(self.assigned, k, exclude_group)
             if fewer is not self.assigned:
-                blocks = _pack(fewer, self.summary.blocks, list(MEMBER))
+                # Fewer candidates need fewer blocks; every block saved is a pack not sent.
+                fewer = written(fewer, "candidates")
+                counts = self._block_counts(fewer)
+                blocks = _pack(fewer, counts, list(MEMBER))
+                cells = ship(self.spark, replace(self.summary, blocks=counts))
         member = _struct_of(schema, [T.StructField("bound", T.DoubleType())])
-        joined = self._meet(packs, blocks, k, exclude_group, self_join, member)
+        joined = self._meet(packs, blocks, cells, k, exclude_group, self_join, member)
         own, other = schema, self.corpus.schema
         edge_schema = T.StructType([
             T.StructField("id", own["id"].dataType), T.StructField("grp", own["grp"].dataType),
@@ -461,7 +534,7 @@ class BlockSearch:
         member = _struct_of(queries.schema, [
             T.StructField("bound", T.DoubleType()),
             T.StructField("best_id", queries.schema["best_id"].dataType)])
-        joined = self._meet(packs, self._blocks, None, True, False, member)
+        joined = self._meet(packs, self._blocks, self._cells, None, True, False, member)
         out = T.StructType([T.StructField("id", queries.schema["id"].dataType),
                             T.StructField("n", T.LongType())])
         return (joined.select("pack", "rows").mapInArrow(_better(self.metric), out)

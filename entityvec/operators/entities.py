@@ -83,9 +83,9 @@ def distinct_id_summary(df: DataFrame, shard: Column | None = None) -> DataFrame
             names = (pairs.select(ids.composite_id(F.col("dataset_id"), F.col(part)).alias("id"))
                      .unionByName(df.select(F.col(composed).cast("string").alias("id")).distinct())
                      .filter(F.col("id").isNotNull()).distinct())
-            counted = pairs.agg(*single).join(
-                names.agg(F.count(F.lit(1)).alias(composed)).withColumn("_k", F.lit(1)),
-                F.col("_k") == 1).drop("_k")
+            counted = pairs.agg(*single).withColumn("_one", F.lit(1)).join(
+                names.agg(F.count(F.lit(1)).alias(composed)).withColumn("_one", F.lit(1)),
+                "_one").drop("_one")
         else:
             counted = pairs.agg(*single, F.count(both).alias(composed))
         counted = counted.withColumn("_one", F.lit(1))

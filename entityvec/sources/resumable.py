@@ -22,6 +22,7 @@ LEDGER = ("run_id string, input_path string, model_id string, filter_valid boole
           "chunk string, rows bigint, status string")
 # States after which a chunk is not tried again.
 FINAL_STATES = ("done", "empty", "failed")
+BROADCAST_CHUNKS = 1_000_000
 IDENTITY = ("input_path", "model_id", "filter_valid")
 
 
@@ -53,8 +54,15 @@ def final_chunks(ledger: DataFrame) -> DataFrame:
 
 
 def pending_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of chunks that have no final state; also of chunks never seen."""
-    return rows.join(final_chunks(ledger), "chunk", "left_anti")
+    """Rows of chunks that have no final state; also of chunks never seen.
+
+    The chunk names are sent to the rows while there are at most BROADCAST_CHUNKS of them,
+    because the rows carry payloads; beyond that both sides are shuffled.
+    """
+    final = final_chunks(ledger)
+    if final.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS:
+        final = F.broadcast(final)
+    return rows.join(final, "chunk", "left_anti")
 
 
 def chunk_states(attempts: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def test_pruning_leaves_far_cells_alone(spark):
     from pyspark.sql import types as T
     from entityvec.operators.blocks import _struct_of
     member = _struct_of(search.corpus.schema, [T.StructField("bound", T.DoubleType())])
-    met = search._meet(search._blocks, search._blocks, 5, True, True, member)
+    met = search._meet(search._blocks, search._blocks, search._cells, 5, True, True, member)
     sent = met.filter("not home").agg(F.sum(F.size("pack"))).first()[0]
     # Five clusters far apart: a row meets about a fifth of the blocks at most.
     assert sent < 600 * search.summary.blocks.sum() * 0.3
