@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityvec.functions.ids import compose_ids, enrich_identifiers
+from entityvec.functions.joins import sent_if_small
 from entityvec.functions.schema import require_columns
 from entityvec.operators.entities import entity_counts
 from entityvec.operators.splits import split_of
@@ -24,7 +25,8 @@ def entity_split(df: DataFrame, entity: str = "building_id", seed: int = 42,
         df = compose_ids(df)
     counts = entity_counts(df, entity)
     split = split_of(counts.filter("n > 1").select(entity), entity, seed, train, val, test)
-    rows = df.join(counts.filter("n = 1").select(entity), entity, "left_anti")
+    single = sent_if_small(counts.filter("n = 1").select(entity))
+    rows = df.join(single, entity, "left_anti")
     kept = [c for c in df.columns if c not in HELPER_COLUMNS]
     return rows.select(*kept, split.alias("split"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from entityvec.functions.joins import sent_if_small
 from entityvec.operators.inference import VectorFn, pool_output
 from entityvec.sources.tables import usable_payloads
 
@@ -22,7 +23,6 @@ LEDGER = ("run_id string, input_path string, model_id string, filter_valid boole
           "chunk string, rows bigint, status string")
 # States after which a chunk is not tried again.
 FINAL_STATES = ("done", "empty", "failed")
-BROADCAST_CHUNKS = 1_000_000
 IDENTITY = ("input_path", "model_id", "filter_valid")
 
 
@@ -56,13 +56,9 @@ def final_chunks(ledger: DataFrame) -> DataFrame:
 def pending_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of chunks that have no final state; also of chunks never seen.
 
-    The chunk names are sent to the rows while there are at most BROADCAST_CHUNKS of them,
-    because the rows carry payloads; beyond that both sides are shuffled.
+    The rows carry payloads, so the chunk names go to the rows while they are few enough.
     """
-    final = final_chunks(ledger)
-    if final.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS:
-        final = F.broadcast(final)
-    return rows.join(final, "chunk", "left_anti")
+    return rows.join(sent_if_small(final_chunks(ledger)), "chunk", "left_anti")
 
 
 def chunk_states(attempts: DataFrame, chunks: DataFrame) -> DataFrame:
