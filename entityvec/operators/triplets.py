@@ -17,7 +17,7 @@ from entityvec.operators.entities import valid_entities
 from entityvec.operators.ranking import dense_rank_by_hash, rank_in_group
 
 FALLBACK_BAND = -1
-MAX_BANDS = 10_000
+MAX_BANDS = 1000
 
 
 @dataclass(frozen=True)
@@ -94,11 +94,11 @@ def select_band(bands: Column, state: dict[int, tuple[int, float]], key: Column,
     known = {b: s / n + exploration * math.sqrt(math.log(total) / n) if n else math.inf
              for b, (n, s) in state.items()}
 
+    table = F.create_map(*[F.lit(x) for b, v in known.items() for x in (b, float(v))]) \
+        .cast("map<bigint,double>")
+
     def bound(b: Column) -> Column:
-        out = F.lit(math.inf)
-        for band, value in known.items():
-            out = F.when(b == F.lit(band), F.lit(float(value))).otherwise(out)
-        return out
+        return F.coalesce(F.try_element_at(table, b.cast("bigint")), F.lit(math.inf))
 
     ranked = F.transform(bands, lambda b, i: F.struct(
         bound(b).alias("u"), (-i).alias("first"), b.alias("band")))

@@ -5,6 +5,7 @@ archive does not have to be unpacked or read by one task. Paths must be reachabl
 the file system of every executor.
 """
 
+import math
 import tarfile
 from collections.abc import Iterable, Iterator
 
@@ -12,9 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entityvec.functions.scratch import written
+
 MEMBERS = ("path string, tar_file string, dir string, stem string, ext string, "
            "offset bigint, size bigint")
 TARGET_BYTES = 64 * 1024 * 1024
+MAX_TASKS = 100_000
 
 
 def _split_name(name: str) -> tuple[str, str, str]:
@@ -45,7 +49,7 @@ def list_archive_members(spark: SparkSession, paths: Iterable[str]) -> DataFrame
     """One row per file in the (uncompressed) archives."""
     names = spark.createDataFrame([(p,) for p in paths], "path string")
     count = max(1, names.count())
-    return names.repartition(min(count, 10_000), "path").mapInPandas(_list, MEMBERS)
+    return names.repartition(min(count, 10_000)).mapInPandas(_list, MEMBERS)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,20 +73,21 @@ def _frame(rows) -> pd.DataFrame:
 
 
 def read_archives(spark: SparkSession, paths: Iterable[str],
-                  suffixes: Iterable[str] | None = None,
-                  partitions: int | None = None) -> DataFrame:
+                  suffixes: Iterable[str] | None = None) -> DataFrame:
     """``tar_file, dir, stem, ext, content`` of the members, optionally of some suffixes.
 
-    Members are grouped by (archive, 64 MB range) so that reads stay sequential.
+    Members are grouped by (archive, 64 MB range) so that reads stay sequential. The number
+    of tasks follows the bytes behind the members, which a shuffle cannot see.
     """
     members = list_archive_members(spark, paths)
     if suffixes is not None:
         members = members.filter(F.col("ext").isin(list(suffixes)))
-    span = F.floor(F.col("offset") / TARGET_BYTES)
-    spread = (members.repartition(partitions, "path", span) if partitions
-              else members.repartition("path", span))
-    return spread.mapInPandas(
-        _read, "tar_file string, dir string, stem string, ext string, content binary")
+    members = written(members, "members")
+    total = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = min(max(math.ceil(total / TARGET_BYTES), spark.sparkContext.defaultParallelism),
+                MAX_TASKS)
+    return (members.repartition(tasks, "path", F.floor(F.col("offset") / TARGET_BYTES))
+            .mapInPandas(_read, "tar_file string, dir string, stem string, ext string, content binary"))
 
 
 def metadata_texts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityvec.functions.joins import sent_if_small
+from entityvec.functions.scratch import written
 from entityvec.operators.inference import VectorFn, pool_output
 from entityvec.sources.tables import usable_payloads
 
@@ -169,10 +170,11 @@ def _within_limit(chunks: DataFrame, usable: DataFrame, ledger: DataFrame,
         F.coalesce(F.sum(F.when(F.col("status") == "done", F.col("rows"))), F.lit(0)),
         F.coalesce(F.max(F.when(F.col("status") == "cut", F.col("rows"))), F.lit(0))).first()
     room = max(limit - done, 0) if done + cut < limit else 0
+    sizes = written(usable.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "chunk-sizes")
+    if sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= room:
+        return chunks, None
     # A chunk with rows holds at least one, so no more than ``room`` of them can matter.
-    sizes = (usable.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy("chunk").limit(room + 1))
-    summed = sizes.withColumn("_sum", F.sum("n").over(
+    summed = sizes.orderBy("chunk").limit(room + 1).withColumn("_sum", F.sum("n").over(
         Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)))
     crossing = (summed.filter((F.col("_sum") > room) & (F.col("_sum") - F.col("n") < room))
                 .select("chunk", (room - F.col("_sum") + F.col("n")).alias("m")).collect())

@@ -68,12 +68,16 @@ def write_shards(df: DataFrame, path: str, shard: str = "dataset_id",
                  mode: str = "errorifexists") -> None:
     """One folder per shard; a shard without rows writes nothing.
 
-    Tasks write what they hold, so a big shard gets several files and no extra shuffle.
+    Rows are rebalanced by shard: small shards get one file, adaptive execution gives a big
+    one several writers.
     """
-    df.write.mode(mode).partitionBy(shard).parquet(path)
+    df.hint("rebalance", shard).write.mode(mode).partitionBy(shard).parquet(path)
 
 
 def write_splits(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows of the splits without helper columns, one folder per split."""
+    """Rows of the splits without helper columns, one folder per split.
+
+    Every task writes its own part of each of the few splits, so the wide rows do not move.
+    """
     kept = [c for c in rows.columns if c not in ("tar_file", "image_path")]
     rows.select(*kept).write.mode(mode).partitionBy("split").parquet(path)

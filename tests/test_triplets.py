@@ -88,6 +88,7 @@ def test_band_choice(spark):
     same = {0: (5, 1.0), 1: (5, 1.0)}
     assert chosen(spark, [1, 0], same, warmup=0) == {1: 600}
     assert chosen(spark, [], state, warmup=0) == {None: 600}
+    assert chosen(spark, [3, 0], {}, warmup=0) == {3: 600}
     assert chosen(spark, [], state) == {None: 600}
 
 
