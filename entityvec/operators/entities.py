@@ -72,25 +72,31 @@ def distinct_id_summary(df: DataFrame, shard: Column | None = None) -> DataFrame
         dataset = ids.shard_id(shard)
     else:
         dataset = ids.shard_id(F.col("_metadata.file_name"))
-    out = None
+    counted = []
     for part, composed in (("target_id", "building_id"), ("patch_id", "streetview_image_id")):
         pairs = df.select(dataset.alias("dataset_id"), _number(df, part).alias(part)).distinct()
         both = F.when(F.col("dataset_id").isNotNull() & F.col(part).isNotNull(), 1)
-        single = [F.count_distinct(part).alias(part)]
+        found = [F.count_distinct(part).alias(part)]
         if part == "target_id":
-            single.insert(0, F.count_distinct("dataset_id").alias("dataset_id"))
+            found.append(F.count_distinct("dataset_id").alias("dataset_id"))
         if composed in df.columns:
             names = (pairs.select(ids.composite_id(F.col("dataset_id"), F.col(part)).alias("id"))
                      .unionByName(df.select(F.col(composed).cast("string").alias("id")).distinct())
                      .filter(F.col("id").isNotNull()).distinct())
-            counted = pairs.agg(*single).withColumn("_one", F.lit(1)).join(
-                names.agg(F.count(F.lit(1)).alias(composed)).withColumn("_one", F.lit(1)),
-                "_one").drop("_one")
+            counted.append(names.agg(F.count(F.lit(1)).alias(composed)))
         else:
-            counted = pairs.agg(*single, F.count(both).alias(composed))
-        counted = counted.withColumn("_one", F.lit(1))
-        out = counted if out is None else out.join(counted, "_one")
-    return out.select("dataset_id", "target_id", "patch_id", "building_id", "streetview_image_id")
+            found.append(F.count(both).alias(composed))
+        counted.append(pairs.agg(*found))
+    return _one_row(counted, ["dataset_id", "target_id", "patch_id", "building_id",
+                              "streetview_image_id"])
+
+
+def _one_row(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """One-row frames with different columns side by side, without a join."""
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in columns])
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -113,15 +119,15 @@ def assembly_stats(source: DataFrame, kept: DataFrame, entity: str,
     """Rows read, rows kept, entities kept, rows per split; files when a name is given."""
     require_columns(kept, [entity, "split"], "split rows")
     files = F.count_distinct(file_name) if file_name else F.lit(None).cast("bigint")
-    read = source.agg(F.count(F.lit(1)).alias("rows_read"), files.alias("files")) \
-        .withColumn("_one", F.lit(1))
+    read = source.agg(F.count(F.lit(1)).alias("rows_read"), files.alias("files"))
     per_entity = kept.groupBy(entity, "split").agg(F.count(F.lit(1)).alias("n"))
+    names = [f"{s}_rows" for s in ("train", "val", "test")]
     out = per_entity.agg(
-        F.sum("n").alias("rows_kept"), F.count(F.lit(1)).alias("entities_kept"),
-        *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(f"{s}_rows")
-          for s in ("train", "val", "test")],
-    ).withColumn("_one", F.lit(1))
-    return read.join(out, "_one").drop("_one")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_kept"),
+        F.count(F.lit(1)).alias("entities_kept"),
+        *[F.coalesce(F.sum(F.when(F.col("split") == n[:-5], F.col("n"))), F.lit(0)).alias(n)
+          for n in names])
+    return _one_row([read, out], ["rows_read", "files", "rows_kept", "entities_kept", *names])
 
 
 def split_leakage(rows: DataFrame, entity: str, split: str = "split") -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entityvec.functions.scratch import written
+
 # Default pattern, metric and settings that a trial passes on.
 TRIAL_PATTERN = ".*-trial-.*"
 TRIAL_METRIC = "val/retrieval_recall@100"
@@ -84,56 +86,50 @@ def merge_hyperparameters(trials: DataFrame, base: Mapping[str, object],
     return trials.select(*others, *[setting(k).alias(k) for k in keys])
 
 
-def _running(df: DataFrame, group: str, order: str, value: str, how, merge,
-             name: str, until: int) -> DataFrame:
-    """Running aggregate per group in two levels, so that a long group spans many tasks.
-
-    ``_chunk`` cuts the order; totals of earlier chunks are joined in, the rest is a window
-    inside the chunk. ``until`` is the last row counted, relative to the present one.
-    """
-    before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = (df.groupBy(group, "_chunk").agg(how(value).alias("_total"))
-              .select(group, "_chunk", how("_total").over(before).alias("_before")))
-    inside = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, until)
-    out = df.withColumn("_inside", how(value).over(inside)).join(totals, [group, "_chunk"])
-    return out.withColumn(name, merge("_before", "_inside")).drop("_before", "_inside")
-
-
 def early_stop(history: DataFrame, patience: int = 0, run: str = "run", epoch: str = "epoch",
                loss: str = "val_loss", chunk: int = 10_000) -> DataFrame:
     """Per run: best epoch and loss, and the epoch at which training stops.
 
     Only a strictly lower loss is an improvement. Training stops at the first validation
     that is the ``patience``-th in a row without one (0: never).
+
+    A long run is cut into chunks of epochs: what earlier chunks contribute (lowest loss, row
+    count, last improvement) is joined in, so no task needs a whole run.
     """
-    rows = history.select(run, epoch, F.col(loss).cast("double").alias("_loss"))
-    rows = rows.withColumn("_chunk", F.floor(F.col(epoch) / chunk).cast("bigint"))
-    rows = rows.withColumn("_usable", F.nanvl(F.coalesce("_loss", F.lit(math.inf)), F.lit(math.inf)))
-    rows = _running(rows, run, epoch, "_usable", F.min, F.least, "_best", -1)
-    rows = rows.withColumn("_better", F.col("_usable") < F.coalesce("_best", F.lit(math.inf)))
-    rows = rows.withColumn("_one", F.lit(1))
-
-    def add(a: str, b: str) -> Column:
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-
-    rows = _running(rows, run, epoch, "_one", F.sum, add, "_seq", 0)
-    rows = rows.withColumn("_mark", F.when(F.col("_better"), F.col("_seq")))
-    rows = _running(rows, run, epoch, "_mark", F.max, F.greatest, "_last", 0)
-    waited = F.col("_seq") - F.coalesce("_last", F.lit(0))
-    rows = rows.withColumn("_waited", waited)
-    stop = F.when((F.col("_waited") >= patience) & ~F.col("_better"), F.col(epoch)) \
-        if patience > 0 else F.lit(None).cast(history.schema[epoch].dataType)
-    stops = rows.groupBy(run).agg(F.min(stop).alias("stop_epoch"))
-    kept = rows.join(stops, run).filter(
-        F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
-    best = F.when(F.col("_better"), F.struct("_usable", epoch))
-    return kept.groupBy(run, "stop_epoch").agg(
-        F.min(best).alias("_b"), F.count(F.lit(1)).alias("epochs_completed")).select(
-        run, F.col("_b")[epoch].alias("best_epoch"),
-        F.coalesce("_b._usable", F.lit(math.inf)).alias("best_val_loss"), "stop_epoch",
-        F.col("stop_epoch").isNotNull().alias("early_stopped"), "epochs_completed")
+    value = F.col(loss).cast("double")
+    rows = written(history.select(
+        run, epoch, F.nanvl(F.coalesce(value, F.lit(math.inf)), F.lit(math.inf)).alias("_loss"),
+        F.floor(F.col(epoch) / chunk).cast("bigint").alias("_chunk")), "history")
+    keys = [run, "_chunk"]
+    earlier = Window.partitionBy(run).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(*keys).orderBy(epoch)
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+
+    totals = rows.groupBy(*keys).agg(F.min("_loss").alias("m"), F.count(F.lit(1)).alias("n"))
+    totals = totals.select(*keys, F.min("m").over(earlier).alias("_m"),
+                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"))
+    best = F.least("_m", F.min("_loss").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = (rows.join(totals, keys)
+            .withColumn("_better", F.col("_loss") < F.coalesce(best, F.lit(math.inf)))
+            .withColumn("_seq", F.col("_n") + F.row_number().over(here)))
+    mark = F.when(F.col("_better"), F.struct(
+        F.col("_seq").alias("seq"), F.col(epoch).alias("epoch"), F.col("_loss").alias("loss")))
+    rows = rows.select(*keys, epoch, "_seq", "_better", mark.alias("_mark"))
+
+    marks = rows.groupBy(*keys).agg(F.max("_mark").alias("m"))
+    marks = marks.select(*keys, F.max("m").over(earlier).alias("_before"))
+    last = F.coalesce(F.max("_mark").over(so_far), F.col("_before"))
+    rows = rows.join(marks, keys).withColumn("_last", last)
+    waited = F.col("_seq") - F.coalesce("_last.seq", F.lit(0))
+    state = F.struct(F.col(epoch).alias("at"), F.col("_seq").alias("seq"), F.col("_last").alias("best"))
+    stops = F.lit(patience > 0) & ~F.col("_better") & (waited >= patience)
+    ends = rows.groupBy(run).agg(F.min(F.when(stops, state)).alias("stop"), F.max(state).alias("end"))
+    final = F.coalesce("stop", "end")
+    return ends.select(
+        run, final["best"]["epoch"].alias("best_epoch"),
+        F.coalesce(final["best"]["loss"], F.lit(math.inf)).alias("best_val_loss"),
+        F.col("stop.at").alias("stop_epoch"), F.col("stop").isNotNull().alias("early_stopped"),
+        final["seq"].alias("epochs_completed"))
 
 
 def epoch_summary(batches: DataFrame, epochs: DataFrame | None = None, epoch: str = "epoch",
