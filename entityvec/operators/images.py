@@ -105,14 +105,14 @@ def pixel_fingerprint(df: DataFrame, content: str = "content", size: int = FINGE
             for s in series:
                 yield pd.DataFrame([one(_decoded(b, decode)) for b in s],
                                    columns=["fingerprint", "decoded"])
-        made = run(F.col(content))
+        made = run.asNondeterministic()(F.col(content))
     else:
         @F.pandas_udf(schema)
         def run(series: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for s in series:
                 yield pd.DataFrame([one(_stored_pixels(*r)) for r in s.itertuples(index=False)],
                                    columns=["fingerprint", "decoded"])
-        made = run(F.struct(*[F.col(content)[n].alias(n)
+        made = run.asNondeterministic()(F.struct(*[F.col(content)[n].alias(n)
                               for n in ("height", "width", "nChannels", "data")]))
     out = df.withColumn("_fp", made)
     return (out.withColumn(output, F.col("_fp.fingerprint"))

@@ -49,7 +49,8 @@ def vectorizer(load: Callable[[], VectorFn], batch_size: int = 16,
                 out.extend(pool_output(model(s.iloc[i:i + batch_size].tolist()), pooling))
             yield pd.Series(out, dtype=object)
 
-    return run
+    # Keeps the optimizer from running a model a second time for a filter on its output.
+    return run.asNondeterministic()
 
 
 def apply_vectorizer(df: DataFrame, load: Callable[[], VectorFn], source: str,
@@ -149,4 +150,4 @@ def project_vectors(df: DataFrame, weights: Projector, vector: str | Column,
                 yield pd.Series([], dtype=object)
 
     vec = F.col(vector) if isinstance(vector, str) else vector
-    return df.withColumn(output, run(vec))
+    return df.withColumn(output, run.asNondeterministic()(vec))

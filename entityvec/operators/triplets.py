@@ -155,16 +155,19 @@ def sample_negatives(pairs: DataFrame, difficulty: DataFrame, space: TripletSpac
 
 
 def attach_vectors(triplets: DataFrame, vectors: DataFrame, item: str, vector: str) -> DataFrame:
-    """Add ``anchor_vec, positive_vec, negative_vec``; the vector table is joined once."""
+    """Add ``anchor_vec, positive_vec, negative_vec``.
+
+    Each triplet becomes three (role, item) rows and is put together again, so the vector
+    table is shuffled once and the triplets are computed once.
+    """
     roles = ("anchor", "positive", "negative")
-    needs = triplets.select("t", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("role"), F.col(r).alias("item")) for r in roles])).alias("x")
-    ).select("t", "x.role", "x.item")
-    source = vectors.select(F.col(item).alias("item"), F.col(vector).alias("vec"))
-    got = needs.join(source, "item").groupBy("t").agg(*[
-        F.first(F.when(F.col("role") == r, F.col("vec")), ignorenulls=True).alias(f"{r}_vec")
+    needs = triplets.select("*", F.explode(F.array(*[
+        F.struct(F.lit(r).alias("role"), F.col(r).alias("item")) for r in roles])).alias("_x")
+    ).select(*triplets.columns, F.col("_x.role").alias("_role"), F.col("_x.item").alias("_item"))
+    source = vectors.select(F.col(item).alias("_item"), F.col(vector).alias("_vec"))
+    return needs.join(source, "_item").groupBy(*triplets.columns).agg(*[
+        F.first(F.when(F.col("_role") == r, F.col("_vec")), ignorenulls=True).alias(f"{r}_vec")
         for r in roles])
-    return triplets.join(got, "t")
 
 
 def triplet_loss(anchor: Column, positive: Column, negative: Column, margin: float = 0.5,
