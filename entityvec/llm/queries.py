@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +44,24 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.co
 FROM s JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY 1) c ON c.node = s.doc_id""")
 def op1_minhash(spark, d):
     return near_duplicates(table(spark, d, "documents"))
+
+
+@query(r"""WITH d AS (
+  SELECT doc_id, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2),
+      lambda k: array_to_string(w[k:k + n - 1], ' '))) AS t
+      FROM (SELECT *, least(len(w), 13) AS n FROM i WHERE len(w) > 0)),
+g AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS t
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM v))),
+h AS (SELECT g.doc_id, g.k, g.n, v.item_id FROM g JOIN v ON v.t = g.t AND v.n = g.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""")
+def op2_decontaminate(spark, d):
+    return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
