@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.minhash import near_duplicates
+from entityvec.llm.mixing import pareto_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +66,29 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""")
 def op2_decontaminate(spark, d):
     return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query(r"""WITH s AS (
+  SELECT doc_id, source, coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size,
+    (('0x' || substr(md5(concat_ws('|', '0', doc_id::VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+w AS (SELECT source, sum(size)::BIGINT AS source_size,
+    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS w FROM s GROUP BY source),
+o AS (SELECT *, 200::HUGEINT * source_size AS cap, row_number() OVER (ORDER BY 200.0 * source_size / w, source NULLS LAST) AS k FROM w),
+r AS (SELECT *, 150::HUGEINT * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares FROM o),
+e AS (SELECT k, rest, shares FROM r WHERE w * rest <= cap * shares ORDER BY k LIMIT 1),
+t AS (SELECT r.source, r.source_size, CASE WHEN r.k < e.k OR e.k IS NULL THEN 2.0::DOUBLE * r.source_size
+    ELSE w::DOUBLE * e.rest::DOUBLE / (100.0::DOUBLE * e.shares::DOUBLE) END AS target FROM r LEFT JOIN e ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS c FROM t),
+q AS (SELECT *, least(floor(c), 2)::BIGINT AS whole, c - least(floor(c), 2) AS p, target - least(floor(c), 2) * source_size AS wanted FROM p),
+x AS (SELECT s.*, q.source_size, q.target, q.whole, q.wanted, q.p,
+    CASE WHEN q.p > 0 THEN (s.u / (1 - s.u)) / (q.p / (1 - q.p)) END AS x FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
+v AS (SELECT *, coalesce(x / (1 + x), u) AS v FROM x),
+f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, doc_id ROWS UNBOUNDED PRECEDING) <= wanted AS f FROM v),
+g AS (SELECT source AS gs, any_value(wanted) - coalesce(sum(size) FILTER (f), 0) AS gap FROM f GROUP BY source),
+h AS (SELECT f.*, gap, row_number() OVER (PARTITION BY source, f ORDER BY abs(size - gap), v, doc_id) AS k
+    FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.gs)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN f OR (k = 1 AND abs(size - gap) < gap) THEN 1 ELSE 0 END))::BIGINT AS taken FROM h""")
+def op3_mixing(spark, d):
+    return pareto_mix(table(spark, d, "documents"))
