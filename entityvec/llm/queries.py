@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
+from entityvec.llm.streamdedup import exact_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +93,11 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN f OR (k = 1 AND abs(size - gap) < gap) THEN 1 ELSE 0 END))::BIGINT AS taken FROM h""")
 def op3_mixing(spark, d):
     return pareto_mix(table(spark, d, "documents"))
+
+
+@query("""WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t""")
+def op5_exact_dedup(spark, d):
+    return exact_duplicates(spark, f"{d}/documents.parquet").drop("file", "row")
