@@ -8,6 +8,7 @@ from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.streamdedup import exact_duplicates
+from entityvec.llm.suffixes import cut_repetitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +102,8 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t""")
 def op5_exact_dedup(spark, d):
     return exact_duplicates(spark, f"{d}/documents.parquet").drop("file", "row")
+
+
+@query()
+def op7_suffix_dedup(spark, d):
+    return cut_repetitions(table(spark, d, "documents"))
