@@ -1,5 +1,6 @@
 """Queries of the corpus operators, one for each, and their SQL where there is some."""
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,19 @@ from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.streamdedup import exact_duplicates
 from entityvec.llm.suffixes import cut_repetitions
+from entityvec.llm.tokencount import token_counts
+
+#: Folder of the public tokenizers' files; unset, that of the installed package.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR")
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +121,8 @@ def op5_exact_dedup(spark, d):
 @query()
 def op7_suffix_dedup(spark, d):
     return cut_repetitions(table(spark, d, "documents"))
+
+
+@query()
+def op10_token_counts(spark, d):
+    return token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"))
