@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from entityvec.llm.decontaminate import contaminated
+from entityvec.llm.langid import languages
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.streamdedup import exact_duplicates
@@ -126,3 +127,8 @@ def op7_suffix_dedup(spark, d):
 @query()
 def op10_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query()
+def op9_language_id(spark, d):
+    return languages(table(spark, d, "documents"))
