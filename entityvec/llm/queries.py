@@ -4,11 +4,13 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.langid import languages
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
+from entityvec.llm.pii import KINDS, joined, personal_data
 from entityvec.llm.streamdedup import exact_duplicates
 from entityvec.llm.suffixes import cut_repetitions
 from entityvec.llm.tokencount import token_counts
@@ -132,3 +134,14 @@ def op10_token_counts(spark, d):
 @query()
 def op9_language_id(spark, d):
     return languages(table(spark, d, "documents"))
+
+
+@query()
+def op4_pii(spark, d):
+    """Counts and base_sha256 are of the plain spans; ``spans`` has those behind disguises too."""
+    found = personal_data(table(spark, d, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    return found.select(
+        "doc_id", *[F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["plain"])).cast("bigint").alias("n_disguised"))
