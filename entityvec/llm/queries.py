@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from entityvec.llm import chat
 from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.langid import languages
+from entityvec.llm.licenses import license_notices
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.pii import KINDS, joined, personal_data
@@ -156,3 +157,14 @@ def op8_chat_format(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").union(planted)
     record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
     return chat.read_back(chat.canonical_turns(rows, record, ["conv_id", "turn"]))
+
+
+@query()
+def op6_license_scan(spark, d):
+    notices = F.col("notices")
+    exact = F.filter(notices, lambda n: (F.size(n["missing"]) == 0) & (F.size(n["added"]) == 0))
+    spans = F.transform(notices, lambda n: F.concat_ws(":", n["license"], n["start"].cast("string"), n["end"].cast("string")))
+    return license_notices(table(spark, d, "documents")).select(
+        "doc_id", F.size(notices).cast("bigint").alias("n_notices"), F.size(exact).cast("bigint").alias("n_exact"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(notices, lambda n: n["license"]))), ",").alias("licenses"),
+        F.array_join(spans, ",").alias("spans"))
