@@ -54,7 +54,7 @@ def _maybe_sent(df: DataFrame, sent: bool) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, token: int = TOKEN,
-                 hit_share: int = 20, sent_rows: int = SENT_ROWS) -> DataFrame:
+                 hit_share: int = 20, sent_rows: int = SENT_ROWS, text_key: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. A window is ``window``
@@ -67,6 +67,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, token:
     once. Rows with equal doc_id (null included) and equal text get equal results. With no
     items every document is clean, and no documents give no rows. Other columns are not read.
 
+    With ``text_key`` the rows carry xxhash64(text) too, to tell apart texts of one doc_id.
+
     Up to ``sent_rows`` windows are sent to every task and texts never move; beyond that
     tokens are shuffled with the words around them.
     """
@@ -118,7 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, token:
     n_hit = F.coalesce("h.n_hit", F.lit(0).cast("bigint"))
     ids = F.coalesce("h.ids", F.array().cast("array<string>"))
     return base.alias("d").join(per_doc.alias("h"), same, "left").select(
-        "d.doc_id", "d.n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
+        "d.doc_id", *(["d.text_key"] if text_key else []), "d.n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (hit_share * n_hit >= F.col("d.n_words"))).alias("contaminated"))
 

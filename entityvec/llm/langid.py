@@ -83,7 +83,7 @@ class Model:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         owner, cell = _cells(texts, self.bits, self.grams)
-        total = np.vstack([np.bincount(owner, self.weights[i][cell], len(texts)) for i in range(len(self.langs))])
+        total = np.vstack([np.bincount(owner, self.weights[i][cell], len(texts)) for i in range(len(self.langs))]).astype(np.float64)
         total += self.prior[:, None]
         best = total.argmax(axis=0)
         score = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
@@ -123,18 +123,18 @@ def train(labelled: DataFrame, rows: int = LEARNED_ROWS, bits: int = BITS, grams
     return Model(langs, weights, np.log(docs) - np.log(docs.sum()) if langs else docs, bits, grams)
 
 
-def _predictor(sent):
+def _predictor(sent, text: int, kept: int):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for _, texts in _groups(batch, 0):
+            for _, texts in _groups(batch, text):
                 lang, score = sent.value.predict(texts)
                 langs += lang
                 scores.append(score)
-            rest = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=[*batch.schema.names[1:], "lang_pred", "score"])
+                [*batch.columns[:kept], pa.array(langs, pa.string()),
+                 pa.array(np.concatenate(scores) if scores else [], pa.float64())],
+                names=[*batch.schema.names[:kept], "_lang", "_score"])
     return predict
 
 
@@ -142,14 +142,20 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score, from column text alone.
 
     A null text and one without any letter are UNKNOWN with score 0; so is everything if the model
-    knows no language. Rows are independent of each other; columns named lang_pred or
-    score cannot be kept.
+    knows no language. Rows are independent of each other.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    schema = source.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    out = source.mapInArrow(_predictor(sent), schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    columns = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
+    if "text" in keep and dict(docs.dtypes)["text"] == "string":
+        text = keep.index("text")
+    else:
+        text = len(keep)
+        columns.append(F.col("text").cast("string").alias("_text"))
+    source = docs.select(*columns)
+    schema = source.select(*[f"_{i}" for i in range(len(keep))]).schema.add("_lang", "string").add("_score", "double")
+    out = source.mapInArrow(_predictor(sent, text, len(keep)), schema)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)],
+                      F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def held_out() -> Column:
