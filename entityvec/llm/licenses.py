@@ -1,8 +1,8 @@
 """License notices by conditional compression against templates.
 
 A candidate block is compressed with each template as a raw-content Zstandard dictionary; the
-templates that make it smallest are then compared with it word by word, and the one with
-the fewest differences is confirmed if they are few. What is left on both sides of a
+templates that make it smallest are then compared with it word by word, and the one that
+accounts for most words is confirmed if its differences are few. What is left on both sides of a
 notice is a block again.
 """
 
@@ -102,7 +102,8 @@ class Scanner:
             for reduction, i in tried:
                 got = self._aligned(words, i)
                 if got and got[0] <= MOST_DIFFERENT * len(self.words[i]):
-                    if best is None or (got[0], -len(self.words[i])) < (best[0][0], -len(self.words[best[1]])):
+                    # The template that accounts for most words, differences counted against it.
+                    if best is None or len(self.words[i]) - got[0] > len(self.words[best[1]]) - best[0][0]:
                         best = got, i, reduction
             if best is None:
                 continue

@@ -60,9 +60,8 @@ def update_state(spark: SparkSession, path: str, folder: str, digest: Callable[[
     and row) of its content, for good. Each micro-batch appends the entries it changed to
     ``folder``/changes. A run that was cut off goes on at the micro-batch that it lost.
     """
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes)
-    if batch_files:
-        source = source.option("maxFilesPerTrigger", batch_files)
+    size = ("maxFilesPerTrigger", batch_files) if batch_files else ("maxBytesPerTrigger", batch_bytes)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option(*size)
     # The partial aggregate of each task sends one row for a digest, however many copies it read.
     entries = (_rows(source.parquet(_as_source(path)), digest).drop("content")
                .groupBy("digest").agg(_keeper().alias("keep"), F.count(F.lit(1)).alias("group_size")))
