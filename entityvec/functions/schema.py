@@ -25,3 +25,7 @@ def move_to_front(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
     """Existing preferred columns first, the others in their present order."""
     front = [c for c in preferred if c in df.columns]
     return df.select(*front, *[c for c in df.columns if c not in front])
+
+
+#: Columns that only serve the ingest and are not part of any split.
+HELPER_COLUMNS = ("tar_file", "image_path")

@@ -2,12 +2,16 @@
 
 1. Rows are assigned to the nearest of P pivots, which are rows sampled by hash. Dense
    regions get proportionally many pivots, so cells stay even; P is bounded.
-2. Each cell is cut into blocks of about ``block_rows`` rows. A block is one packed row.
+2. Each cell is cut into blocks of about ``block_rows`` rows, several MB. A block is one packed
+   row and the unit of the shuffle: a row travels once for each block that it may meet.
 3. Every block looks up, for each of its rows, an upper bound of the k-th distance (inside
    its own block, over the pivots, or from the cell radii) and sends the row only to cells
-   whose lower bound does not exceed it (triangle inequality).
-4. Packs and blocks meet in an equi join on the block key; a matrix product per pair emits
-   at most the k best per row, and a rank window with a per-task limit merges them.
+   whose lower bound does not exceed it (triangle inequality). That leaves out far
+   clusters. On vectors without clusters nearly every block is met, so the exact join does
+   rows * rows / cores work there and moves rows * blocks vectors.
+4. Packs and blocks meet in an equi join on the block key. A task goes over the block in
+   tiles and keeps the k best of each row, by score and then id, so exactly min(k, candidates)
+   edges leave a pair of blocks for a row; a rank window with a per-task limit merges them.
 
 Only the cell summary (P vectors and counters) is ever broadcast. Results are exact and
 do not depend on P, the block size or the partitioning; ties go to the smaller id.
@@ -15,7 +19,7 @@ do not depend on P, the block size or the partitioning; ties go to the smaller i
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +32,26 @@ from pyspark.sql import types as T
 from entityvec.functions.hashing import keyed_hash
 from entityvec.functions.scratch import written
 from entityvec.functions.shipping import ship, unpack
+from entityvec.operators.ranking import take_by_hash
 
 METRICS = ("euclidean", "dot")
 MEMBER = ("id", "grp", "vec")
 BATCH_BYTES = 32 * 1024 * 1024
+GATHER_VALUES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Layout:
     """Sizes of the search; they change the speed, never the result."""
 
-    block_rows: int = 2048
-    block_bytes: int = 8 * 1024 * 1024
-    cell_rows: int = 1024
+    # A cell half as large again as the average is one block still.
+    block_rows: int = 24_576
+    block_bytes: int = 16 * 1024 * 1024
+    cell_rows: int = 16_384
     max_cells: int = 4096
     pivot_bytes: int = 64 * 1024 * 1024
     cells: int | None = None
-    copies_from: int = 100_000
+    tile: int = 1024
 
     def block_rows_for(self, width: int) -> int:
         """Rows per block: wide vectors get shorter blocks, so a block fits a batch."""
@@ -95,15 +102,19 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float
     return np.sqrt(squared_distances(a, b)), 2e-6 * math.sqrt(size)
 
 
-def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of matching rows, computed directly: equal vectors are at exactly 0."""
-    out = np.empty(len(a))
-    for i in range(0, len(a), 50_000):
-        s = slice(i, i + 50_000)
+def pair_scores(a: np.ndarray, r: np.ndarray, b: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows ``r`` of a with rows ``j`` of b, computed directly: equal vectors are at exactly 0.
+
+    Vectors are gathered in slices of a few MB, however many pairs there are.
+    """
+    out = np.empty(len(r))
+    step = max(1, GATHER_VALUES // max(1, a.shape[1]))
+    for i in range(0, len(r), step):
+        s = slice(i, i + step)
         if metric == "dot":
-            out[s] = -(a[s] * b[s]).sum(1)
+            out[s] = -(a[r[s]] * b[j[s]]).sum(1)
         else:
-            d = a[s] - b[s]
+            d = a[r[s]] - b[j[s]]
             out[s] = np.sqrt((d * d).sum(1))
     return out
 
@@ -121,9 +132,9 @@ def raw_limit(score: np.ndarray, metric: str) -> np.ndarray:
 
 
 def group_codes(a, b) -> tuple[np.ndarray, np.ndarray]:
-    """Comparable codes of two group columns; a null group is NaN and equals nothing."""
-    both = pa.concat_arrays([a, b]).dictionary_encode().indices
-    codes = both.to_numpy(zero_copy_only=False).astype(np.float64)
+    """Comparable codes of two group columns; rows without a group form one."""
+    both = pa.concat_arrays([a, b]).dictionary_encode().indices.fill_null(-1)
+    codes = both.to_numpy(zero_copy_only=False)
     return codes[: len(a)], codes[len(a):]
 
 
@@ -152,7 +163,7 @@ def _assign(pivots) -> "callable":
             a = as_matrix(batch.column("vec"))
             d2 = squared_distances(a, centres)
             cell = d2.argmin(1)
-            radius = pair_scores(a, centres[cell], "euclidean")
+            radius = pair_scores(a, np.arange(len(a)), centres, cell, "euclidean")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)],
                 names=[*batch.schema.names, "cell", "radius"])
@@ -166,17 +177,24 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, k - 1, axis=1)[:, k - 1]
 
 
-def _bounds(a, groups, summary: CellSummary, k: int, exclude: bool, self_join: bool) -> np.ndarray:
-    """Per row, a value that the k-th best score cannot exceed."""
+def _bounds(a, groups, summary: CellSummary, k: int, exclude: bool, self_join: bool, tile: int) -> np.ndarray:
+    """Per row, a value that the k-th best score cannot exceed; memory is bounded by tiles."""
+    parts = [_tile_bounds(a, groups, slice(lo, lo + tile), summary, k, exclude, self_join)
+             for lo in range(0, len(a), tile)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _tile_bounds(every, all_groups, rows: slice, summary: CellSummary, k: int, exclude: bool, self_join: bool) -> np.ndarray:
+    a, groups = every[rows], all_groups[rows]
     s, slack = scores(a, summary.pivots, summary.metric)
     if exclude:
         probe = pa.array(summary.pivot_groups, type=groups.type)
         s = np.where(same_group(groups, probe), np.inf, s)
     bound = _kth(s, k) + slack
     if self_join:
-        own, own_slack = scores(a, a, summary.metric)
+        own, own_slack = scores(a, every, summary.metric)
         if exclude:
-            own[same_group(groups, groups)] = np.inf
+            own[same_group(groups, all_groups)] = np.inf
         bound = np.minimum(bound, _kth(own, k) + own_slack)
     if np.isinf(bound).any():
         far = _cell_scores(a, summary)[1]
@@ -199,7 +217,7 @@ def _cell_scores(a: np.ndarray, summary: CellSummary) -> tuple[np.ndarray, np.nd
     return np.maximum(low, 0.0), s + summary.rmax + 2 * slack
 
 
-def _route(cells, k: int | None, exclude: bool, self_join: bool):
+def _route(cells, k: int | None, exclude: bool, self_join: bool, tile: int):
     """Packs to (target block, rows) for every block that may hold a wanted neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +232,13 @@ def _route(cells, k: int | None, exclude: bool, self_join: bool):
                 if k is None:
                     bound = rows.field("bound").to_numpy(zero_copy_only=False).astype(np.float64)
                 else:
-                    bound = _bounds(a, rows.field("grp"), summary, k, exclude, self_join)
+                    bound = _bounds(a, rows.field("grp"), summary, k, exclude, self_join, tile)
                     names = [f.name for f in rows.type]
                     rows = pa.StructArray.from_arrays(
                         [*[rows.field(n) for n in names], pa.array(bound)],
                         names=[*names, "bound"])
-                wanted = _cell_scores(a, summary)[0] <= bound[:, None]
+                wanted = np.vstack([_cell_scores(a[lo:lo + tile], summary)[0] <= bound[lo:lo + tile, None]
+                                    for lo in range(0, len(a), tile)])
                 room = max(1, BATCH_BYTES // (8 * a.shape[1]))
                 yield from _packs(rows, wanted, summary.blocks, home, room)
 
@@ -255,7 +274,7 @@ def _pack_batch(rows, targets) -> pa.RecordBatch:
         names=["cell", "sub", "home", "pack"])
 
 
-def _nearest(metric: str, k: int, exclude: bool):
+def _nearest(metric: str, k: int, exclude: bool, tile: int):
     """(pack, block) pairs to the at most k best candidates of each packed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,47 +282,61 @@ def _nearest(metric: str, k: int, exclude: bool):
             packs, blocks = as_list(batch.column("pack")), as_list(batch.column("rows"))
             for i in range(batch.num_rows):
                 q, c = flat_row(packs, i), flat_row(blocks, i)
-                found = _best_pairs(q, c, metric, k, exclude)
                 if batch.column("home")[i].as_py():
                     # One empty edge per row keeps rows that find no neighbour at all.
                     n = len(q)
                     yield _edges(q, np.arange(n), c, np.full(n, -1), np.full(n, np.nan))
-                if found is not None:
-                    yield _edges(q, found[0], c, found[1], found[2])
+                if len(c) and len(q):
+                    for found in best_pairs(q, c, metric, k, exclude, tile):
+                        yield _edges(q, found[0], c, found[1], found[2])
 
     return run
 
 
-def _best_pairs(q, c, metric: str, k: int, exclude: bool):
-    """(rows of q, rows of c, scores): at most k best candidates per row, and ties of the last."""
-    if not len(c) or not len(q):
-        return None
-    a, b = as_matrix(q.field("vec")), as_matrix(c.field("vec"))
-    s, error = raw_scores(a, b, metric)
-    limit = raw_limit(q.field("bound").to_numpy(zero_copy_only=False), metric) + error
-    hit = s <= limit[:, None]
-    # The bound leaves few candidates as a rule; where it does not, the block's own k-th does.
-    loose = np.nonzero(hit.sum(1) > 4 * k + 64)[0]
-    if len(loose):
-        part = s[loose]
-        if exclude:
-            part[same_group(q.field("grp").take(pa.array(loose)), c.field("grp"))] = np.inf
-        hit[loose] = (part <= (_kth(part, k) + 2 * error)[:, None]) & np.isfinite(part) & hit[loose]
-    r, j = np.nonzero(hit)
-    if exclude:
-        mine, other = group_codes(q.field("grp"), c.field("grp"))
-        foreign = mine[r] != other[j]
-        r, j = r[foreign], j[foreign]
-    return _first_k(r, j, pair_scores(a[r], b[j], metric), k)
-
+def best_pairs(q, c, metric: str, k: int, exclude: bool, tile: int):
+    """(rows of q, rows of c, scores) of the k best candidates within each row's bound.
 
-def _first_k(r: np.ndarray, j: np.ndarray, score: np.ndarray, k: int):
-    """Per row the k lowest scores, and all that equal the last of them."""
-    order = np.lexsort((score, r))
+    Yields one result for each ``tile`` rows of q. Equal scores go to the smaller id, so no
+    row gets more than k whatever the ties.
+    """
+    a, b = as_matrix(q.field("vec")), as_matrix(c.field("vec"))
+    bounds = q.field("bound").to_numpy(zero_copy_only=False).astype(np.float64)
+    mine, other = group_codes(q.field("grp"), c.field("grp"))
+    place = common_order(c.field("id"), c.field("id")[:0])[0].astype(np.int64)
+    for lo in range(0, len(a), tile):
+        part, bound = a[lo:lo + tile], bounds[lo:lo + tile]
+        limit = bound.copy()
+        r, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(b), tile):
+            some = b[start:start + tile]
+            s, error = raw_scores(part, some, metric)
+            if exclude:
+                s[mine[lo:lo + tile, None] == other[None, start:start + tile]] = np.inf
+            near = s <= (raw_limit(limit, metric) + 2 * error)[:, None]
+            # No more than the tile's own k best of a row matter, and those too near to tell apart.
+            many = np.flatnonzero(near.sum(1) > k)
+            if len(many):
+                near[many] &= s[many] <= (_kth(s[many], k) + 2 * error)[:, None]
+            near &= np.isfinite(s)
+            x, y = np.nonzero(near)
+            if not len(x):
+                continue
+            exact = pair_scores(part, x, some, y, metric)
+            r, j, score = (np.concatenate(v) for v in ((r, x), (j, y + start), (score, exact)))
+            r, j, score = first_k(r, j, score, place, k)
+            # The k-th score so far bounds what can still come in.
+            ends = np.searchsorted(r, np.arange(len(part)), side="right")
+            full = np.flatnonzero(ends - np.searchsorted(r, np.arange(len(part))) == k)
+            limit[full] = np.minimum(limit[full], score[ends[full] - 1])
+        if len(r):
+            yield r + lo, j, score
+
+
+def first_k(r: np.ndarray, j: np.ndarray, score: np.ndarray, place: np.ndarray, k: int):
+    """Per row the k lowest scores, equal ones by the place of their id."""
+    order = np.lexsort((place[j], score, r))
     r, j, score = r[order], j[order], score[order]
-    start = np.searchsorted(r, r)
-    last = np.minimum(start + k - 1, len(r) - 1)
-    keep = (np.arange(len(r)) - start < k) | (score <= score[last])
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
     return r[keep], j[keep], score[keep]
 
 
@@ -353,7 +386,7 @@ def count_better(q_ids, a, ga, bound, best_id, b, gb, ids, metric: str) -> np.nd
     foreign = mine[r] != other[j]
     r, j = r[foreign], j[foreign]
     if len(r):
-        exact = pair_scores(a[r], b[j], metric)
+        exact = pair_scores(a, r, b, j, metric)
         wins = exact < bound[r]
         tie = exact == bound[r]
         if tie.any():
@@ -386,31 +419,6 @@ def _pack(assigned: DataFrame, blocks: np.ndarray, columns: list[str]) -> DataFr
             .groupBy("cell", "sub").agg(F.collect_list(F.struct(*columns)).alias("rows")))
 
 
-def _without_surplus_copies(assigned: DataFrame, k: int, exclude: bool) -> DataFrame:
-    """Drop candidates that no row can need because k better copies of them exist.
-
-    Among equal vectors only the smallest ids count: per vector k ids, or with groups
-    excluded the first 2k ids after keeping k per group (for any excluded group, k of
-    another group remain, and they are the smallest). The rank filters run per task before
-    each shuffle, so a vector that fills a third of the table is reduced where it lies.
-    """
-    cap = 2 * k if exclude else k
-    copies = (assigned.groupBy(F.xxhash64("vec").alias("_vh")).agg(F.count(F.lit(1)).alias("_c"))
-              .filter(F.col("_c") > cap).select("_vh"))
-    if not copies.take(1):
-        return assigned
-    marked = (assigned.withColumn("_vh", F.xxhash64("vec"))
-              .join(copies.withColumn("_many", F.lit(True)), "_vh", "left").drop("_vh"))
-    rare = marked.filter(F.col("_many").isNull()).drop("_many")
-    many = marked.filter(F.col("_many")).drop("_many")
-    if exclude:
-        many = many.withColumn("_r", F.row_number().over(
-            Window.partitionBy("vec", "grp").orderBy("id"))).filter(F.col("_r") <= k)
-    many = many.withColumn("_r", F.row_number().over(
-        Window.partitionBy("vec").orderBy("id"))).filter(F.col("_r") <= cap)
-    return rare.unionByName(many.drop("_r"))
-
-
 def _summarise(assigned: DataFrame, pivots: np.ndarray, groups, metric: str,
                layout: Layout) -> CellSummary:
     per_cell = (assigned.groupBy("cell", "grp")
@@ -438,14 +446,16 @@ class BlockSearch:
             raise ValueError(f"metric must be one of {METRICS}")
         self.layout = layout or Layout()
         self.metric = metric
-        self.corpus = corpus.select("id", "grp", "vec")
         self.spark = corpus.sparkSession
-        self.size = self.corpus.select("id").count()
+        # Read four times below; it may stand for a projection of wide vectors.
+        self.corpus = written(corpus.select("id", "grp", "vec"), "corpus")
+        self.size, width = self.corpus.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
         if not self.size:
             raise ValueError("no vectors to search")
-        width = self.corpus.select(F.size("vec")).first()[0]
-        sample = (self.corpus.orderBy(keyed_hash(0, "id"), "id")
-                  .limit(self.layout.cells_for(self.size, width)).collect())
+        wanted = self.layout.cells_for(self.size, width)
+        # A cut found from counters: no task gathers more than the pivots.
+        sample = (take_by_hash(self.corpus, "id", 0, lambda n: wanted)[0]
+                  .orderBy(keyed_hash(0, "id"), "id").collect())
         pivots = np.array([r["vec"] for r in sample], dtype=np.float64)
         _, keep = np.unique(pivots, axis=0, return_index=True)
         keep.sort()
@@ -471,7 +481,7 @@ class BlockSearch:
             T.StructField("cell", T.IntegerType()), T.StructField("sub", T.IntegerType()),
             T.StructField("home", T.BooleanType()),
             T.StructField("pack", T.ArrayType(member))])
-        routed = packs.mapInArrow(_route(cells, k, exclude, self_join), routed_schema)
+        routed = packs.mapInArrow(_route(cells, k, exclude, self_join, self.layout.tile), routed_schema)
         # Sort-merge: rows are megabytes, sizes are unknown to the planner, and adaptive
         # execution can split a block that very many packs are sent to.
         return routed.hint("merge").join(blocks, ["cell", "sub"], "left")
@@ -500,17 +510,8 @@ class BlockSearch:
         packs = blocks = self._blocks
         if not self_join:
             packs = self._query_packs(queries.select(*MEMBER), list(MEMBER))
-        cells = self._cells
-        if self.size > self.layout.copies_from:
-            fewer = _without_surplus_copies(self.assigned, k, exclude_group)
-            if fewer is not self.assigned:
-                # Fewer candidates need fewer blocks; every block saved is a pack not sent.
-                fewer = written(fewer, "candidates")
-                counts = self._block_counts(fewer)
-                blocks = _pack(fewer, counts, list(MEMBER))
-                cells = ship(self.spark, replace(self.summary, blocks=counts))
         member = _struct_of(schema, [T.StructField("bound", T.DoubleType())])
-        joined = self._meet(packs, blocks, cells, k, exclude_group, self_join, member)
+        joined = self._meet(packs, blocks, self._cells, k, exclude_group, self_join, member)
         own, other = schema, self.corpus.schema
         edge_schema = T.StructType([
             T.StructField("id", own["id"].dataType), T.StructField("grp", own["grp"].dataType),
@@ -518,7 +519,7 @@ class BlockSearch:
             T.StructField("nb_grp", other["grp"].dataType),
             T.StructField("score", T.DoubleType())])
         edges = (joined.select("home", "pack", "rows")
-                 .mapInArrow(_nearest(self.metric, k, exclude_group), edge_schema))
+                 .mapInArrow(_nearest(self.metric, k, exclude_group, self.layout.tile), edge_schema))
         by_row = Window.partitionBy("id").orderBy(F.col("score").asc_nulls_last(), "nb_id")
         return (edges.withColumn("rank", F.row_number().over(by_row))
                 .filter(F.col("rank") <= k)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityvec.functions import ids
+from entityvec.functions.joins import sent_if_small
 from entityvec.functions.schema import require_columns
+from entityvec.functions.scratch import written
 from entityvec.functions.vectors import l2_normalize, norm
 
 
@@ -23,9 +25,10 @@ def drop_singletons(df: DataFrame, entity: str) -> DataFrame:
     """Rows of entities that have at least two rows.
 
     Only the ids are aggregated; rows meet the singleton ids in an anti join, so a hot
-    entity is never gathered in one task.
+    entity is never gathered in one task. Few singletons go to the rows, which then stay where they are.
     """
-    return df.join(singletons(df, entity), entity, "left_anti").select(df.columns)
+    single = written(singletons(df, entity), "singletons")
+    return df.join(sent_if_small(single), entity, "left_anti").select(df.columns)
 
 
 def singleton_report(df: DataFrame, entity: str) -> DataFrame:

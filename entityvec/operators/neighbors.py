@@ -66,7 +66,8 @@ def knn_exclude_group(df: DataFrame, item: str, entity: str, vector: str | Colum
                       layout: Layout | None = None) -> DataFrame:
     """Edges ``item, entity, neighbor_item, neighbor_entity, distance, rank``.
 
-    Euclidean, the k nearest items of other entities, ties by item id. With ``overfetch``
+    Euclidean, the k nearest items of other entities, ties by item id. Items without an entity
+    form one, so an item is never its own neighbour. With ``overfetch``
     the k + overfetch nearest of all items (itself included) are fetched first and those of
     the same entity removed afterwards, so fewer than k may remain. An item without any
     neighbour keeps one edge with null neighbour.
@@ -76,7 +77,7 @@ def knn_exclude_group(df: DataFrame, item: str, entity: str, vector: str | Colum
         edges = search.nearest(k, exclude_group=True)
     else:
         edges = search.nearest(min(search.size, k + overfetch))
-        foreign = F.coalesce(F.col("nb_grp") != F.col("grp"), F.lit(True))
+        foreign = F.col("nb_id").isNull() | ~F.col("nb_grp").eqNullSafe(F.col("grp"))
         # The kept ranks are the place among the foreign neighbours; the row itself stays
         # in as a marker so that no anchor disappears.
         edges = _rerank(edges.withColumn("_f", foreign), k)

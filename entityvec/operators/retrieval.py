@@ -23,11 +23,19 @@ from entityvec.operators.splits import cap_queries, per_entity_head
 # Reported cut-offs.
 TOP_K = (1, 5, 10, 100, 1000)
 BROADCAST_VALUES = 4_000_000
+SCORE_BYTES = 32 * 1024 * 1024
 
 
 def retrieval_queries(df: DataFrame, entity: str, item: str, per_entity: int = 4,
                       maximum: int = 512, seed: int = 0) -> DataFrame:
-    return cap_queries(per_entity_head(df, entity, item, per_entity), item, maximum, seed)
+    """Rows of the query items; they are chosen by ids alone, so no vector is shuffled."""
+    ids = cap_queries(per_entity_head(df.select(entity, item), entity, item, per_entity), item, maximum, seed)
+    if set(df.columns) == {entity, item}:
+        return ids
+    # At most ``maximum`` keys.
+    keys = ids.select(F.col(entity).alias("_e"), F.col(item).alias("_i"))
+    same = F.col(entity).eqNullSafe(F.col("_e")) & F.col(item).eqNullSafe(F.col("_i"))
+    return df.join(F.broadcast(keys), same, "left_semi")
 
 
 def _stream(queries, step):
@@ -36,9 +44,11 @@ def _stream(queries, step):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = unpack(queries)
         state = None
+        # Scores of all queries with so many rows take SCORE_BYTES.
+        rows = max(1, min(4096, SCORE_BYTES // (8 * max(1, len(q["vec"])))))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
                 state = step(q, part.column("id"), part.column("grp"),
                              as_matrix(part.column("vec")), state)
         if state is not None:
@@ -87,7 +97,7 @@ def _find_best(a, ids, groups, b, b_ids, b_groups, best: _Best) -> _Best:
     s[~same_group(groups, b_groups) | same_group(ids, b_ids)] = np.inf
     low = s.min(1) if s.shape[1] else np.full(len(a), np.inf)
     r, j = np.nonzero((s <= (low + slack)[:, None]) & np.isfinite(s))
-    best.offer_all(r, pair_scores(a[r], b[j], "dot"), j, b_ids)
+    best.offer_all(r, pair_scores(a, r, b, j, "dot"), j, b_ids)
     return best
 
 

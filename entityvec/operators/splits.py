@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityvec.functions.hashing import keyed_hash
-from entityvec.operators.entities import drop_singletons, entity_counts
+from entityvec.functions.scratch import written
+from entityvec.operators.entities import drop_singletons
 from entityvec.operators.ranking import hash_cuts, take_by_hash
 
 
@@ -22,7 +23,7 @@ def split_of(entities: DataFrame, entity: str, seed: int = 42, train: float = 0.
              val: float = 0.15, test: float = 0.15) -> Column:
     """Split of an entity as an expression of its id alone.
 
-    ``entities`` holds each entity once. Two cut points in hash order are looked up, after
+    ``entities`` holds each entity once and is read twice. Two cut points in hash order are looked up, after
     which every row knows its split without a join: sizes are ``int(n*train)``,
     ``int(n*val)`` and the rest.
     """
@@ -40,7 +41,8 @@ def split_of(entities: DataFrame, entity: str, seed: int = 42, train: float = 0.
 
 def assign_splits(entities: DataFrame, entity: str, seed: int = 42, train: float = 0.7,
                   val: float = 0.15, test: float = 0.15) -> DataFrame:
-    """(entity, split) for every entity."""
+    """(entity, split) for every entity; the entities are read once."""
+    entities = written(entities.select(entity), "entities")
     return entities.select(entity, split_of(entities, entity, seed, train, val, test)
                            .alias("split"))
 
@@ -62,7 +64,8 @@ def sample_entities(df: DataFrame, entity: str, n: int | None = None,
             return max(1, int(total * fraction))
     else:
         return df
-    _, (cut,) = hash_cuts(entity_counts(df, entity).select(entity), entity, seed,
+    keys = written(df.select(entity).distinct(), "entities")
+    _, (cut,) = hash_cuts(keys, entity, seed,
                           lambda total: [size(total)])
     # The choice depends on the id only: a plain filter, no join.
     return df.filter(cut.covers(seed, F.col(entity)))

@@ -5,25 +5,24 @@ from pyspark.sql import functions as F
 
 from entityvec.functions.ids import compose_ids, enrich_identifiers
 from entityvec.functions.joins import sent_if_small
-from entityvec.functions.schema import require_columns
+from entityvec.functions.schema import HELPER_COLUMNS, require_columns
+from entityvec.functions.scratch import written
 from entityvec.operators.entities import entity_counts
 from entityvec.operators.splits import split_of
 
-# Helper columns that the split tables do not carry.
-HELPER_COLUMNS = ("tar_file", "image_path")
-
 
 def entity_split(df: DataFrame, entity: str = "building_id", seed: int = 42,
                  train: float = 0.7, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """Rows of entities with at least two rows, with ``split``; no entity is in two splits.
 
-    The wide rows are read once. Counts and cut points come from a scan of the id columns,
-    and the split is an expression of the id, so the only join is the singleton filter.
+    The wide rows are read once. The entity table is written from one scan of the id columns and gives
+    the cut points and the singletons; the split is an expression of the id, so the only join is the
+    singleton filter.
     """
     if entity == "building_id" and entity not in df.columns:
         require_columns(df, ["dataset_id", "target_id", "patch_id"], "split input")
         df = compose_ids(df)
-    counts = entity_counts(df, entity)
+    counts = written(entity_counts(df, entity), "entities")
     split = split_of(counts.filter("n > 1").select(entity), entity, seed, train, val, test)
     single = sent_if_small(counts.filter("n = 1").select(entity))
     rows = df.join(single, entity, "left_anti")

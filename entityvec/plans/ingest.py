@@ -1,44 +1,118 @@
 """Archives to intermediate rows, and intermediate rows to fingerprints."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entityvec.functions import ids
+from entityvec.functions.joins import sent_if_small
+from entityvec.functions.schema import require_columns
+from entityvec.functions.scratch import written
 from entityvec.operators.images import FINGERPRINT_SIZE, Decoder, pixel_fingerprint, validate_images
+from entityvec.operators.inference import VectorFn, apply_vectorizer
 from entityvec.operators.ingest import (
-    IMAGE_SUFFIXES, match_paths, pair_metadata_images, vector_job_stats)
-from entityvec.sources.archives import metadata_texts, read_archives
+    IMAGE_SUFFIXES, ingest_stats, intermediate_rows, match_paths, pair_metadata_images, vector_job_stats)
+from entityvec.operators.keysets import keep_keys
+from entityvec.operators.neighbors import DIFFICULTY_COLUMNS
+from entityvec.operators.splits import sample_entities
+from entityvec.sources.archives import list_archive_members, read_members, texts_of
+from entityvec.sources.tables import write_shards
 
 
 def archive_outcomes(spark: SparkSession, paths: Iterable[str],
                      decode: Decoder | None = None) -> DataFrame:
     """Every metadata file of the archives with parsed fields, ``ext`` and ``outcome``.
 
-    Archives whose name is not a number are left out, as they have no dataset id.
+    Archives whose name is not a number give nothing, as they have no dataset id. Each archive is listed once.
     """
-    known = [p for p in paths if p.rpartition("/")[2].rsplit(".", 1)[0].isdigit()]
-    text = metadata_texts(spark, known)
+    known = [p for p in paths if _has_dataset(p)]
+    members = written(list_archive_members(spark, known), "members")
+    text = texts_of(read_members(members.filter("ext = '.txt'")))
     meta = ids.parse_metadata_line(text, "text", ids.shard_id(F.col("tar_file"))).drop("text")
-    images = validate_images(read_archives(spark, known, IMAGE_SUFFIXES), "content", decode)
+    pictures = read_members(members.filter(F.col("ext").isin(*IMAGE_SUFFIXES)))
+    images = validate_images(pictures, "content", decode)
     return pair_metadata_images(meta, images.select("tar_file", "dir", "stem", "ext", "ok"))
 
 
+def _has_dataset(path: str) -> bool:
+    return path.rpartition("/")[2].split(".", 1)[0].isdigit()
+
+
+def ingest_archives(spark: SparkSession, paths: Iterable[str], out: str,
+                    decode: Decoder | None = None) -> DataFrame:
+    """Archives to intermediate rows under ``out`` (a folder per dataset); returns a row of stats per archive.
+
+    An archive that is damaged, or whose name is no number, has zeros and ``read`` false.
+    """
+    paths = list(paths)
+    outcomes = written(archive_outcomes(spark, paths, decode), "outcomes")
+    write_shards(intermediate_rows(outcomes), out)
+    asked = spark.createDataFrame([(p.rpartition("/")[2],) for p in paths], "tar_file string").distinct()
+    stats = ingest_stats(outcomes)
+    counts = [c for c in stats.columns if c != "tar_file"]
+    return (asked.join(stats, "tar_file", "left")
+            .select("tar_file", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+                    F.col(counts[0]).isNotNull().alias("read")))
+
+
+def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn], out: str,
+                  batch_size: int = 32, pooling: str = "cls_token") -> tuple[DataFrame, DataFrame]:
+    """Vectors of the rows whose image is found, written to ``out`` in a folder per shard, and the job's totals.
+
+    ``rows`` has ``shard`` and ``image_path``; ``files`` has ``shard, file, content``. A shard that ``out``
+    holds already is not done again. The model runs where the contents lie; only vectors are joined.
+    """
+    spark = rows.sparkSession
+    try:
+        done = spark.read.parquet(out).select("shard").distinct()
+        rows = rows.join(sent_if_small(done), "shard", "left_anti")
+    except AnalysisException:
+        pass
+    matched = written(match_paths(rows, files.select("shard", "file")), "matched")
+    found = matched.filter(F.col("path_status") == "ok")
+    wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
+    contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
+    made = apply_vectorizer(contents, load, "content", batch_size=batch_size, pooling=pooling)
+    vectors = made.select("shard", F.col("file").alias("matched_path"), "embedding")
+    full = found.join(vectors, ["shard", "matched_path"]).select(*rows.columns, "embedding")
+    if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
+        full = ids.compose_ids(full)
+    write_shards(full, out, "shard", "append")
+    return (spark.read.parquet(out),
+            vector_job_stats(matched.withColumn("_done", F.col("path_status") == "ok"), "_done"))
+
+
+def training_set(splits: DataFrame, difficulty: DataFrame, entity: str = "building_id",
+                 item: str = "streetview_image_id", n: int | None = None, fraction: float | None = None,
+                 seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows of a sample of entities, and the difficulty rows of their items.
+
+    Both tables are checked for their columns before any job starts.
+    """
+    require_columns(splits, [entity, item, "embedding", "split"], "split table")
+    require_columns(difficulty, DIFFICULTY_COLUMNS, "difficulty table")
+    rows = sample_entities(splits, entity, n, fraction, seed)
+    keys = rows.select(F.col(item).alias("target_coord_hash")).distinct()
+    return rows, keep_keys(difficulty, keys, "target_coord_hash")
+
+
 def fingerprint_job(rows: DataFrame, files: DataFrame, decode: Decoder,
                     size: int = FINGERPRINT_SIZE) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of the rows whose image is found, and the totals of the job.
 
     ``rows`` has ``shard`` and ``image_path``; ``files`` has ``shard, file, content``. Paths
-    are matched on names only; contents are joined to the matches and stay on their tasks.
+    are matched on names only; fingerprints are made where the contents lie, so what is joined
+    are 3 * size * size numbers.
     """
-    matched = match_paths(rows, files.select("shard", "file"))
-    found = matched.filter(F.col("path_status") == "ok").join(
-        files.select("shard", F.col("file").alias("matched_path"), "content"),
-        ["shard", "matched_path"])
-    made = pixel_fingerprint(found, "content", size, decode)
-    keep = [c for c in rows.columns]
-    out = made.select(*keep, "fingerprint", "decoded")
+    matched = written(match_paths(rows, files.select("shard", "file")), "matched")
+    found = matched.filter(F.col("path_status") == "ok")
+    wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
+    contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
+    made = pixel_fingerprint(contents, "content", size, decode).select(
+        "shard", F.col("file").alias("matched_path"), "fingerprint", "decoded")
+    out = found.join(made, ["shard", "matched_path"]).select(*rows.columns, "fingerprint", "decoded")
     if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
         out = ids.compose_ids(out)
     stats = vector_job_stats(

@@ -1,12 +1,15 @@
 """Tar archives: list the members first, then read them in parallel by offset.
 
-Only headers are read for the listing (a reader seeks over the contents), so a single large
-archive does not have to be unpacked or read by one task. Paths must be reachable through
-the file system of every executor.
+Only headers are read for the listing of a plain archive (a reader seeks over the contents), so a
+single large one does not have to be unpacked or read by one task. A compressed archive has no
+offsets to seek to: one task streams it. Paths must be reachable through the file system
+of every executor; object stores need a mount.
 """
 
+import lzma
 import math
 import tarfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from entityvec.functions.scratch import written
 
 MEMBERS = ("path string, tar_file string, dir string, stem string, ext string, "
-           "offset bigint, size bigint")
+           "offset bigint, size bigint, packed boolean")
 TARGET_BYTES = 64 * 1024 * 1024
 MAX_TASKS = 100_000
 
@@ -27,18 +30,28 @@ def _split_name(name: str) -> tuple[str, str, str]:
     return (folder, stem, "." + ext) if dot and stem else (folder, base, "")
 
 
+# First bytes of the compressed formats that tar archives come in.
+PACKED = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00")
+
+
+def _is_packed(path: str) -> bool:
+    with open(path, "rb") as f:
+        return f.read(6).startswith(PACKED)
+
+
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "tar_file", "dir", "stem", "ext", "offset", "size"]
+    columns = ["path", "tar_file", "dir", "stem", "ext", "offset", "size", "packed"]
     for batch in batches:
         for path in batch["path"]:
             rows = []
             try:
-                with tarfile.open(path, "r:") as tar:
+                packed = _is_packed(path)
+                with tarfile.open(path, "r:*") as tar:
                     for m in tar:
                         if m.isfile():
                             rows.append((path, path.rpartition("/")[2], *_split_name(m.name),
-                                         m.offset_data, m.size))
-            except (tarfile.TarError, OSError, EOFError):
+                                         m.offset_data, m.size, packed))
+            except (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError):
                 # An archive that cannot be read to its end gives nothing at all.
                 rows = []
             for i in range(0, len(rows), 10_000):
@@ -46,7 +59,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_archive_members(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """One row per file in the (uncompressed) archives."""
+    """One row per file in the archives, of any compression; none for an archive that is damaged."""
     names = spark.createDataFrame([(p,) for p in paths], "path string")
     count = max(1, names.count())
     return names.repartition(min(count, 10_000)).mapInPandas(_list, MEMBERS)
@@ -55,42 +68,66 @@ def list_archive_members(spark: SparkSession, paths: Iterable[str]) -> DataFrame
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, part in batch.sort_values(["path", "offset"]).groupby("path", sort=False):
-            with open(path, "rb") as f:
-                held, size = [], 0
-                for row in part.itertuples(index=False):
-                    f.seek(row.offset)
-                    held.append((row.tar_file, row.dir, row.stem, row.ext, f.read(row.size)))
-                    size += row.size
-                    if size >= TARGET_BYTES:
-                        yield _frame(held)
-                        held, size = [], 0
-                if held:
+            held, size = [], 0
+            for row, content in (_streamed if part["packed"].iloc[0] else _sought)(path, part):
+                held.append((row.tar_file, row.dir, row.stem, row.ext, content))
+                size += row.size
+                if size >= TARGET_BYTES:
                     yield _frame(held)
+                    held, size = [], 0
+            if held:
+                yield _frame(held)
+
+
+def _sought(path: str, part: pd.DataFrame):
+    with open(path, "rb") as f:
+        for row in part.itertuples(index=False):
+            f.seek(row.offset)
+            yield row, f.read(row.size)
+
+
+def _streamed(path: str, part: pd.DataFrame):
+    wanted = {row.offset: row for row in part.itertuples(index=False)}
+    with tarfile.open(path, "r|*") as tar:
+        for m in tar:
+            if m.offset_data in wanted:
+                yield wanted[m.offset_data], tar.extractfile(m).read()
 
 
 def _frame(rows) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tar_file", "dir", "stem", "ext", "content"])
 
 
-def read_archives(spark: SparkSession, paths: Iterable[str],
-                  suffixes: Iterable[str] | None = None) -> DataFrame:
-    """``tar_file, dir, stem, ext, content`` of the members, optionally of some suffixes.
+def read_members(members: DataFrame) -> DataFrame:
+    """``tar_file, dir, stem, ext, content`` of listed members.
 
-    Members are grouped by (archive, 64 MB range) so that reads stay sequential. The number
-    of tasks follows the bytes behind the members, which a shuffle cannot see.
+    Members are grouped by (archive, 64 MB range) so that reads stay sequential; those of a
+    compressed archive stay together. The number of tasks follows the bytes behind the
+    members, which a shuffle cannot see.
     """
-    members = list_archive_members(spark, paths)
-    if suffixes is not None:
-        members = members.filter(F.col("ext").isin(list(suffixes)))
-    members = written(members, "members")
     total = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    tasks = min(max(math.ceil(total / TARGET_BYTES), spark.sparkContext.defaultParallelism),
+    tasks = min(max(math.ceil(total / TARGET_BYTES), members.sparkSession.sparkContext.defaultParallelism),
                 MAX_TASKS)
-    return (members.repartition(tasks, "path", F.floor(F.col("offset") / TARGET_BYTES))
+    part = F.when(F.col("packed"), F.lit(0)).otherwise(F.floor(F.col("offset") / TARGET_BYTES))
+    return (members.repartition(tasks, "path", part)
             .mapInPandas(_read, "tar_file string, dir string, stem string, ext string, content binary"))
 
 
+def read_archives(spark: SparkSession, paths: Iterable[str],
+                  suffixes: Iterable[str] | None = None) -> DataFrame:
+    """``tar_file, dir, stem, ext, content`` of the members, optionally of some suffixes."""
+    members = list_archive_members(spark, paths)
+    if suffixes is not None:
+        members = members.filter(F.col("ext").isin(list(suffixes)))
+    return read_members(written(members, "members"))
+
+
+def texts_of(contents: DataFrame) -> DataFrame:
+    """``tar_file, dir, stem, text``; null where the content is not UTF-8."""
+    text = F.col("content").cast("string")
+    return contents.select("tar_file", "dir", "stem", F.when(F.is_valid_utf8(text), text).alias("text"))
+
+
 def metadata_texts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """``tar_file, dir, stem, text`` of the text members."""
-    return read_archives(spark, paths, [".txt"]).select(
-        "tar_file", "dir", "stem", F.decode("content", "UTF-8").alias("text"))
+    return texts_of(read_archives(spark, paths, [".txt"]))

@@ -5,9 +5,12 @@ the ledger names, so a run that dies in between leaves no trace in the results.
 a fixed range of rows of one input file.
 """
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -27,6 +30,18 @@ FINAL_STATES = ("done", "empty", "failed")
 IDENTITY = ("input_path", "model_id", "filter_valid")
 
 
+def relative_file(input_path: str):
+    """Name of a row's file below ``input_path``: equal base names in two folders stay apart.
+
+    A file given by its own path has its base name, and one found by a pattern its whole path.
+    """
+    root = quote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "", input_path.rstrip("/")), safe="/=:@!$&'()*+,;~-._")
+    path = F.col("_metadata.file_path")
+    at = F.instr(path, root + "/")
+    return (F.when(at > 0, F.substring(path, at + len(root) + 1, F.length(path)))
+            .when(path.endswith(root), F.col("_metadata.file_name")).otherwise(path))
+
+
 def chunk_of(file_name, row_index, chunk_rows: int):
     """Stable name of the chunk that holds a row of a file."""
     return F.concat_ws("#", file_name, F.floor(row_index / chunk_rows).cast("bigint").cast("string"))
@@ -126,15 +141,12 @@ def packaged_inference(spark: SparkSession, input_path: str, out: str,
     ledger = read_ledger(spark, out)
     check_ledger(ledger, input_path, model_id, filter_valid)
     source = spark.read.parquet(input_path)
-    name = chunk_of(F.col("_metadata.file_name"), F.col("_metadata.row_index"), chunk_rows)
+    name = chunk_of(relative_file(input_path), F.col("_metadata.row_index"), chunk_rows)
     rows = source.select("*", name.alias("chunk"), F.col("_metadata.row_index").alias("row"))
-    own_key = F.col(key) if key in source.columns else F.lit(None).cast("bigint")
     todo = pending_rows(rows, ledger)
     chunks = todo.select("chunk").distinct()
-    usable = (todo if "is_valid" not in source.columns or not filter_valid
-              else todo.filter(F.col("is_valid").eqNullSafe(True)))
-    usable = usable.filter(F.length(payload) > 0).select(
-        "chunk", "row", own_key.alias("key"), F.col(payload).alias("payload"))
+    usable = usable_payloads(todo, payload, key, filter_valid=filter_valid, keep=("chunk", "row")).select(
+        "chunk", "row", F.col(key).alias("key"), F.col(payload).alias("payload"))
     cut = None
     if limit is not None:
         chunks, cut = _within_limit(chunks, usable, ledger, limit)
@@ -173,9 +185,13 @@ def _within_limit(chunks: DataFrame, usable: DataFrame, ledger: DataFrame,
     sizes = written(usable.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "chunk-sizes")
     if sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= room:
         return chunks, None
-    # A chunk with rows holds at least one, so no more than ``room`` of them can matter.
-    summed = sizes.orderBy("chunk").limit(room + 1).withColumn("_sum", F.sum("n").over(
-        Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)))
+    # Names in order over range partitions: only a sum for each partition is gathered.
+    parts = written(sizes.repartitionByRange("chunk").withColumn("_part", F.spark_partition_id()), "chunk-ranges")
+    before = (parts.groupBy("_part").agg(F.sum("n").alias("_all"))
+              .withColumn("_before", F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).drop("_all"))
+    inside = Window.partitionBy("_part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    summed = (parts.join(F.broadcast(before), "_part")
+              .withColumn("_sum", F.sum("n").over(inside) + F.col("_before")))
     crossing = (summed.filter((F.col("_sum") > room) & (F.col("_sum") - F.col("n") < room))
                 .select("chunk", (room - F.col("_sum") + F.col("n")).alias("m")).collect())
     whole = summed.filter(F.col("_sum") <= room).select("chunk")
@@ -191,6 +207,3 @@ def read_vectors(spark: SparkSession, out: str, key: str = "OSMID") -> DataFrame
     return (spark.read.parquet(f"{out}/attempts").join(valid, ["run_id", "chunk"], "left_semi")
             .select(F.col("key").alias(key), "embedding"))
 
-
-__all__ = ["chunk_of", "read_ledger", "check_ledger", "pending_rows", "chunk_states",
-           "attempt_vectors", "packaged_inference", "read_vectors", "usable_payloads"]

@@ -1,13 +1,15 @@
 """Parquet inputs: shards, fingerprints and packaged images; partitioned outputs."""
 
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from entityvec.functions.schema import require_columns
+from entityvec.functions.schema import HELPER_COLUMNS, require_columns
 
 FINGERPRINT_SCHEMA = T.StructType([
     T.StructField("streetview_image_id", T.StringType()),
@@ -34,30 +36,59 @@ def read_parquet_dir(spark: SparkSession, path: str, columns: Sequence[str] | No
     return df.select(*picked)
 
 
-def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint shards; a damaged file is skipped, having none left is an error."""
+def fingerprint_files(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], list[str]]:
+    """(files by their own schema, files whose footer cannot be read) of a folder of shards."""
     try:
-        df = (spark.read.schema(FINGERPRINT_SCHEMA).option("pathGlobFilter", "*.parquet")
-              .option("ignoreCorruptFiles", True).parquet(path))
+        files = spark.read.schema(FINGERPRINT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(path).inputFiles()
     except AnalysisException as e:
         raise ValueError(f"no fingerprint files in {path}") from e
-    if not df.inputFiles():
+    if not files:
         raise ValueError(f"no fingerprint files in {path}")
-    if not df.take(1):
+    by_schema: dict[str, list[str]] = {}
+    skipped = []
+    for file in sorted(files):
+        try:
+            by_schema.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
+        except Exception:  # whatever a damaged footer raises
+            skipped.append(file)
+    return by_schema, skipped
+
+
+def read_fingerprints(spark: SparkSession, path: str, skipped: list[str] | None = None) -> DataFrame:
+    """Fingerprint shards, ids as text whatever type a shard stores them in.
+
+    A file whose footer is damaged is left out: its name is appended to ``skipped``, and
+    warned of without that list. Having no other file is an error. Damage inside a file fails the job that reads it.
+    """
+    by_schema, bad = fingerprint_files(spark, path)
+    if bad and skipped is None:
+        warnings.warn(f"fingerprint files that cannot be read: {', '.join(bad)}", stacklevel=2)
+    elif bad:
+        skipped += bad
+    parts = []
+    for files in by_schema.values():
+        df = spark.read.parquet(*files)
+        require_columns(df, FINGERPRINT_SCHEMA.names, files[0])
+        parts.append(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FINGERPRINT_SCHEMA]))
+    if not parts:
         raise ValueError(f"no fingerprint could be read from {path}")
-    return df
+    return reduce(DataFrame.union, parts)
 
 
 def usable_payloads(df: DataFrame, payload: str = "image_bytes", key: str = "OSMID",
-                    valid: str = "is_valid", filter_valid: bool = True) -> DataFrame:
-    """(key, payload) of valid rows with a non-empty payload; a missing key column is null."""
+                    valid: str = "is_valid", filter_valid: bool = True,
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """(key, payload) of valid rows with a non-empty payload; a missing key column is null.
+
+    ``keep`` names further columns to return before them.
+    """
     require_columns(df, [payload], "packaged images")
     out = df
     if filter_valid and valid in df.columns:
         out = out.filter(F.col(valid).eqNullSafe(True))
     out = out.filter(F.length(payload) > 0)
     own = F.col(key) if key in df.columns else F.lit(None).cast("bigint").alias(key)
-    return out.select(own, payload)
+    return out.select(*keep, own, payload)
 
 
 def read_packaged_images(spark: SparkSession, path: str, filter_valid: bool = True) -> DataFrame:
@@ -79,5 +110,5 @@ def write_splits(rows: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
     Every task writes its own part of each of the few splits, so the wide rows do not move.
     """
-    kept = [c for c in rows.columns if c not in ("tar_file", "image_path")]
+    kept = [c for c in rows.columns if c not in HELPER_COLUMNS]
     rows.select(*kept).write.mode(mode).partitionBy("split").parquet(path)

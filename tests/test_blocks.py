@@ -1,12 +1,17 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entityvec.operators import neighbors, retrieval
-from entityvec.operators.blocks import BlockSearch, Layout
+from entityvec.operators.blocks import BlockSearch, Layout, _nearest, _struct_of, best_pairs
 
-LAYOUTS = [Layout(), Layout(block_rows=16, cells=9, copies_from=0),
-           Layout(block_rows=1000, cells=40), Layout(block_rows=7, cells=1, copies_from=0)]
+LAYOUTS = [Layout(), Layout(block_rows=16, cells=9, tile=10),
+           Layout(block_rows=1000, cells=40), Layout(block_rows=7, cells=1, tile=3)]
 
 
 def data(kind: str, n=240, d=6, seed=1):
@@ -22,6 +27,8 @@ def data(kind: str, n=240, d=6, seed=1):
     elif kind == "hot_copies":
         for i in range(0, n, 3):
             e[i], x[i] = "hot", 4.0
+    elif kind == "no_entity":
+        e[::4] = [None] * len(e[::4])
     elif kind == "clusters":
         x = x + 100 * (np.arange(n) % 5)[:, None]
     return [(f"i{i:04d}", e[i], [float(v) for v in x[i]]) for i in range(n)]
@@ -52,7 +59,7 @@ def found(edges):
     return out
 
 
-@pytest.mark.parametrize("kind", ["plain", "copies", "hot", "hot_copies", "clusters"])
+@pytest.mark.parametrize("kind", ["plain", "copies", "hot", "hot_copies", "clusters", "no_entity"])
 @pytest.mark.parametrize("layout", LAYOUTS, ids=range(len(LAYOUTS)))
 def test_knn_is_exact(spark, kind, layout):
     rows = data(kind)
@@ -115,8 +122,6 @@ def test_pruning_leaves_far_cells_alone(spark):
     rows = frame(spark, data("clusters", 600))
     search = BlockSearch(rows.select(F.col("item").alias("id"), F.col("entity").alias("grp"), "vec"),
                          layout=Layout(block_rows=64, cells=30))
-    from pyspark.sql import types as T
-    from entityvec.operators.blocks import _struct_of
     member = _struct_of(search.corpus.schema, [T.StructField("bound", T.DoubleType())])
     met = search._meet(search._blocks, search._blocks, search._cells, 5, True, True, member)
     sent = met.filter("not home").agg(F.sum(F.size("pack"))).first()[0]
@@ -124,6 +129,31 @@ def test_pruning_leaves_far_cells_alone(spark):
     assert sent < 600 * search.summary.blocks.sum() * 0.3
 
 
+def test_equal_vectors_give_no_more_than_k_edges():
+    n, k = 2000, 150
+    rows = pa.array([{"id": f"i{i:05d}", "grp": f"e{i}", "vec": [1.0, 2.0], "bound": 0.0} for i in range(n)])
+    found = [np.concatenate(x) for x in zip(*best_pairs(rows, rows, "euclidean", k, True, 512))]
+    assert len(found[0]) == n * k and (np.bincount(found[0]) == k).all()
+    # Equal scores go to the smallest ids of other groups.
+    first = sorted(found[1][found[0] == 3])
+    assert first == [i for i in range(k + 1) if i != 3]
+
+
+def test_a_row_travels_once_for_each_large_block(spark):
+    n, k = 30_000, 150
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(n, 32)) / np.sqrt(np.arange(1, 33))
+    rows = spark.createDataFrame([(i, i // 4, v.tolist()) for i, v in enumerate(x)], "id int, grp int, vec array<double>")
+    search = BlockSearch(rows)
+    member = _struct_of(search.corpus.schema, [T.StructField("bound", T.DoubleType())])
+    met = search._meet(search._blocks, search._blocks, search._cells, k, True, True, member)
+    assert search.summary.blocks.sum() <= 4
+    assert met.agg(F.sum(F.size("pack"))).first()[0] <= n * search.summary.blocks.sum()
+    edges = met.select("home", "pack", "rows").mapInArrow(
+        _nearest("euclidean", k, True, 1024), "id int, grp int, nb_id int, nb_grp int, score double")
+    assert edges.filter("nb_id is not null").count() <= 2 * n * k
+
+
 def ranks_by_hand(rows, asked):
     x = np.array([r[2] for r in rows])
     out = {}
@@ -147,6 +177,35 @@ def test_query_ranks(spark, kind, values):
     assert {r["item"]: r["rank"] for r in got.collect()} == want
 
 
+def test_queries_are_chosen_without_vectors(spark):
+    rows = frame(spark, data("plain", 200))
+    got = retrieval.retrieval_queries(rows, "entity", "item", 2, 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("vec" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    ids = retrieval.retrieval_queries(rows.select("entity", "item"), "entity", "item", 2, 20)
+    assert sorted(r.item for r in got.collect()) == sorted(r.item for r in ids.collect()) and got.columns == rows.columns
+
+
+def test_many_narrow_queries_in_little_memory():
+    n = 100_000
+    draw = np.random.default_rng(0)
+    ids, groups = np.arange(n), np.arange(n) % 5000
+    vec = draw.normal(size=(n, 16))
+    q = {"id": ids.tolist(), "grp": groups.tolist(), "vec": vec}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(ids[:64]), pa.array(groups[:64]), pa.array(vec[:64].tolist())], names=["id", "grp", "vec"])
+    tracemalloc.start()
+    made = list(retrieval._stream(_Sent(cloudpickle.dumps(q)), retrieval._best_step)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in made) > 1000
+
+
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
 def test_recall(spark):
     ranks = spark.createDataFrame([("a", 1), ("b", 7), ("c", None), ("d", 40)], "item string, rank bigint")
     got = {r.k: r.recall for r in retrieval.recall_at_k(ranks, 30, (1, 10, 100)).collect()}

@@ -1,4 +1,8 @@
+import bz2
+import gzip
 import io
+import lzma
+import shutil
 import os
 import sys
 import tarfile
@@ -11,7 +15,8 @@ from pyspark.sql import functions as F
 from entityvec.operators import images, ingest
 from entityvec.plans.assembly import assemble
 from entityvec.plans.difficulty import fingerprint_difficulty, write_difficulty
-from entityvec.plans.ingest import archive_outcomes, fingerprint_job
+from entityvec.plans.ingest import (
+    archive_outcomes, embedding_job, fingerprint_job, ingest_archives, training_set)
 from entityvec.sources import archives, tables
 
 # The functions below run in tasks, which do not see this file.
@@ -84,6 +89,91 @@ def test_outcomes(spark, archive):
     assert rows["0061/0061/ok1.jpeg"].streetview_image_id == "0061_11"
 
 
+def test_compressed_archives(spark, archive, tmp_path):
+    plain = archives.read_archives(spark, archive[:1]).collect()
+    raw = open(archive[0], "rb").read()
+    for name, pack in (("0071.tar", gzip.compress), ("0072.tar.bz2", bz2.compress), ("0073.tar.xz", lzma.compress)):
+        path = tmp_path / name
+        path.write_bytes(pack(raw))
+        got = archives.read_archives(spark, [str(path)]).collect()
+        assert sorted((r.dir, r.stem, r.ext, bytes(r.content)) for r in got) == sorted(
+            (r.dir, r.stem, r.ext, bytes(r.content)) for r in plain)
+    (tmp_path / "0074.tar").write_bytes(gzip.compress(raw)[:300])
+    assert archives.read_archives(spark, [str(tmp_path / "0074.tar")]).count() == 0
+
+
+def test_text_that_is_not_utf8_is_an_orphan(spark, tmp_path):
+    path = tmp_path / "0061.tar"
+    with tarfile.open(path, "w") as tar:
+        for name, data in (("a.txt", b"\xe9 no"), ("b.txt", LINE.format(t=1, p=2).encode()), ("b.jpg", encode(2, 2, 7))):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    got = {r.stem: r.outcome for r in archive_outcomes(spark, [str(path)], decode).collect()}
+    assert got == {"a": "orphan", "b": "valid"}
+
+
+def test_archives_to_intermediate_rows(spark, archive, tmp_path):
+    out = str(tmp_path / "intermediate")
+    stats = {r.tar_file: tuple(r)[1:] for r in ingest_archives(spark, archive, out, decode).collect()}
+    zero = (0, 0, 0, 0, 0, 0, False)
+    assert stats == {"0061.tar": (7, 3, 4, 2, 1, 1, True), "0062.tar": zero, "0063.tar": zero, "notes.tar": zero}
+    assert {(r.dataset_id, r.image_path) for r in spark.read.parquet(out).collect()} == {
+        (61, "0061/0061/ok0.jpg"), (61, "0061/0061/ok1.jpeg"), (61, "0061/0061/dot.v1.jpg")}
+
+
+def test_embedding_job_goes_on(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a.jpg"), (1, "none.jpg"), (2, "1/x/b.jpg"), (2, "c.jpg")], "shard int, image_path string")
+    files = spark.createDataFrame([(1, "a.jpg", b"12"), (2, "x/b.jpg", b"1"), (2, "c.jpg", b"123"), (2, "d.jpg", b"")],
+                                  "shard int, file string, content binary")
+    out = str(tmp_path / "vectors")
+
+    def load():
+        return lambda payloads: np.array([[len(p)] for p in payloads], np.float32)
+
+    def go(part):
+        made, stats = embedding_job(part, files, load, out)
+        return {(r.shard, r.image_path): list(r.embedding) for r in made.collect()}, tuple(stats.first())
+
+    made, stats = go(rows.filter("shard = 1"))
+    assert made == {(1, "a.jpg"): [2.0]} and stats == (2, 1, 1, 1)
+    made, stats = go(rows)
+    assert made[(1, "a.jpg")] == [2.0] and made[(2, "c.jpg")] == [3.0] and stats[0] == 2
+    assert len(made) == len(set(made)) and go(rows)[1][0] == 0
+
+
+def test_training_set(spark):
+    splits = spark.createDataFrame([(f"b{i // 2}", f"i{i}", [1.0], "train") for i in range(20)],
+                                   "building_id string, streetview_image_id string, embedding array<float>, split string")
+    difficulty = spark.createDataFrame([(f"i{i}", ["x"], [1.0], [0]) for i in range(0, 30, 3)],
+                                       "target_coord_hash string, neighbor_building_ids array<string>, "
+                                       "neighbor_distances_meters array<double>, neighbor_bands array<int>")
+    rows, near = training_set(splits, difficulty, n=4)
+    items = {r.streetview_image_id for r in rows.collect()}
+    assert len(items) == 8
+    assert {r.target_coord_hash for r in near.collect()} == {f"i{i}" for i in range(0, 30, 3)} & items
+    with pytest.raises(ValueError, match="embedding"):
+        training_set(splits.drop("embedding"), difficulty)
+
+
+def test_fingerprints_with_mixed_id_types(spark, tmp_path):
+    path = tmp_path / "fp"
+    path.mkdir()
+    for kind in ("string", "bigint"):
+        (spark.range(4).selectExpr(f"cast(id as {kind}) streetview_image_id", f"cast(id as {kind}) building_id",
+                                   "array(cast(1 as int)) fingerprint")
+         .coalesce(1).write.parquet(str(tmp_path / kind)))
+        for f in (tmp_path / kind).glob("*.parquet"):
+            shutil.copy(f, path / f"{kind}.parquet")
+    (path / "bad.parquet").write_bytes(b"nothing of the kind")
+    skipped = []
+    got = tables.read_fingerprints(spark, str(path), skipped)
+    assert got.count() == 8 and {r.streetview_image_id for r in got.collect()} == {"0", "1", "2", "3"}
+    assert [s.rpartition("/")[2] for s in skipped] == ["bad.parquet"]
+    with pytest.warns(UserWarning, match="bad.parquet"):
+        tables.read_fingerprints(spark, str(path))
+
+
 def test_orphan_images(spark):
     meta = spark.createDataFrame([("t", "d", "a")], "tar_file string, dir string, stem string")
     imgs = spark.createDataFrame([("t", "d", "a", ".jpg"), ("t", "e", "a", ".jpeg"), ("t", "d", "b", ".png")],

@@ -73,6 +73,36 @@ def test_states_and_resume(spark, packaged, tmp_path):
     assert resumable.read_vectors(spark, out).schema["embedding"].dataType.elementType.typeName() == "float"
 
 
+def test_equal_file_names_in_two_folders(spark, tmp_path):
+    base, out = tmp_path / "in here", str(tmp_path / "out")
+
+    def put(folder, lo):
+        target = base / folder
+        (spark.range(lo, lo + 5).select(F.col("id").alias("OSMID"), F.lit(b"ab").alias("image_bytes"))
+         .coalesce(1).write.parquet(str(tmp_path / f"t{lo}")))
+        target.mkdir(parents=True)
+        for f in (tmp_path / f"t{lo}").glob("*.parquet"):
+            f.rename(target / "0001.parquet")
+
+    put("d=1", 0)
+    run(spark, str(base), out)
+    put("d=2", 5)
+    made = run(spark, str(base), out)
+    assert made == {"0": ("done", 5)} and keys(spark, out) == list(range(10))
+    chunks = {r.chunk for r in resumable.read_ledger(spark, out).collect()}
+    assert chunks == {"d=1/0001.parquet#0", "d=2/0001.parquet#0"}
+
+
+def test_limit_over_thousands_of_chunks(spark):
+    n = 3000
+    usable = spark.range(n * 2).select(F.format_string("c%05d", F.floor(F.col("id") / 2)).alias("chunk"))
+    chunks = usable.distinct()
+    none = spark.createDataFrame([], resumable.LEDGER)
+    whole, cut = resumable._within_limit(chunks, usable, none, 4001)
+    assert whole.count() == 2000 and cut == ("c02000", 1)
+    assert whole.agg(F.max("chunk")).first()[0] == "c01999"
+
+
 def test_other_model_is_refused(spark, packaged, tmp_path):
     out = str(tmp_path / "out")
     run(spark, packaged, out)
