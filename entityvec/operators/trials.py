@@ -71,16 +71,24 @@ def trial_objectives(trials: DataFrame) -> DataFrame:
         "name", recall.alias("recall"), number("best_val_loss", "val_loss").alias("loss"))
 
 
+def _wraps_value(text: Column) -> Column:
+    """Whether the text is a JSON object with a field ``value``, null or not."""
+    return F.coalesce(F.array_contains(F.json_object_keys(text), "value"), F.lit(False))
+
+
 def merge_hyperparameters(trials: DataFrame, base: Mapping[str, object],
                           keys: Sequence[str] = HYPERPARAMETERS,
                           config: str = "config") -> DataFrame:
-    """One column per key: the trial's setting, unwrapped from ``{"value": ...}``, or the base."""
+    """One column per key: the trial's setting, unwrapped from ``{"value": ...}``, or the base.
+
+    A wrapped null is null, not the text that wraps it.
+    """
     def setting(key: str) -> Column:
         own = _entry(F.col(config), key)
         default = base.get(key)
         fallback = F.lit(None if default is None else str(default)).cast("string")
         return F.when(F.coalesce(F.map_contains_key(config, key), F.lit(False)),
-                      F.coalesce(F.get_json_object(own, "$.value"), own)).otherwise(fallback)
+                      F.when(_wraps_value(own), F.get_json_object(own, "$.value")).otherwise(own)).otherwise(fallback)
 
     others = [c for c in trials.columns if c != config]
     return trials.select(*others, *[setting(k).alias(k) for k in keys])

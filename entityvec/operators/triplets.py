@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityvec.functions.hashing import draw, keyed_hash
+from entityvec.functions.joins import sent_if_small
 from entityvec.functions.scratch import written
 from entityvec.functions.schema import require_columns
 from entityvec.functions.vectors import cosine_distance, euclidean
@@ -201,9 +202,16 @@ def mean_loss(scored: DataFrame) -> DataFrame:
 def validation_loss(space: TripletSpace, difficulty: DataFrame, vectors: DataFrame, item: str,
                     vector: str, samples: int = 1000, margin: float = 0.5,
                     distance: str = "euclidean", warmup: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean loss of at most ``samples`` draws; validation gives no rewards, so no state."""
-    pairs = sample_pairs(space, min(samples, space.item_count), seed)
-    drawn = sample_negatives(pairs, difficulty, space, None, warmup=warmup, seed=seed)
+    """Mean loss of at most ``samples`` draws; validation gives no rewards, so no state.
+
+    The draws go to the neighbour lists and vectors they need, so neither table is shuffled whole.
+    """
+    pairs = written(sample_pairs(space, min(samples, space.item_count), seed), "validation-pairs")
+    anchors = pairs.select(F.col("anchor").alias("target_coord_hash")).distinct()
+    difficulty = difficulty.join(sent_if_small(anchors), "target_coord_hash", "left_semi")
+    drawn = written(sample_negatives(pairs, difficulty, space, None, warmup=warmup, seed=seed), "validation-draws")
+    needed = drawn.select(F.explode(F.array("anchor", "positive", "negative")).alias(item)).distinct()
+    vectors = vectors.join(sent_if_small(needed), item, "left_semi")
     return mean_loss(scored_triplets(drawn, vectors, item, vector, margin, distance))
 
 

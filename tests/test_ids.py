@@ -85,9 +85,9 @@ def test_schema_repair(spark):
     old = spark.createDataFrame(
         [(1.5, "0003_1338", "0003_5", "x")],
         "target_lat double, dataset_target_id string, dataset_patch_id string, dataset_target_patch_id string")
-    fixed, notes = ids.repair_schema(old)
+    fixed, changes = ids.repair_schema(old)
     assert fixed.columns == ["dataset_id", "building_id", "streetview_image_id", "target_lat"]
-    assert fixed.first().dataset_id == 3 and len(notes) == 4
+    assert fixed.first().dataset_id == 3 and [c.kind for c in changes] == ["rename", "rename", "drop", "infer"]
     again, none = ids.repair_schema(fixed)
     assert none == [] and again is fixed
     bad = spark.createDataFrame([("x_1",)], "dataset_target_id string")

@@ -40,6 +40,12 @@ def test_merge(spark):
     assert len(rows["a"].asDict()) == 2 + len(trials.HYPERPARAMETERS)
 
 
+def test_wrapped_null_setting_is_null(spark):
+    df = spark.createDataFrame([("a", {"margin": '{"value": null}', "dropout": '{"other": 1}'})], "name string, config map<string,string>")
+    row = trials.merge_hyperparameters(df, {"margin": 0.5}).first()
+    assert (row.margin, row.dropout) == (None, '{"other": 1}')
+
+
 def by_hand(losses, patience):
     best, best_epoch, waited = math.inf, None, 0
     for e, loss in enumerate(losses, 1):
