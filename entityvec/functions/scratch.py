@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_default[0]
 
 
+_folders: list[str] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that :func:`written` makes inside: they are deleted at the end.
+
+    A frame that is built on them must be written or collected inside as well.
+    """
+    _folders.append(f"{scratch_dir(spark).rstrip('/')}/entityvec/run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of it."""
+    """Write ``df`` once and return a scan of it.
+
+    The table goes with the innermost :func:`scratch_tables`, else it stays until the scratch folder is cleared.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/entityvec/{name}-{uuid.uuid4().hex}"
+    folder = _folders[-1] if _folders else f"{scratch_dir(spark).rstrip('/')}/entityvec"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

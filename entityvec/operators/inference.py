@@ -59,6 +59,30 @@ def apply_vectorizer(df: DataFrame, load: Callable[[], VectorFn], source: str,
     return df.withColumn(output, vectorizer(load, batch_size, pooling)(F.col(source)))
 
 
+def attempted_vectors(df: DataFrame, load: Callable[[], VectorFn], source: str, batch_size: int = 16,
+                      pooling: str = "cls_token") -> DataFrame:
+    """Add ``embedding`` and ``error``; where a batch fails, its inputs are tried one by one."""
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def made(inputs: list) -> list[tuple]:
+            try:
+                return [(v, None) for v in pool_output(model(inputs), pooling)]
+            except Exception as e:
+                if len(inputs) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+                return [row for x in inputs for row in made([x])]
+
+        for s in series:
+            rows = [row for i in range(0, len(s), batch_size) for row in made(s.iloc[i:i + batch_size].tolist())]
+            yield pd.DataFrame(rows, columns=["embedding", "error"])
+
+    out = df.withColumn("_made", run.asNondeterministic()(F.col(source)))
+    return out.select(*df.columns, "_made.embedding", "_made.error")
+
+
 @dataclass(frozen=True)
 class Norm:
     scale: np.ndarray

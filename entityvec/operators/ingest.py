@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityvec.functions import ids
+from entityvec.functions.joins import sent_if_small
+from entityvec.functions.scratch import written
 
 # Accepted image suffixes, preferred first.
 IMAGE_SUFFIXES = (".jpg", ".jpeg")
@@ -47,6 +49,7 @@ def intermediate_rows(paired: DataFrame) -> DataFrame:
              "target_lon", "building_id", "streetview_image_id", "image_path", "tar_file")
 
 
+# The names of the statistics below and in the job's totals.
 def ingest_stats(outcomes: DataFrame, shard: str = "tar_file") -> DataFrame:
     """Exclusive outcome counts per archive."""
     o = F.col("outcome")
@@ -74,11 +77,13 @@ def match_paths(rows: DataFrame, files: DataFrame, shard: str = "shard",
             .withColumn("_short", ids.drop_duplicate_segment(F.col("_direct"))))
     direct = present.select(shard, F.col("_file").alias("_direct"), F.lit(True).alias("_has_d"))
     short = present.select(shard, F.col("_file").alias("_short"), F.lit(True).alias("_has_s"))
+    # Shards with any plain path, from names alone; they go to the rows, which do not move by shard.
+    votes = written(work.select(shard, "_direct").join(direct, [shard, "_direct"]).select(shard).distinct()
+                    .withColumn("_any_d", F.lit(True)), "shard-votes")
     work = work.join(direct, [shard, "_direct"], "left")
     # A row falls back to its plain path anyway, and where no plain path of the shard exists
     # the fallback finds nothing; so the shard's choice only matters for the short form.
-    votes = work.groupBy(shard).agg(F.max(F.coalesce("_has_d", F.lit(False))).alias("_any_d"))
-    work = work.join(short, [shard, "_short"], "left").join(votes, shard, "left")
+    work = work.join(short, [shard, "_short"], "left").join(sent_if_small(votes), shard, "left")
     matched = (F.when(F.col("_has_d"), F.col("_direct"))
                .when(~F.coalesce("_any_d", F.lit(False)) & F.coalesce("_has_s", F.lit(False)), F.col("_short")))
     status = (F.when(F.col("_direct").isNull(), "invalid").when(matched.isNull(), "missing")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityvec.functions.hashing import keyed_hash
+from entityvec.functions.joins import sent_if_small
+from entityvec.functions.scratch import written
 
 PREFIX_DIGITS = 3
 
@@ -105,16 +107,15 @@ def rank_in_group(df: DataFrame, group: str, key: str, seed: int, name: str = "r
     """0-based position of each key inside its group, in hash order.
 
     Groups above ``hot_rows`` rows are cut into hash prefixes with precounted offsets, so
-    no task ever sorts such a group whole. Their number is at most rows / hot_rows.
+    no task ever sorts such a group whole. They stay a table, however many there are.
     """
     rows = df.withColumn("_h", keyed_hash(seed, key))
-    hot = [r[group] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") > hot_rows).select(group).collect()]
-    if not hot:
+    hot = written(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+                  .select(group, F.lit(True).alias("_hot")), "hot-groups")
+    if hot.isEmpty():
         plain = Window.partitionBy(group).orderBy("_h", key)
         return rows.withColumn(name, F.row_number().over(plain) - 1).drop("_h")
-    marks = df.sparkSession.createDataFrame(
-        [(g, True) for g in hot], T.StructType([df.schema[group], T.StructField("_hot", T.BooleanType())]))
+    marks = sent_if_small(hot)
     rows = (rows.join(marks, group, "left")
             .withColumn("_p", F.when(F.col("_hot"), F.substring("_h", 1, digits)).otherwise("")))
     before = Window.partitionBy(group).orderBy("_p").rowsBetween(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from entityvec.functions.ids import compose_ids, enrich_identifiers
 from entityvec.functions.joins import sent_if_small
 from entityvec.functions.schema import HELPER_COLUMNS, require_columns
-from entityvec.functions.scratch import written
+from entityvec.functions.scratch import scratch_tables, written
 from entityvec.operators.entities import entity_counts
 from entityvec.operators.splits import split_of
 
@@ -33,8 +33,9 @@ def entity_split(df: DataFrame, entity: str = "building_id", seed: int = 42,
 def assemble(df: DataFrame, path: str, seed: int = 42, train: float = 0.7, val: float = 0.15,
              test: float = 0.15) -> None:
     """Strict ids, split, write: one folder per split."""
-    rows = entity_split(enrich_identifiers(df), "building_id", seed, train, val, test)
-    rows.write.partitionBy("split").parquet(path)
+    with scratch_tables(df.sparkSession):
+        rows = entity_split(enrich_identifiers(df), "building_id", seed, train, val, test)
+        rows.write.partitionBy("split").parquet(path)
 
 
 def unmatched_entities(rows: DataFrame, split_map: DataFrame, entity: str) -> DataFrame:

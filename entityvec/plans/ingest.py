@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from entityvec.functions import ids
 from entityvec.functions.joins import sent_if_small
 from entityvec.functions.schema import require_columns
-from entityvec.functions.scratch import written
+from entityvec.functions.scratch import scratch_tables, written
 from entityvec.operators.images import FINGERPRINT_SIZE, Decoder, pixel_fingerprint, validate_images
 from entityvec.operators.inference import VectorFn, apply_vectorizer
 from entityvec.operators.ingest import (
@@ -47,14 +47,16 @@ def ingest_archives(spark: SparkSession, paths: Iterable[str], out: str,
     An archive that is damaged, or whose name is no number, has zeros and ``read`` false.
     """
     paths = list(paths)
-    outcomes = written(archive_outcomes(spark, paths, decode), "outcomes")
-    write_shards(intermediate_rows(outcomes), out)
     asked = spark.createDataFrame([(p.rpartition("/")[2],) for p in paths], "tar_file string").distinct()
-    stats = ingest_stats(outcomes)
-    counts = [c for c in stats.columns if c != "tar_file"]
-    return (asked.join(stats, "tar_file", "left")
-            .select("tar_file", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-                    F.col(counts[0]).isNotNull().alias("read")))
+    with scratch_tables(spark):
+        outcomes = written(archive_outcomes(spark, paths, decode), "outcomes")
+        write_shards(intermediate_rows(outcomes), out)
+        stats = ingest_stats(outcomes)
+        counts = [c for c in stats.columns if c != "tar_file"]
+        full = asked.join(stats, "tar_file", "left").select(
+            "tar_file", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.col(counts[0]).isNotNull().alias("read"))
+        # As many rows as paths were given.
+        return spark.createDataFrame(full.collect(), full.schema)
 
 
 def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn], out: str,
@@ -70,18 +72,20 @@ def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn
         rows = rows.join(sent_if_small(done), "shard", "left_anti")
     except AnalysisException:
         pass
-    matched = written(match_paths(rows, files.select("shard", "file")), "matched")
-    found = matched.filter(F.col("path_status") == "ok")
-    wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
-    contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
-    made = apply_vectorizer(contents, load, "content", batch_size=batch_size, pooling=pooling)
-    vectors = made.select("shard", F.col("file").alias("matched_path"), "embedding")
-    full = found.join(vectors, ["shard", "matched_path"]).select(*rows.columns, "embedding")
-    if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
-        full = ids.compose_ids(full)
-    write_shards(full, out, "shard", "append")
-    return (spark.read.parquet(out),
-            vector_job_stats(matched.withColumn("_done", F.col("path_status") == "ok"), "_done"))
+    with scratch_tables(spark):
+        matched = written(match_paths(rows, files.select("shard", "file")), "matched")
+        found = matched.filter(F.col("path_status") == "ok")
+        wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
+        contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
+        made = apply_vectorizer(contents, load, "content", batch_size=batch_size, pooling=pooling)
+        vectors = made.select("shard", F.col("file").alias("matched_path"), "embedding")
+        full = found.join(vectors, ["shard", "matched_path"]).select(*rows.columns, "embedding")
+        if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
+            full = ids.compose_ids(full)
+        write_shards(full, out, "shard", "append")
+        stats = vector_job_stats(matched.withColumn("_done", F.col("path_status") == "ok"), "_done")
+        stats = spark.createDataFrame(stats.collect(), stats.schema)
+    return spark.read.parquet(out), stats
 
 
 def training_set(splits: DataFrame, difficulty: DataFrame, entity: str = "building_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from entityvec.operators.inference import VectorFn, apply_vectorizer
+from entityvec.operators.inference import VectorFn, attempted_vectors
 from entityvec.sources.tables import usable_payloads
 
 
@@ -19,13 +19,14 @@ def stream_inference(spark: SparkSession, input_dir: str, schema: T.StructType,
                      files_per_batch: int = 1000) -> StreamingQuery:
     """Vectors of all files not yet processed, then stop; start again to resume.
 
-    The checkpoint remembers the files, the file sink commits each batch atomically.
+    The checkpoint remembers the files, the file sink commits each batch atomically. A payload on
+    which the model raises gives a row with ``error`` and no vector, so it does not stop the stream.
     """
     source = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .option("pathGlobFilter", pattern).parquet(input_dir))
     rows = usable_payloads(source, payload, key, filter_valid=filter_valid)
-    made = apply_vectorizer(rows, load, payload, "embedding", batch_size, pooling)
-    return (made.select(key, "embedding").writeStream.format("parquet")
+    made = attempted_vectors(rows, load, payload, batch_size, pooling)
+    return (made.select(key, "embedding", "error").writeStream.format("parquet")
             .option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 

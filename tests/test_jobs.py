@@ -1,4 +1,5 @@
 import math
+import pathlib
 import sys
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from entityvec.functions.scratch import scratch_tables, written
 from entityvec.operators import inference
 from entityvec.operators.inference import Norm, Projector
 from entityvec.sources import resumable
@@ -218,7 +220,24 @@ def test_stream_resumes(spark, tmp_path):
     put(30, 50)
     assert go() == 50
     assert go() == 50
-    assert spark.read.parquet(out).select("OSMID").distinct().count() == 50
+    spark.createDataFrame([(90, bytearray(b"boom")), (91, bytearray(b"ok"))], schema).coalesce(1).write.mode("append").parquet(source)
+    assert go() == 52
+    bad = spark.read.parquet(out).filter("error is not null").collect()
+    assert [(r.OSMID, r.embedding, r.error) for r in bad] == [(90, None, "RuntimeError: cannot")]
+    assert spark.read.parquet(out).select("OSMID").distinct().count() == 52
+
+
+def test_scratch_tables_end_with_their_owner(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+
+    def tables():
+        return {str(p) for p in pathlib.Path(root).glob("entityvec/**/*.parquet")}
+
+    before = tables()
+    with scratch_tables(spark):
+        inner = written(spark.range(5), "five")
+        assert inner.count() == 5 and len(tables()) > len(before)
+    assert tables() == before
 
 
 def test_stream_bandit_in_steps(spark, tmp_path):
