@@ -89,7 +89,8 @@ class _Block:
         self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.row = np.searchsorted(self.offsets, self.at, side="right") - 1
-        self.short, inverse = np.unique(self.hash >> np.uint64(16), return_inverse=True)
+        # Anchors have small hashes; mixed once more they spread evenly over buckets.
+        self.short, inverse = np.unique(mix64(self.hash) >> np.uint64(16), return_inverse=True)
         self.which = inverse
         # Whether two documents of this very block have the anchor.
         low = np.full(len(self.short), LAST)
