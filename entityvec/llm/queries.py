@@ -143,8 +143,12 @@ def op4_pii(spark, d):
     """Counts and base_sha256 are of the plain spans; ``spans`` has those behind disguises too."""
     found = personal_data(table(spark, d, "documents"))
     plain = F.filter("spans", lambda s: s["plain"])
+
+    def number(kind):
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *[F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *map(number, KINDS),
         F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: ~s["plain"])).cast("bigint").alias("n_disguised"))
 
