@@ -13,8 +13,8 @@ from entityvec.functions.scratch import written
 
 WINDOW, TOKEN = 13, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmark rows up to which they are sent to every task: about 100 MB of windows.
-SENT_ROWS = 500_000
+#: Windows up to which they are sent to every task: some 40 MB, and as many tokens in the counting pass.
+SENT_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:

@@ -138,8 +138,8 @@ def _predictor(sent, text: int, kept: int):
     return predict
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score, from column text alone.
+def identify(docs: DataFrame, model: Model, keep: list[str], label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the language and its score, from column text alone.
 
     A null text and one without any letter are UNKNOWN with score 0; so is everything if the model
     knows no language. Rows are independent of each other.
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = source.select(*[f"_{i}" for i in range(len(keep))]).schema.add("_lang", "string").add("_score", "double")
     out = source.mapInArrow(_predictor(sent, text, len(keep)), schema)
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)],
-                      F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+                      F.col("_lang").alias(label), F.col("_score").alias(score))
 
 
 def held_out() -> Column:

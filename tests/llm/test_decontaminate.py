@@ -38,7 +38,7 @@ def items_of(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string").selectExpr("*", "item_id AS doc_id", "text AS w")
 
 
-@pytest.mark.parametrize("sent_rows", [500_000, 0])
+@pytest.mark.parametrize("sent_rows", [200_000, 0])
 def test_equals_search_of_all_windows(spark, sent_rows):
     long = prose(1, 40)
     items = [(1, long), (11, prose(2, 5)), (2, "Was it"), (3, "solo"), (4, long), (4, long), (None, prose(3, 20)), (5, None), (6, "--")]
