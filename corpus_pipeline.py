@@ -16,22 +16,33 @@ from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.streamdedup import exact_duplicates
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language: null, or without any letter."""
     model = train(docs.filter(~held_out()))
-    return (identify(docs, model, docs.columns).filter(F.col("lang_pred") != UNKNOWN)
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    label, score = _unused(docs, "lang_pred"), _unused(docs, "score")
+    named = identify(docs, model, docs.columns, label, score)
+    return named.filter(F.col(label) != UNKNOWN).drop(label, score)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of equal texts."""
     path = f"{scratch_dir(spark).rstrip('/')}/entityvec/landed-{spark.sql('SELECT uuid()').first()[0]}"
     docs.write.parquet(path)
-    dropped = written(exact_duplicates(spark, path).filter("not kept").select("file", "row"), "copies")
+    # The landed files lie in one folder, so their base names tell them apart.
+    file, row = _unused(docs, "_file"), _unused(docs, "_row")
+    dropped = written(exact_duplicates(spark, path).filter("not kept").select(
+        F.substring_index("file", "/", -1).alias(file), F.col("row").alias(row)), "copies")
     landed = spark.read.parquet(path).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    dropped = dropped.select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return landed.join(sent_if_small(dropped), ["_file", "_row"], "left_anti").drop("_file", "_row")
+        "*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    return landed.join(sent_if_small(dropped), [file, row], "left_anti").drop(file, row)
 
 
 def distinct_wordings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +54,10 @@ def distinct_wordings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents contaminated with benchmark passages."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    doc, key = _unused(docs, "_doc"), _unused(docs, "_key")
     dropped = written(contaminated(docs, items, text_key=True).filter("contaminated")
-                      .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+                      .select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
     return docs.join(sent_if_small(dropped), same, "left_anti")
 
 
