@@ -42,7 +42,12 @@ GATHER_VALUES = 1 << 20
 
 @dataclass(frozen=True)
 class Layout:
-    """Sizes of the search; they change the speed, never the result."""
+    """Sizes of the search; they change the speed, never the result.
+
+    ``probe_cells`` is the exception and off by default: a row then meets its own block and the
+    cells of that many nearest pivots only, so neighbours can be missed. Work and shuffle fall
+    to rows * probe_cells blocks, which is what an approximate search on unclustered vectors needs.
+    """
 
     # A cell half as large again as the average is one block still.
     block_rows: int = 24_576
@@ -52,6 +57,7 @@ class Layout:
     pivot_bytes: int = 64 * 1024 * 1024
     cells: int | None = None
     tile: int = 1024
+    probe_cells: int | None = None
 
     def block_rows_for(self, width: int) -> int:
         """Rows per block: wide vectors get shorter blocks, so a block fits a batch."""
@@ -217,7 +223,13 @@ def _cell_scores(a: np.ndarray, summary: CellSummary) -> tuple[np.ndarray, np.nd
     return np.maximum(low, 0.0), s + summary.rmax + 2 * slack
 
 
-def _route(cells, k: int | None, exclude: bool, self_join: bool, tile: int):
+def _probed(a: np.ndarray, summary: CellSummary, cells: int) -> np.ndarray:
+    """(rows, cells): whether the cell's pivot is among the row's nearest ones."""
+    near = scores(a, summary.pivots, summary.metric)[0]
+    return near <= _kth(near, min(cells, near.shape[1]))[:, None]
+
+
+def _route(cells, k: int | None, exclude: bool, self_join: bool, tile: int, probe: int | None = None):
     """Packs to (target block, rows) for every block that may hold a wanted neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +251,8 @@ def _route(cells, k: int | None, exclude: bool, self_join: bool, tile: int):
                         names=[*names, "bound"])
                 wanted = np.vstack([_cell_scores(a[lo:lo + tile], summary)[0] <= bound[lo:lo + tile, None]
                                     for lo in range(0, len(a), tile)])
+                if probe is not None:
+                    wanted &= np.vstack([_probed(a[lo:lo + tile], summary, probe) for lo in range(0, len(a), tile)])
                 room = max(1, BATCH_BYTES // (8 * a.shape[1]))
                 yield from _packs(rows, wanted, summary.blocks, home, room)
 
@@ -481,7 +495,8 @@ class BlockSearch:
             T.StructField("cell", T.IntegerType()), T.StructField("sub", T.IntegerType()),
             T.StructField("home", T.BooleanType()),
             T.StructField("pack", T.ArrayType(member))])
-        routed = packs.mapInArrow(_route(cells, k, exclude, self_join, self.layout.tile), routed_schema)
+        routed = packs.mapInArrow(_route(cells, k, exclude, self_join, self.layout.tile,
+                                         self.layout.probe_cells if k else None), routed_schema)
         # Sort-merge: rows are megabytes, sizes are unknown to the planner, and adaptive
         # execution can split a block that very many packs are sent to.
         return routed.hint("merge").join(blocks, ["cell", "sub"], "left")

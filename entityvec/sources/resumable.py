@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityvec.functions.joins import sent_if_small
-from entityvec.functions.scratch import written
+from entityvec.functions.scratch import scratch_tables, written
 from entityvec.operators.inference import VectorFn, pool_output
 from entityvec.sources.tables import usable_payloads
 
@@ -138,6 +138,14 @@ def packaged_inference(spark: SparkSession, input_path: str, out: str,
     is committed as ``cut`` with its first rows only and redone whole by a later run with
     more room, which then replaces them.
     """
+    with scratch_tables(spark):
+        run_id = _run_pending(spark, input_path, out, load, model_id, batch_size, limit, filter_valid, chunk_rows, key, payload)
+    return spark.read.schema(LEDGER).parquet(f"{out}/ledger").filter(F.col("run_id") == run_id)
+
+
+def _run_pending(spark: SparkSession, input_path: str, out: str, load: Callable[[], VectorFn], model_id: str,
+                 batch_size: int, limit: int | None, filter_valid: bool, chunk_rows: int, key: str, payload: str) -> str:
+    """Vectors and ledger rows of one run; returns the run's id."""
     ledger = read_ledger(spark, out)
     check_ledger(ledger, input_path, model_id, filter_valid)
     source = spark.read.parquet(input_path)
@@ -172,7 +180,7 @@ def packaged_inference(spark: SparkSession, input_path: str, out: str,
         F.lit(model_id).alias("model_id"), F.lit(filter_valid).alias("filter_valid"),
         "chunk", "rows", "status")
     entries.write.mode("append").parquet(f"{out}/ledger")
-    return spark.read.schema(LEDGER).parquet(f"{out}/ledger").filter(F.col("run_id") == run_id)
+    return run_id
 
 
 def _within_limit(chunks: DataFrame, usable: DataFrame, ledger: DataFrame,

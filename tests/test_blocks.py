@@ -177,6 +177,18 @@ def test_query_ranks(spark, kind, values):
     assert {r["item"]: r["rank"] for r in got.collect()} == want
 
 
+def test_probing_few_cells_is_approximate_and_cheaper(spark):
+    draw = np.random.default_rng(2)
+    rows = [(f"i{i:04d}", f"e{i}", v.tolist()) for i, v in enumerate(draw.normal(size=(600, 8)))]
+    want, got = brute(rows, 10), {}
+    for probe in (3, 20):
+        layout = Layout(block_rows=100, cells=20, probe_cells=probe)
+        near = found(neighbors.knn_exclude_group(frame(spark, rows), "item", "entity", "vec", 10, layout=layout))
+        got[probe] = sum(len(set(near[i]) & set(want[i])) for i in want) / 6000
+    # All cells probed: exact again.
+    assert got[20] == 1.0 and 0.5 < got[3] < 1.0
+
+
 def test_queries_are_chosen_without_vectors(spark):
     rows = frame(spark, data("plain", 200))
     got = retrieval.retrieval_queries(rows, "entity", "item", 2, 20)
