@@ -48,12 +48,16 @@ _ANY_NAME = re.compile(rf"(?<!\w)(?:{_NAME})(?!\w)", re.I)
 _PART = re.compile(rf"{_NAME}|\+|[0-9]", re.I)
 #: Digits that a spelled run has at least; shorter ones are prose.
 SPELLED_DIGITS = 4
+# Whole tokens of digits and letters that look like 0 and 1.
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[OolI])(?=[OolI]*[0-9])[0-9OolI]{2,64}+(?![A-Za-z0-9])")
+_AS_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _AT, _DOT = "at|arobase|arroba", "dot|point|punkt|punto"
+_CODED = re.compile(r"&#0{0,5}64;|&#x0{0,5}40;|&commat;|(&#0{0,5}46;|&#x0{0,5}2e;|&period;)|(?<=[A-Za-z0-9])\s{1,3}@\s{1,3}(?=[A-Za-z0-9])", re.I)
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
 _WORDED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s{1,3}at\s{1,3})[A-Za-z0-9-]{1,63}((?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]{1,63})+)"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}?([\s_]{1,3}at[\s_]{1,3})[A-Za-z0-9-]{1,63}((?:[\s_]{1,3}dot[\s_]{1,3}[A-Za-z0-9-]{1,63})+)"
     r"(?![A-Za-z0-9-])", re.I)
-_WORD_DOT = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
+_WORD_DOT = re.compile(r"[\s_]{1,3}dot[\s_]{1,3}", re.I)
 
 
 def emails(text: str) -> list[Span]:
@@ -179,8 +183,14 @@ def _spelled_edits(text: str) -> list:
     return edits
 
 
+def _mixed_edits(text: str) -> list:
+    return [(m.start(), m.end(), [(_AS_DIGIT.get(c, c), i, i + 1) for i, c in enumerate(m.group(), m.start())])
+            for m in _MIXED.finditer(text)]
+
+
 def _address_edits(text: str) -> list:
     edits = [(m.start(), m.end(), [("@" if m.group(1) else ".", m.start(), m.end())]) for m in _BRACKETED.finditer(text)]
+    edits += [(m.start(), m.end(), [("." if m.group(1) else "@", m.start(), m.end())]) for m in _CODED.finditer(text)]
     for m in _WORDED.finditer(text):
         inner = [(*m.span(1), "@"), *[(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _WORD_DOT.finditer(m.group(2))]]
         edits += [(a, b, [(c, a, b)]) for a, b, c in inner]
@@ -197,6 +207,7 @@ def spans_of(text: str, known: dict[str, str | None]) -> tuple[dict[str, list[Sp
     base = plain_spans(text)
     seen = Rewritten(text)
     seen.apply(_look_alike_edits(seen.text, known))
+    seen.apply(_mixed_edits(seen.text))
     seen.apply(_spelled_edits(seen.text))
     seen.apply(_address_edits(seen.text))
     more: dict[str, list[Span]] = {k: [] for k in KINDS}
