@@ -103,7 +103,9 @@ def exact_duplicates(spark: SparkSession, path: str, folder: str | None = None,
                        .withColumn("group_size", F.lit(0).cast("bigint")), digest)
     update_state(spark, path, folder, digest, batch_bytes, batch_files)
     changes = spark.read.parquet(f"{folder}/changes")
-    state = changes.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.*")
+    # Written, so that the join with the rows can split a group that holds much of the table.
+    state = written(changes.groupBy("digest").agg(
+        F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.*"), "dedup-state")
     hits = state.filter("group_size > 1").select("digest")
     rows = _rows(docs, digest)
     clash = (rows.join(sent_if_small(hits), "digest", "left_semi")
