@@ -217,7 +217,8 @@ def spans_of(text: str, known: dict[str, str | None]) -> tuple[dict[str, list[Sp
             for span in map(seen.source, found):
                 while i < len(taken) and taken[i][1] <= span[0]:
                     i += 1
-                if i == len(taken) or taken[i][0] >= span[1]:
+                # One that a plain span holds only in part is a find of its own.
+                if i == len(taken) or taken[i][0] > span[0] or taken[i][1] < span[1]:
                     more[kind].append(span)
     return base, more
 
@@ -245,7 +246,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Positions are code points of the source text, end exclusive, sorted by kind (email, ip, card,
     phone) and start. ``plain`` marks what the patterns find in the text as it is; a
-    disguised find that overlaps a plain one of its kind is left out. Null and empty texts have
+    disguised find is left out only if it lies within a plain one of its kind, so both are listed
+    where the plain one is a fragment. Null and empty texts have
     no spans. Rows are independent: nulls in doc_id and repeated rows pass through, an empty table gives no
     rows, other columns are not read. Every search is linear in the text's length.
     """
@@ -259,12 +261,13 @@ def joined(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by <kind>; a span inside an earlier one is left out."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """``text`` with each span replaced by <kind>; spans that overlap give one, of the kind that starts first (the longest of those)."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
     end = F.aggregate(
         ordered, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                     F.lit("<"), s["kind"], F.lit(">")).alias("out"))))
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], -s["last"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(
+                F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+                         F.lit("<"), s["kind"], F.lit(">"))).alias("out")))
     return F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.lit(2**31 - 1)))

@@ -70,6 +70,25 @@ def test_personal_data_of_a_table(spark):
     assert pii.personal_data(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("kind,text,plain,found,hidden", [
+    ("email", "mail j\u043ehn.doe@example.com", "hn.doe@example.com", "j\u043ehn.doe@example.com", "mail <email>"),
+    ("email", "mail john@example.c\u043em now", "john@example.c", "john@example.c\u043em", "mail <email> now"),
+    ("phone", "call +44 20 7946 O958 ok", "+44 20 7946", "+44 20 7946 O958", "call <phone> ok"),
+])
+def test_partly_disguised_ones_are_found_whole(spark, kind, text, plain, found, hidden):
+    base, more = pii.spans_of(text, {})
+    assert [text[a:b] for a, b in base[kind]] == [plain] and [text[a:b] for a, b in more[kind]] == [found]
+    frame = docs_of(spark, [text])
+    out = frame.join(pii.personal_data(frame), "doc_id").select(pii.masked(F.col("text"), F.col("spans")))
+    assert out.first()[0] == hidden
+
+
+def test_masking_merges_overlaps(spark):
+    spans = "array(named_struct('kind', 'ip', 'start', 0L, 'end', 3L), named_struct('kind', 'email', 'start', 0L, 'end', 5L), " \
+        "named_struct('kind', 'phone', 'start', 4L, 'end', 7L), named_struct('kind', 'card', 'start', 7L, 'end', 8L))"
+    assert spark.range(1).select(pii.masked(F.lit("0123456789"), F.expr(spans))).first()[0] == "<email><card>89"
+
+
 # --- licenses -----------------------------------------------------------------------------
 
 def notices(text):
