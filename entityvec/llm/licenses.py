@@ -6,9 +6,12 @@ accounts for most words is confirmed if its differences are few. What is left on
 notice is a block again.
 """
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -38,8 +41,9 @@ TEMPLATES = (
      "documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-_TRIGGER = re.compile(r"licen[sc]e|redistribut|hereby granted", re.I)
-_WORD = re.compile(r"[\w.+-]*\w")
+_TRIGGER = re.compile(r"licen[sc]e|redistribut|hereby\W+granted", re.I)
+# A match cannot start inside a run whose first character gave none.
+_WORD = re.compile(r"(?<![\w.+-])[\w.+-]*\w")
 #: Templates with the largest reductions whose wording is compared.
 COMPARED = 4
 #: Share by which the best template must shrink a block.
@@ -48,6 +52,11 @@ LEAST_REDUCTION = 0.25
 MOST_DIFFERENT = 0.15
 
 
+def reach_of(templates) -> int:
+    """Words that a notice of any of the templates has at most."""
+    return max((math.ceil((1 + MOST_DIFFERENT) * len(words_at(t))) for _, t in templates), default=0)
+
+
 def words_at(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), *m.span()) for m in _WORD.finditer(text)]
 
@@ -60,6 +69,7 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(compression_params=options)
         self.names = [n for n, _ in templates]
         self.words = [[w for w, _, _ in words_at(t)] for _, t in templates]
+        self.reach = reach_of(templates)
         self.primed = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(
             t.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
 
@@ -69,70 +79,111 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, i) for i, c in enumerate(self.primed)), key=lambda x: (-x[0], x[1]))
 
-    def _aligned(self, words: list[tuple[str, int, int]], i: int):
-        """(differences, missing words, added words, first word, end word) of template ``i``."""
-        own = self.words[i]
-        seen = [w for w, _, _ in words]
-        match = SequenceMatcher(None, own, seen, autojunk=False)
-        blocks = match.get_matching_blocks()[:-1]
-        if not blocks:
-            return None
-        # Stray matches far from the notice are not part of it.
-        core = max(blocks, key=lambda b: (b.size, -b.b))
-        used = [b for b in blocks if abs((b.b - core.b) - (b.a - core.a)) <= max(2, len(own) // 5)]
-        first, end = min(b.b for b in used), max(b.b + b.size for b in used)
-        hit_own = {b.a + k for b in used for k in range(b.size)}
-        hit_seen = {b.b + k for b in used for k in range(b.size)}
-        missing = [own[k] for k in range(len(own)) if k not in hit_own]
-        added = [seen[k] for k in range(first, end) if k not in hit_seen]
-        return len(missing) + len(added), missing, added, first, end
-
-    def notices(self, block: str, at: int = 0) -> list[dict]:
-        """Confirmed notices of a block that starts ``at`` characters into its text."""
+    def _aligned(self, seen: list[str], i: int):
+        """(differences, missing words, added words, first word, end word) of template ``i``, None if they are too many."""
+        own, most = self.words[i], MOST_DIFFERENT * len(self.words[i])
+        match, slack, parts = SequenceMatcher(None, own, seen, autojunk=False), max(2, len(own) // 5), [(0, len(seen))]
+        while parts:
+            low, high = parts.pop()
+            there = set(seen[low:high])
+            if sum(w not in there for w in own) > most:
+                continue
+            core = match.find_longest_match(0, len(own), low, high)
+            # Only words about the place of the longest run are compared: stray matches far from it are not part of the notice.
+            left = max(low, core.b - core.a - slack)
+            near = SequenceMatcher(None, own, seen[left:min(high, core.b - core.a + len(own) + slack)], autojunk=False)
+            used = [b for b in near.get_matching_blocks()[:-1] if abs((left + b.b - core.b) - (b.a - core.a)) <= slack]
+            if used:
+                first, end = min(left + b.b for b in used), max(left + b.b + b.size for b in used)
+                hit_own = {b.a + k for b in used for k in range(b.size)}
+                hit_seen = {left + b.b + k for b in used for k in range(b.size)}
+                missing = [own[k] for k in range(len(own)) if k not in hit_own]
+                added = [seen[k] for k in range(first, end) if k not in hit_seen]
+                if len(missing) + len(added) <= most:
+                    return len(missing) + len(added), missing, added, first, end
+            parts += [(core.b + core.size, high), (low, core.b)]
+        return None
+
+    def _in_part(self, block: str, at: int) -> list[dict]:
         found, open_ = [], [(block, at)]
         while open_:
             block, at = open_.pop()
-            if not _TRIGGER.search(block):
-                continue
-            ranked = self.reductions(block)
             words = words_at(block)
+            seen = [w for w, _, _ in words]
             best = None
-            # A notice that is a small part of its block shrinks it little: all templates are tried then.
-            tried = ranked[:COMPARED] if ranked[0][0] >= LEAST_REDUCTION else ranked
+            tried = self.reductions(block)[:COMPARED]
+            if tried[0][0] < LEAST_REDUCTION:
+                # A notice that is a small part of its block shrinks it little: all templates are tried then.
+                tried = self.reductions(block)
             for reduction, i in tried:
-                got = self._aligned(words, i)
-                if got and got[0] <= MOST_DIFFERENT * len(self.words[i]):
-                    # The template that accounts for most words, differences counted against it.
-                    if best is None or len(self.words[i]) - got[0] > len(self.words[best[1]]) - best[0][0]:
-                        best = got, i, reduction
+                got = self._aligned(seen, i)
+                # The template that accounts for most words, differences counted against it; of equal ones that with fewer.
+                if got and (best is None or (len(self.words[i]) - got[0], -got[0]) > best[0]):
+                    best = (len(self.words[i]) - got[0], -got[0]), got, i, reduction
             if best is None:
                 continue
-            (_, missing, added, first, end), i, reduction = best
+            _, (_, missing, added, first, end), i, reduction = best
             start, stop = words[first][1], words[end - 1][2]
             found.append({"license": self.names[i], "start": at + start, "end": at + stop, "reduction": reduction,
                           "missing": missing, "added": added})
-            open_ += [(block[:start], at), (block[stop:], at + stop)]
+            open_ += [(b, a) for b, a in ((block[:start], at), (block[stop:], at + stop)) if _TRIGGER.search(b)]
         return sorted(found, key=lambda n: n["start"])
 
-
-def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block): lines with a trigger, and those next to them that a notice may run over."""
-    if not _TRIGGER.search(text):
-        return
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line), bool(_TRIGGER.search(line))))
-        at += len(line) + 1
-    i = 0
-    while i < len(lines):
-        if not lines[i][2]:
-            i += 1
-            continue
-        first, last = max(0, i - 1), i
-        while last + 1 < len(lines) and (lines[last + 1][2] or lines[last][2]):
-            last += 1
-        yield lines[first][0], text[lines[first][0]:lines[last][1]]
-        i = last + 1
+    def notices(self, block: str, at: int = 0) -> list[dict]:
+        """Confirmed notices of a block that starts ``at`` characters into its text.
+
+        A long block is gone over in parts; a part holds every notice that starts before its last ``reach`` words whole.
+        """
+        words, found, low = words_at(block), [], 0
+        starts = [a for _, a, _ in words]
+        while low < len(words):
+            high = low + 8 * self.reach
+            last = high >= len(words)
+            inner = len(block) if last else starts[high - self.reach]
+            floor = starts[low]
+            mine = [n for n in self._in_part(block[floor:None if last else words[high - 1][2]], at + floor) if n["start"] < at + inner]
+            found += mine
+            if last:
+                break
+            low = max(high - self.reach, bisect_left(starts, mine[-1]["end"] - at) if mine else 0)
+        return found
+
+
+def _back(text: str, at: int, floor: int, reach: int) -> int:
+    """Where the ``reach`` words before ``at`` start, ``floor`` if there are not so many."""
+    size = 16 * reach
+    while at - size > floor:
+        # The first word may be cut.
+        words = [m.start() for m in _WORD.finditer(text[at - size:at])]
+        if len(words) > reach:
+            return at - size + words[-reach]
+        size *= 2
+    return floor
+
+
+def blocks_of(text: str, reach: int = reach_of(TEMPLATES)) -> Iterator[tuple[int, str]]:
+    """(start, block): lines with a trigger, those next to them, and all the words that a notice may run over on both sides."""
+    first, last, line = None, 0, -1
+    for m in _TRIGGER.finditer(text):
+        start = _back(text, m.start(), last, reach)
+        # The trigger's own word is one more.
+        words = [w.end() for w in islice(_WORD.finditer(text, m.start()), reach + 1)]
+        end = max(m.end(), words[-1] if words else 0)
+        if m.start() > line:
+            start = min(start, max(last, text.rfind("\n", last, max(last, text.rfind("\n", last, m.start()))) + 1))
+            line = _line_end(text, m.start())
+            next_line = _line_end(text, line + 1)
+        if first is not None and start > last:
+            yield first, text[first:last]
+            first = None
+        first, last = start if first is None else first, max(last, end, next_line)
+    if first is not None:
+        yield first, text[first:last]
+
+
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
 
 
 _NOTICE = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()),
@@ -142,11 +193,12 @@ _NOTICE = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa
 def _finder(templates):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
+        reach = scanner.reach
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 text, taken, own = text.as_py() or "", 0, []
-                for start, block in blocks_of(text):
+                for start, block in blocks_of(text, reach):
                     for n in scanner.notices(block, start):
                         if n["start"] >= taken:
                             own.append(n)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,26 @@ def test_every_template_is_found_in_prose():
         assert [(n[0], n[2], n[3]) for n in notices(text)] == [(name, [], [])], template
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+@pytest.mark.parametrize("width", [20, 40, 60, 80])
+def test_every_template_is_found_wrapped(prefix, width):
+    for name, template in licenses.TEMPLATES:
+        wrapped = textwrap.fill(template, width, initial_indent=prefix, subsequent_indent=prefix, break_on_hyphens=False)
+        text = f"{prose(1, 40)}\n\n{wrapped}\n\n{prose(2, 40)}"
+        assert [(n[0], n[2], n[3]) for n in notices(text)] == [(name, [], [])], text
+        assert [n[1] for n in notices(text)] == [wrapped[len(prefix):].rstrip(".)")]
+
+
+def test_many_notices_of_one_block():
+    texts = [t for _ in range(12) for _, t in licenses.TEMPLATES]
+    text = "\n".join(textwrap.fill(f"{t} {prose(i, i % 7)}", 40) for i, t in enumerate(texts))
+    assert [n[0] for n in notices(text)] == [n for _ in range(12) for n, _ in licenses.TEMPLATES]
+    # A run of a notice's words before it is no obstacle to one whose wording differs.
+    changed = licenses.TEMPLATES[-1][1].replace("subject", "bound")
+    assert [n[:2] for n in notices("I say yes to the terms of the Mozilla Public License, v. 2.0 and no.\n" + changed)] == [
+        ("mpl-2.0", changed[:-1])]
+
+
 def test_wordings_that_differ():
     assert notices("Licensed under the Apache License,\n  Version 2.0, yes")[0][:2] == (
         "apache-2.0", "Licensed under the Apache License,\n  Version 2.0")
