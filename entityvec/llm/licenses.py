@@ -1,8 +1,8 @@
 """License notices by conditional compression against templates.
 
 A candidate block is compressed with each template as a raw-content Zstandard dictionary; the
-templates that make it smallest are then compared with it word by word, and the one that
-accounts for most words is confirmed if its differences are few. What is left on both sides of a
+templates are then compared with it word by word, those that make it smallest first, and of those whose
+differences are few the one that accounts for most words is confirmed. What is left on both sides of a
 notice is a block again.
 """
 
@@ -44,10 +44,6 @@ TEMPLATES = (
 _TRIGGER = re.compile(r"licen[sc]e|redistribut|hereby\W+granted", re.I)
 # A match cannot start inside a run whose first character gave none.
 _WORD = re.compile(r"(?<![\w.+-])[\w.+-]*\w")
-#: Templates with the largest reductions whose wording is compared.
-COMPARED = 4
-#: Share by which the best template must shrink a block.
-LEAST_REDUCTION = 0.25
 #: Missing and added words, as a share of the template's words, up to which it is confirmed.
 MOST_DIFFERENT = 0.15
 
@@ -111,11 +107,8 @@ class Scanner:
             words = words_at(block)
             seen = [w for w, _, _ in words]
             best = None
-            tried = self.reductions(block)[:COMPARED]
-            if tried[0][0] < LEAST_REDUCTION:
-                # A notice that is a small part of its block shrinks it little: all templates are tried then.
-                tried = self.reductions(block)
-            for reduction, i in tried:
+            # Reductions only set the order: near-equal templates take the first places together, so all are compared.
+            for reduction, i in self.reductions(block):
                 got = self._aligned(seen, i)
                 # The template that accounts for most words, differences counted against it; of equal ones that with fewer.
                 if got and (best is None or (len(self.words[i]) - got[0], -got[0]) > best[0]):

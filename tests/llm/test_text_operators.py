@@ -134,6 +134,11 @@ def test_wordings_that_differ():
     assert notices("He has a licence to kill. We license nothing.\n" + prose(1, 200)) == []
 
 
+def test_templates_of_the_largest_reductions_do_not_hide_others():
+    text = "This work is licensed under the terms of the GNU General Public License.\nReleased under the MIT License."
+    assert notices(text) == [("mit", "Released under the MIT License", [], [])]
+
+
 def test_licenses_of_a_table(spark):
     assert licenses.license_notices(edges(spark)).filter("size(notices) = 0").count() == 12
     assert licenses.license_notices(empty(spark)).collect() == []
