@@ -2,6 +2,8 @@
 
 import os
 
+import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as registry
@@ -24,3 +26,16 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 4
+
+
+def test_pca_reduction_of_whole_vectors(spark):
+    ids, x = zip(*duckdb.sql(f"SELECT vec_id, embedding FROM '{SF_DIR}/embeddings.parquet' ORDER BY vec_id").fetchall())
+    x = np.array(x, np.float64)
+    assert x.shape[1] == 64
+    centred = x - x.mean(0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    # Components are determined where the spectrum has gaps.
+    assert (s[:32] - s[1:33]).min() > 1e-4
+    got = registry.queries()["pca_reduction"](spark, SF_DIR).toPandas().pivot(index="vec_id", columns="c", values="size")
+    assert got.index.tolist() == list(ids) and got.shape[1] == 32
+    assert got.to_numpy() == pytest.approx(np.abs(centred @ vt[:32].T), abs=1e-5)
