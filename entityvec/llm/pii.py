@@ -54,10 +54,12 @@ _AS_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _AT, _DOT = "at|arobase|arroba", "dot|point|punkt|punto"
 _CODED = re.compile(r"&#0{0,5}64;|&#x0{0,5}40;|&commat;|(&#0{0,5}46;|&#x0{0,5}2e;|&period;)|(?<=[A-Za-z0-9])\s{1,3}@\s{1,3}(?=[A-Za-z0-9])", re.I)
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
+_WORDED_AT, _WORDED_DOT = rf"[\s_]{{1,3}}(?:{_AT})[\s_]{{1,3}}", rf"[\s_]{{1,3}}(?:{_DOT})[\s_]{{1,3}}"
 _WORDED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}?([\s_]{1,3}at[\s_]{1,3})[A-Za-z0-9-]{1,63}((?:[\s_]{1,3}dot[\s_]{1,3}[A-Za-z0-9-]{1,63})+)"
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}?({_WORDED_AT}|@)[A-Za-z0-9-]{{1,63}}((?:(?:{_WORDED_DOT}|\.)[A-Za-z0-9-]{{1,63}})+)"
     r"(?![A-Za-z0-9-])", re.I)
-_WORD_DOT = re.compile(r"[\s_]{1,3}dot[\s_]{1,3}", re.I)
+_SIGN = re.compile(rf"{_WORDED_DOT}|\.", re.I)
+_SIGN_WORD = re.compile(rf"[\s_](?:{_AT}|{_DOT})[\s_]", re.I)
 
 
 def emails(text: str) -> list[Span]:
@@ -191,9 +193,6 @@ def _mixed_edits(text: str) -> list:
 def _address_edits(text: str) -> list:
     edits = [(m.start(), m.end(), [("@" if m.group(1) else ".", m.start(), m.end())]) for m in _BRACKETED.finditer(text)]
     edits += [(m.start(), m.end(), [("." if m.group(1) else "@", m.start(), m.end())]) for m in _CODED.finditer(text)]
-    for m in _WORDED.finditer(text):
-        inner = [(*m.span(1), "@"), *[(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _WORD_DOT.finditer(m.group(2))]]
-        edits += [(a, b, [(c, a, b)]) for a, b, c in inner]
     edits.sort(key=lambda e: e[:2])
     out = []
     for e in edits:
@@ -202,6 +201,34 @@ def _address_edits(text: str) -> list:
     return out
 
 
+def _worded_edits(seen: Rewritten) -> list:
+    """Signs in words, where "@" or a bracketed, coded or worded sign beside them says that they are signs.
+
+    A dot as it is proves nothing ("at example.com"), nor does "at" with "point" ("at this point in").
+    """
+    text, edits = seen.text, []
+    if not _SIGN_WORD.search(text):
+        return []
+    for m in _WORDED.finditer(text):
+        at, dots, plain = m.group(1).strip().strip("_").lower(), [], False
+        sure = at != "at"
+        for d in _SIGN.finditer(m.group(2)):
+            word, a, b = d.group().strip().strip("_").lower(), m.start(2) + d.start(), m.start(2) + d.end()
+            # Behind a domain that is whole, the words of other languages are prose.
+            if word == "." and seen.starts is not None and seen.ends[a] - seen.starts[a] > 1:
+                sure = True
+            elif word == ".":
+                plain = True
+            elif word == "dot" or (not plain and (sure or word != "point")):
+                sure = True
+                dots.append((a, b, [(".", a, b)]))
+            else:
+                break
+        if sure:
+            edits += [(*m.span(1), [("@", *m.span(1))])] * (at != "@") + dots
+    return edits
+
+
 def spans_of(text: str, known: dict[str, str | None]) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(plain spans, further spans found behind disguises) of each kind."""
     base = plain_spans(text)
@@ -210,6 +237,7 @@ def spans_of(text: str, known: dict[str, str | None]) -> tuple[dict[str, list[Sp
     seen.apply(_mixed_edits(seen.text))
     seen.apply(_spelled_edits(seen.text))
     seen.apply(_address_edits(seen.text))
+    seen.apply(_worded_edits(seen))
     more: dict[str, list[Span]] = {k: [] for k in KINDS}
     if seen.starts is not None:
         for kind, found in plain_spans(seen.text).items():

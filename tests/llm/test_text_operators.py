@@ -71,6 +71,24 @@ def test_personal_data_of_a_table(spark):
     assert pii.personal_data(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("found", [
+    "john [at] example dot com", "john@example dot com", "john at example [dot] com", "jean arobase exemple point fr",
+    "juan arroba ejemplo punto es", "jean arobase exemple.fr", "john&#64;example dot co.uk", "john at example&#46;com",
+    "hans at beispiel punkt de", "john (at) mail.example dot com", "jean@exemple point fr"])
+def test_signs_of_mixed_forms(found):
+    text = f"write to {found}, please"
+    base, more = pii.spans_of(text, {})
+    assert [text[a:b] for a, b in more["email"]] == [found] and not any(base.values())
+
+
+@pytest.mark.parametrize("text,found", [
+    ("we are at this point in time", []), ("look at example.com now", []), ("nous sommes au point de", []),
+    ("write to john@example.co dot uk", ["john@example.co dot uk"]), ("à jean@exemple.fr point final", [])])
+def test_words_that_are_no_signs(text, found):
+    _, more = pii.spans_of(text, {})
+    assert [text[a:b] for a, b in more["email"]] == found
+
+
 @pytest.mark.parametrize("kind,text,plain,found,hidden", [
     ("email", "mail j\u043ehn.doe@example.com", "hn.doe@example.com", "j\u043ehn.doe@example.com", "mail <email>"),
     ("email", "mail john@example.c\u043em now", "john@example.c", "john@example.c\u043em", "mail <email> now"),
