@@ -21,6 +21,8 @@ STATE = {
 }
 #: Input of one micro-batch: a few files for each core of a large cluster.
 BATCH_BYTES = str(512 << 30)
+#: A file counts as new whatever its date; Spark leaves out those a week older than the newest seen.
+FILE_AGE = "36500d"
 
 
 def lowered(text: Column) -> Column:
@@ -62,7 +64,7 @@ def update_state(spark: SparkSession, path: str, folder: str, digest: Callable[[
     ``folder``/changes. A run that was cut off goes on at the micro-batch that it lost.
     """
     size = ("maxFilesPerTrigger", batch_files) if batch_files else ("maxBytesPerTrigger", batch_bytes)
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option(*size)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option(*size).option("maxFileAge", FILE_AGE)
     # The partial aggregate of each task sends one row for a digest, however many copies it read.
     entries = (_rows(source.parquet(_as_source(path)), digest).drop("content")
                .groupBy("digest").agg(_keeper().alias("keep"), F.count(F.lit(1)).alias("group_size")))
@@ -94,7 +96,7 @@ def exact_duplicates(spark: SparkSession, path: str, folder: str | None = None,
 
     ``folder`` holds the state between calls; a fresh one in the shared scratch folder is
     taken by default. Groups of the state are checked on the full bytes of all their rows: where a digest
-    has two texts, its rows are grouped by text instead.
+    has two texts, its rows are grouped by text instead. It is an error if the state lacks rows of the table.
     """
     folder = folder or f"{scratch_dir(spark).rstrip('/')}/entityvec/dedup-{uuid4().hex}"
     docs = spark.read.parquet(path)
@@ -106,15 +108,22 @@ def exact_duplicates(spark: SparkSession, path: str, folder: str | None = None,
     # Written, so that the join with the rows can split a group that holds much of the table.
     state = written(changes.groupBy("digest").agg(
         F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.*"), "dedup-state")
+    counted, n = state.agg(F.sum("group_size")).first()[0] or 0, docs.count()
+    if counted < n:
+        raise ValueError(f"the state in {folder} has {counted} of {n} rows")
     hits = state.filter("group_size > 1").select("digest")
     rows = _rows(docs, digest)
     clash = (rows.join(sent_if_small(hits), "digest", "left_semi")
              .groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high"))
              .filter("low <> high").select("digest"))
     clash = written(clash, "clashes")
-    plain = rows.select("doc_id", "file", "row", "digest", *_hex(digest)).join(
-        state.join(sent_if_small(clash), "digest", "left_anti"), "digest")
-    if clash.isEmpty():
+    plain, clashes = rows.select("doc_id", "file", "row", "digest", *_hex(digest)), not clash.isEmpty()
+    if clashes:
+        plain = plain.join(sent_if_small(clash), "digest", "left_anti")
+    # A row that the state does not know is an error, not left out.
+    lost = F.when(F.col("group_size").isNull(), F.raise_error(F.concat(F.lit("no state for a row of "), "file")))
+    plain = plain.join(state, "digest", "left").withColumn("keep", lost.otherwise(F.col("keep")))
+    if not clashes:
         return _result(plain, digest)
     apart = rows.join(sent_if_small(clash), "digest", "left_semi")
     owners = apart.groupBy("digest", "content").agg(_keeper().alias("keep"), F.count(F.lit(1)).alias("group_size"))

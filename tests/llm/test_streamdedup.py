@@ -1,12 +1,15 @@
 """Exact duplicates over streams of several files, resumed state and weak digests."""
 
 import hashlib
+import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpora import docs_of, edges, empty, prose
+from entityvec.llm import streamdedup
 from entityvec.llm.streamdedup import exact_duplicates, sha256
 
 
@@ -57,6 +60,22 @@ def test_state_goes_on_with_new_files(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_files_of_old_dates_are_taken_later(spark, tmp_path, monkeypatch):
+    path, folder = tmp_path / "docs", str(tmp_path / "state")
+    docs_of(spark, [(1, "a"), (5, "b")]).write.parquet(str(path))
+    exact_duplicates(spark, str(path), folder).collect()
+    seen = set(path.glob("*.parquet"))
+    docs_of(spark, [(9, "a"), (4, "c")]).write.mode("append").parquet(str(path))
+    month_ago = time.time() - 30 * 86400
+    for f in set(path.glob("*.parquet")) - seen:
+        os.utime(f, (month_ago, month_ago))
+    check([(1, "a"), (5, "b"), (9, "a"), (4, "c")], exact_duplicates(spark, str(path), folder).collect())
+    docs_of(spark, [(7, "d")]).write.mode("append").parquet(str(path))
+    monkeypatch.setattr(streamdedup, "update_state", lambda *a: None)
+    with pytest.raises(ValueError, match="has 4 of 5 rows"):
+        exact_duplicates(spark, str(path), folder)
+
+
 def test_edge_cases(spark, tmp_path):
     edges(spark).write.parquet(str(tmp_path / "docs"))
     got = exact_duplicates(spark, str(tmp_path / "docs")).collect()
