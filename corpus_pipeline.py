@@ -4,13 +4,14 @@ Stages take (spark, docs, sf_dir) and return the columns of ``docs``, the last o
 Each result is a written table, so a lost executor repeats part of one stage at most.
 """
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entityvec.functions.joins import sent_if_small
 from entityvec.functions.scratch import scratch_dir, written
 from entityvec.llm.decontaminate import contaminated
-from entityvec.llm.langid import UNKNOWN, held_out, identify, train
+from entityvec.llm.langid import BITS, GRAMS, UNKNOWN, Model, held_out, identify, train
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.streamdedup import exact_duplicates
@@ -27,6 +28,9 @@ def _unused(docs: DataFrame, name: str) -> str:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language: null, or without any letter."""
     model = train(docs.filter(~held_out()))
+    if not model.langs:
+        # Nothing to learn from: one language without a name, so that texts are judged by their letters alone.
+        model = Model([""], np.zeros((1, 1 << BITS)), np.zeros(1), BITS, GRAMS)
     label, score = _unused(docs, "lang_pred"), _unused(docs, "score")
     named = identify(docs, model, docs.columns, label, score)
     return named.filter(F.col(label) != UNKNOWN).drop(label, score)

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpora import SCHEMA, edges, empty, prose
@@ -74,3 +75,11 @@ def test_awkward_rows_that_stay(spark, folder, tmp_path):
     assert sorted(str(r.doc_id) for r in second.collect()) == ["2", "3", "5", "7", "8", "9", "None"]
     third = corpus_pipeline.distinct_wordings(spark, docs, path)
     assert sorted(str(r.doc_id) for r in third.collect()) == ["1", "2", "3", "4", "6", "6", "8", "9", "None", "None"]
+
+
+def test_unlabelled_tables_are_judged_by_their_letters(spark, folder, tmp_path):
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    first = corpus_pipeline.known_language(spark, docs, path)
+    assert first.columns == docs.columns
+    assert {r.doc_id for r in first.collect()} == {r[0] for r in rows if any(c.isalpha() for c in r[1] or "")}
