@@ -10,6 +10,7 @@ from entityvec.llm import chat
 from entityvec.llm.decontaminate import contaminated
 from entityvec.llm.langid import languages
 from entityvec.llm.licenses import license_notices
+from entityvec.llm.merkle import verified
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.pii import KINDS, joined, personal_data
@@ -172,3 +173,40 @@ def op6_license_scan(spark, d):
         "doc_id", F.size(notices).cast("bigint").alias("n_notices"), F.size(exact).cast("bigint").alias("n_exact"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(notices, lambda n: n["license"]))), ",").alias("licenses"),
         F.array_join(spans, ",").alias("spans"))
+
+
+@query(r"""WITH RECURSIVE c(i, x) AS (  -- the table of CRC-32, bit by bit
+  SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))
+  FROM range(256) t(i)),
+t AS (SELECT list(x ORDER BY i) AS t FROM c),
+d AS (SELECT documents.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda x, y: xor(x >> 8, t.t[xor(x, y) % 256 + 1]))) % 5 = 0 AS drawn FROM documents, t),
+f AS (SELECT doc_id, source, drawn, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS h, text FROM d),
+l AS (SELECT doc_id, source, sha256(h || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+      CASE WHEN drawn THEN sha256(h || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+b AS (SELECT 0 AS level, source, pos, n, leaf AS digest FROM p
+      UNION ALL SELECT level + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY ALL),
+s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM b WHERE n = 1),
+u AS (SELECT 0 AS level, pos, n, subroot AS digest FROM s
+      UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY ALL),
+-- One numbering of levels: those of the source, then those over the sources.
+a AS (SELECT p.doc_id, p.source, p.pos AS leaf_at, coalesce(p.changed, p.leaf) AS own, b.level, b.pos, b.digest
+      FROM p JOIN b ON b.source IS NOT DISTINCT FROM p.source AND b.n > 1 AND b.pos // 16 = p.pos // (16 ** (b.level + 1))::BIGINT
+      UNION ALL SELECT p.doc_id, p.source, p.pos, coalesce(p.changed, p.leaf), 100 + u.level, u.pos, u.digest
+      FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN u ON u.n > 1 AND u.pos // 16 = s.pos // (16 ** (u.level + 1))::BIGINT),
+g AS (SELECT a.doc_id, a.source, leaf_at, level,
+      coalesce(string_agg(a.digest, '' ORDER BY a.pos) FILTER (a.pos < me), '') AS lefts, coalesce(string_agg(a.digest, '' ORDER BY a.pos) FILTER (a.pos > me), '') AS rights
+      FROM (SELECT a.*, CASE WHEN level < 100 THEN leaf_at // (16 ** level)::BIGINT ELSE s.pos // (16 ** (level - 100))::BIGINT END AS me
+            FROM a JOIN s ON s.source IS NOT DISTINCT FROM a.source) a GROUP BY ALL),
+q AS (SELECT source, leaf_at, list(lefts ORDER BY level) AS lefts, list(rights ORDER BY level) AS rights,
+      sha256(string_agg(lefts || rights, '' ORDER BY level)) AS proof FROM g GROUP BY ALL)
+SELECT p.doc_id, p.leaf, s.subroot, r.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.folded AS folded_root, f.folded = r.digest AS verified
+FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN (SELECT digest FROM u WHERE n = 1) r ON true
+LEFT JOIN q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_at = p.pos
+JOIN (SELECT p.source, p.pos, list_reduce(list_prepend(coalesce(p.changed, p.leaf), coalesce(list_transform(range(1, len(q.lefts) + 1),
+      lambda k: q.lefts[k] || '|' || q.rights[k]), [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded
+      FROM p LEFT JOIN q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_at = p.pos) f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos""")
+def op13_merkle_manifest(spark, d):
+    return verified(table(spark, d, "documents"))

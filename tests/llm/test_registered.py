@@ -25,7 +25,7 @@ def rows(spark, name):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(m[1]) for q in registry.queries() if (m := re.match(r"op(\d+)_", q)))
-    assert numbers == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in registry.queries()
 
 
 def test_op4_pii(spark, docs):
