@@ -14,6 +14,7 @@ from entityvec.llm.merkle import verified
 from entityvec.llm.minhash import near_duplicates
 from entityvec.llm.mixing import pareto_mix
 from entityvec.llm.pii import KINDS, joined, personal_data
+from entityvec.llm.spelling import spelling_variants
 from entityvec.llm.streamdedup import exact_duplicates
 from entityvec.llm.suffixes import cut_repetitions
 from entityvec.llm.tokencount import token_counts
@@ -210,3 +211,29 @@ JOIN (SELECT p.source, p.pos, list_reduce(list_prepend(coalesce(p.changed, p.lea
       FROM p LEFT JOIN q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_at = p.pos) f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos""")
 def op13_merkle_manifest(spark, d):
     return verified(table(spark, d, "documents"))
+
+
+@query(r"""WITH RECURSIVE c(i, x) AS (  -- the table of CRC-32, bit by bit
+  SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))
+  FROM range(256) t(i)),
+t AS (SELECT list(x ORDER BY i) AS t FROM c),
+u AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+r AS (SELECT doc_id, w, count(*) AS n, hex(encode(concat(doc_id, ':', w))) AS x FROM u WHERE length(w) >= 5 GROUP BY ALL),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2),
+      lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t.t[xor(a, b) % 256 + 1]))) AS h FROM r, t),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+k AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+-- Replaced: equal with a hole at one place. Inserted or deleted: equal to the other word without one place.
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM k),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM p),
+e AS (SELECT a.word, b.word AS near, b.n AS m FROM g a JOIN g b ON a.hole = b.hole AND a.word <> b.word
+      UNION SELECT g.word, k.word, k.n FROM g JOIN k ON g.less = k.word
+      UNION SELECT k.word, g.word, g.n FROM g JOIN k ON g.less = k.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, encode(near))) AS near, max(m) AS m FROM e GROUP BY word),
+f AS (SELECT k.word, CASE WHEN m >= 2 * k.n THEN near END AS form, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * k.n THEN m END AS form_n
+      FROM k LEFT JOIN b USING (word)),
+s AS (SELECT word, word AS root, form FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.form)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.form IS NULL""")
+def op12_spelling_variants(spark, d):
+    return spelling_variants(table(spark, d, "documents"))
