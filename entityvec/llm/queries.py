@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from entityvec.llm import chat
 from entityvec.llm.decontaminate import contaminated
+from entityvec.llm.hamming import nearest_by_codes
 from entityvec.llm.langid import languages
 from entityvec.llm.licenses import license_notices
 from entityvec.llm.merkle import verified
@@ -237,3 +238,8 @@ s AS (SELECT word, word AS root, form FROM f UNION ALL SELECT s.word, f.word, f.
 SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.form IS NULL""")
 def op12_spelling_variants(spark, d):
     return spelling_variants(table(spark, d, "documents"))
+
+
+@query()
+def op11_nearest_codes(spark, d):
+    return nearest_by_codes(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
