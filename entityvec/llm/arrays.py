@@ -30,12 +30,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each; a longer row is a range of its own."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows each; a longer row is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(n, max(end, start + 1))
+        end = min(n, max(end, start + 1), start + (rows or n))
         yield start, end
         start = end
 

@@ -18,6 +18,8 @@ LEARNED_ROWS = 20_000
 #: Most languages of one model; a model has 2 ** BITS numbers for each.
 LANGUAGES = 1024
 SMOOTHING = 0.5
+#: Texts looked at together, which bounds the numbers held for each language.
+TEXTS = 1 << 12
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -46,7 +48,7 @@ def _cells(texts: list[str], bits: int, grams: tuple[int, ...]) -> tuple[np.ndar
 def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of parts of the batch that fit in memory as arrays; null is empty."""
     offsets, _ = text_bytes(batch.column(column))
-    for start, end in chunks(offsets, 1 << 18):
+    for start, end in chunks(offsets, 1 << 18, TEXTS):
         yield start, [t or "" for t in batch.column(column).slice(start, end - start).to_pylist()]
 
 
@@ -164,7 +166,14 @@ def held_out() -> Column:
 
 
 def languages(docs: DataFrame, rows: int = LEARNED_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
+
+    The model learns from rows whose crc32 of doc_id leaves another remainder than 2 by 4; the prediction sees the text only.
+    A null, empty or blank text and one without any letter give ``und`` with score 0, and so does every text if no row
+    to learn from has a lang. A null doc_id is held out. Texts of any length are read whole, one text's n-grams at a time being
+    in memory (some 50 times its bytes). Of equally likely languages the first by name is given. Repeated rows are
+    predicted alike, each is learned from. An empty table gives no rows. Other columns are not read, whatever their names.
+    """
     docs = docs.select("doc_id", "text", "lang")
     model = train(docs.filter(~held_out()), rows)
     out = identify(docs, model, ["doc_id"])

@@ -29,18 +29,38 @@ from entityvec.llm.components import components
 BANDS, ROWS, SHINGLE = 60, 6, 5
 #: Ranks for which slots are traced back through the swaps; later ones use permutations.
 TRACED = 8
-#: Members of a bucket that are compared with each other in one task; larger ones are split.
-TOGETHER = 4096
+#: Elements whose permutations are held at once (2 bytes a slot), and texts signed together.
+ELEMENTS, TEXTS = 1 << 14, 1 << 10
+#: Members of a tile; larger buckets are cut into tiles, and each two of them are compared in a group of their own.
+TILE = 4096
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def superminhash(element: np.ndarray, owner: np.ndarray, rows: int, slots: int) -> np.ndarray:
     """(rows, slots) signatures of ``rows`` sets of 64-bit elements; ``owner`` is ascending.
 
-    Slots of an empty set hold the largest value.
+    Slots of an empty set hold the largest value. Sets are taken together up to ``ELEMENTS`` of
+    them in all, so the permutations' memory is bounded; a larger set is done before it needs them.
     """
     best = np.full((rows, slots), _FULL, np.uint64)
+    ends = np.cumsum(np.bincount(owner, minlength=rows))
+    row = done = 0
+    while done < len(element):
+        last = max(int(np.searchsorted(ends, done + ELEMENTS, side="right")), row + 1)
+        end = int(ends[last - 1])
+        _fill(best[row:last], element[done:end], owner[done:end] - row, slots)
+        row, done = last, end
+    return best
+
+
+def _fill(best: np.ndarray, element: np.ndarray, owner: np.ndarray, slots: int) -> None:
+    """Fill the slots of some sets, one rank of all elements after the other.
+
+    A slot filled at an earlier rank lies below all later ones, so only free slots are looked at,
+    and a set is done when none is left.
+    """
     flat = best.reshape(-1)
+    free = np.full(len(best), slots)
     swaps: list[np.ndarray] = []
     permutation = None
     for rank in range(slots):
@@ -64,19 +84,17 @@ def superminhash(element: np.ndarray, owner: np.ndarray, rows: int, slots: int)
                 swaps = []
             place = permutation[index, chosen].astype(np.int64)
             permutation[index, chosen] = permutation[:, rank]
-        value = np.uint64(rank << 32) | (draw & np.uint64(0xFFFFFFFF))
-        np.minimum.at(flat, owner * slots + place, value)
-        # A set is done when every slot lies below what the next rank can give.
-        live = np.unique(owner)
-        open_ = np.zeros(rows, bool)
-        open_[live] = best[live].max(axis=1) >= np.uint64((rank + 1) << 32)
-        keep = open_[owner]
+        spot = owner * slots + place
+        open_ = np.flatnonzero(flat[spot] == _FULL)
+        spot = spot[open_]
+        np.minimum.at(flat, spot, np.uint64(rank << 32) | (draw[open_] & np.uint64(0xFFFFFFFF)))
+        free -= np.bincount(np.unique(spot) // slots, minlength=len(best))
+        keep = free[owner] > 0
         if not keep.all():
             element, owner = element[keep], owner[keep]
             swaps = [s[keep] for s in swaps]
             if permutation is not None:
                 permutation = permutation[keep]
-    return best
 
 
 def _sets(text: str, size: int) -> set:
@@ -90,7 +108,7 @@ def _signer(bands: int, rows: int, size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
-            for start, end in chunks(offsets, 1 << 19):
+            for start, end in chunks(offsets, 1 << 19, TEXTS):
                 at = offsets[start:end + 1] - offsets[start]
                 part, count = data[offsets[start]:offsets[end]], end - start
                 first, last = words(part, at)
@@ -154,7 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = SHINGLE,
     links, and ``kept`` marks the row that bears it.
 
     A null, empty or blank text has the empty set and no links. A text of fewer words is one
-    shingle. Rows without doc_id stay apart: component_id is null and kept true. Rows that
+    shingle. Long texts are read whole, with arrays of some 50 times one text's bytes. Rows without doc_id stay apart: component_id is null and kept true. Rows that
     share a doc_id are one document with several texts; n_shingles is each row's own. An empty table
     gives an empty result. Columns other than doc_id and text are not read.
 
@@ -230,36 +248,35 @@ def _compared(percent: int, slots: int):
     bounds = np.append([least_matches(percent, slots, int(u)) for u in steps], least_matches(percent, slots, 1 << 24))
 
     def compare(group: pa.Table) -> pa.Table:
-        band, key, band2, key2, doc, comp, n = (
-            group.column(i).to_numpy() for i in range(1, 8))
-        order = np.lexsort((doc, key2, band2, key, band))
+        band, key, low, high, tile, doc, comp, n = (
+            group.column(i).to_numpy() for i in range(1, 9))
+        order = np.lexsort((doc, high, low, key, band))
         group = group.take(pa.array(order))
-        band, key, band2, key2, doc, comp, n = (x[order] for x in (band, key, band2, key2, doc, comp, n))
-        sketch = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(len(doc), -1)
-        keys = np.vstack([np.asarray(x) for x in group.column(9).combine_chunks().flatten().to_numpy(
+        band, key, low, high, tile, doc, comp, n = (x[order] for x in (band, key, low, high, tile, doc, comp, n))
+        sketch = np.frombuffer(b"".join(group.column(9).to_pylist()), np.uint8).reshape(len(doc), -1)
+        keys = np.vstack([np.asarray(x) for x in group.column(10).combine_chunks().flatten().to_numpy(
             zero_copy_only=False).reshape(len(doc), -1)])
         fresh = np.ones(len(doc), bool)
         fresh[1:] = ((band[1:] != band[:-1]) | (key[1:] != key[:-1])
-                     | (band2[1:] != band2[:-1]) | (key2[1:] != key2[:-1]))
+                     | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
         starts = np.append(np.flatnonzero(fresh), len(doc))
         left, right = [], []
         for start, end in zip(starts[:-1], starts[1:]):
+            apart = low[start] != high[start]
             for i in range(start, end - 1):
                 j = np.arange(i + 1, end)
                 small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-                j = j[(comp[j] != comp[i]) & (doc[j] != doc[i]) & (100 * small >= percent * large)]
+                good = (comp[j] != comp[i]) & (doc[j] != doc[i]) & (100 * small >= percent * large)
+                if apart:
+                    good &= tile[j] != tile[i]
+                j = j[good]
                 if len(j):
                     # At the threshold the union has (|A| + |B|) / (1 + similarity) shingles.
                     union = (n[j] + n[i]) * 100 // (100 + percent) + 1
                     j = j[zero[sketch[j] ^ sketch[i]].sum(axis=1) >= bounds[np.searchsorted(steps, union)]]
                 if len(j):
-                    # The cell's own place among the bands that the two share; others give it elsewhere.
-                    same = keys[j] == keys[i]
-                    first = same.argmax(axis=1) == band[i]
-                    if band2[i]:
-                        same[np.arange(len(j)), same.argmax(axis=1)] = False
-                        first &= same.argmax(axis=1) == band2[i]
-                    j = j[first]
+                    # The first band that the two share; others give the pair elsewhere.
+                    j = j[(keys[j] == keys[i]).argmax(axis=1) == band[i]]
                     left.append(np.full(len(j), doc[i]))
                     right.append(doc[j])
         pair = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
@@ -270,24 +287,21 @@ def _compared(percent: int, slots: int):
 def _rest(crowded: DataFrame, found: DataFrame, signed: DataFrame, percent: int, slots: int) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and have like sketches.
 
-    Above ``TOGETHER`` members such a bucket is split by the members' later bands: a similar
-    pair shares 10 bands on average, and misses a second one with a chance of 1e-4 at most.
+    A bucket is dealt into tiles of about ``TILE`` members; every two tiles, and each by itself, are a
+    cell, so all pairs are compared once and no task has more than some cells.
     """
     labelled = (crowded.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                 .select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
     labelled = written(labelled, "labelled")
     mixed = written(labelled.groupBy("band", "key")
-                    .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
-                    .filter("low <> high").select("band", "key", "n"), "mixed-buckets")
-    inside = written(labelled.join(mixed, ["band", "key"]), "mixed")
-    cool = inside.filter(F.col("n") <= TOGETHER).select(
-        "band", "key", F.lit(0).alias("band2"), F.lit(0).cast("bigint").alias("key2"), "doc_id", "comp")
-    other = crowded.select("doc_id", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    warm = (inside.filter(F.col("n") > TOGETHER).join(other, "doc_id").filter("band2 > band")
-            .select("band", "key", "band2", "key2", "doc_id", "comp"))
-    cells = cool.union(warm).join(
-        signed.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id").filter("get(bands, band) = key")
-    groups = max(1, inside.count() // TOGETHER)
-    return (cells.withColumn("g", F.pmod(F.xxhash64("band", "key", "band2", "key2"), F.lit(groups)))
-            .select("g", "band", "key", "band2", "key2", "doc_id", "comp", "n_shingles", "sketch", "bands")
+                    .agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_n"))
+                    .filter("_low <> _high").select("band", "key", "_n", F.ceil(F.col("_n") / TILE).cast("int").alias("_tiles")), "mixed-buckets")
+    dealt = (labelled.join(mixed, ["band", "key"])
+             .withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("_tiles")).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+             .select("band", "key", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"), "tile", "doc_id", "comp"))
+    cells = dealt.join(signed.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id").filter("get(bands, band) = key")
+    groups = max(1, (mixed.agg(F.sum(F.col("_n") * F.col("_tiles"))).first()[0] or 0) // TILE)
+    return (cells.withColumn("g", F.pmod(F.xxhash64("band", "key", "low", "high"), F.lit(groups)))
+            .select("g", "band", "key", "low", "high", "tile", "doc_id", "comp", "n_shingles", "sketch", "bands")
             .groupBy("g").applyInArrow(_compared(percent, slots), "a bigint, b bigint").distinct())

@@ -32,6 +32,15 @@ def test_signature_equals_plain_algorithm():
     assert (got[5] == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
+def test_signatures_do_not_depend_on_what_is_held_together(monkeypatch):
+    draw = np.random.default_rng(8)
+    sizes = draw.integers(0, 400, 60)
+    element, owner = draw.integers(0, 1 << 63, sizes.sum()).astype(np.uint64), np.repeat(np.arange(60), sizes)
+    whole = minhash.superminhash(element, owner, 60, 360)
+    monkeypatch.setattr(minhash, "ELEMENTS", 100)
+    assert (minhash.superminhash(element, owner, 60, 360) == whole).all()
+
+
 @pytest.mark.parametrize("union", [8, 100, 1000])
 def test_variance_of_estimates(union):
     slots, share, tries = 120, 0.75, 400
@@ -81,9 +90,9 @@ def variants(seed, copies, share):
     return out
 
 
-@pytest.mark.parametrize("together", [4096, 8])
-def test_equals_all_pairs_around_the_threshold(spark, monkeypatch, together):
-    monkeypatch.setattr(minhash, "TOGETHER", together)
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_equals_all_pairs_around_the_threshold(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
     texts = variants(3, 60, 14) + variants(4, 40, 4) + [prose(9, n) for n in (1, 3, 4, 5, 6, 50)] + [prose(9, 4).upper()]
     frame = docs_of(spark, [((i * 37) % len(texts), t) for i, t in enumerate(texts)])
     assert got(frame) == brute([(r.doc_id, r.text) for r in frame.collect()])

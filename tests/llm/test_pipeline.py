@@ -83,3 +83,21 @@ def test_unlabelled_tables_are_judged_by_their_letters(spark, folder, tmp_path):
     first = corpus_pipeline.known_language(spark, docs, path)
     assert first.columns == docs.columns
     assert {r.doc_id for r in first.collect()} == {r[0] for r in rows if any(c.isalpha() for c in r[1] or "")}
+
+
+def test_the_model_decides_what_stays(spark, folder, tmp_path):
+    path, _, _ = folder
+    english = ["the house of the king and the river " + prose(i, 3) for i in range(40)]
+    french = ["la maison du roi et le fleuve des eaux " + prose(i, 3) for i in range(40)]
+    rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate(zip(english + french, ["en"] * 40 + ["fr"] * 40))]
+    rows += [(100, "the king and the river", None, "s", 0), (101, "le roi et la maison", None, "s", 0), (102, "42 !", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def kept(frame, **how):
+        return {r.doc_id for r in corpus_pipeline.known_language(spark, frame, path, **how).collect()}
+    assert kept(docs) == {r[0] for r in rows} - {102}
+    assert kept(docs, wanted=["en"]) == set(range(40)) | {100}
+    # The same texts under a model that learned the labels the other way round.
+    other = docs.withColumn("lang", F.when(F.col("lang") == "en", "fr").when(F.col("lang") == "fr", "en"))
+    assert kept(other, wanted=["en"]) == set(range(40, 80)) | {101}
+    assert kept(docs, least_score=1.1) == set()
