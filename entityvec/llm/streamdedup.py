@@ -39,8 +39,10 @@ def sha256(text: Column) -> Column:
 def _rows(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """doc_id, content locator and digest of each row of a Parquet scan or stream."""
     text = lowered(F.col("text"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.row_index").alias("row"), text.alias("content"),
+    # Also where the table has a column of that name itself.
+    at = docs.metadataColumn("_metadata")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), at["file_path"].alias("file"),
+                       at["row_index"].alias("row"), text.alias("content"),
                        digest(text).alias("digest"))
 
 
@@ -92,7 +94,7 @@ def exact_duplicates(spark: SparkSession, path: str, folder: str | None = None,
     lower-casing A-Z, null and empty being the same. Of equal texts the row with the largest
     doc_id stays; of several such rows the one last by file and row, so exactly one row of a
     group has kept true. A null doc_id stays only if the whole group has none (keep_id is then null).
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read, whatever their names. Texts are digested whole, however long.
 
     ``folder`` holds the state between calls; a fresh one in the shared scratch folder is
     taken by default. Groups of the state are checked on the full bytes of all their rows: where a digest

@@ -26,7 +26,7 @@ def edges(spark):
             (9, "x" * 70_000, "en", "b", 70_000)]
     frame = spark.createDataFrame(rows, SCHEMA)
     # Names that operators use inside.
-    for name in ("size", "row", "key", "band", "kept", "score", "block", "n", "a", "b", "digest", "text_key", "component"):
+    for name in ("size", "row", "key", "band", "kept", "score", "block", "n", "a", "b", "digest", "text_key", "component", "_metadata"):
         frame = frame.withColumn(name, frame.n_chars)
     return frame
 
