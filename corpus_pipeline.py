@@ -59,8 +59,9 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     file, row = _unused(docs, "_file"), _unused(docs, "_row")
     dropped = written(exact_duplicates(spark, path).filter("not kept").select(
         F.substring_index("file", "/", -1).alias(file), F.col("row").alias(row)), "copies")
-    landed = spark.read.parquet(path).select(
-        "*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    landed = spark.read.parquet(path)
+    at = landed.metadataColumn("_metadata")
+    landed = landed.select("*", at["file_name"].alias(file), at["row_index"].alias(row))
     return landed.join(sent_if_small(dropped), [file, row], "left_anti").drop(file, row)
 
 
