@@ -43,24 +43,30 @@ def superminhash(element: np.ndarray, owner: np.ndarray, rows: int, slots: int)
     them in all, so the permutations' memory is bounded; a larger set is done before it needs them.
     """
     best = np.full((rows, slots), _FULL, np.uint64)
-    ends = np.cumsum(np.bincount(owner, minlength=rows))
+    # Sets of like sizes together: the smaller a set, the more ranks it takes.
+    sizes = np.bincount(owner, minlength=rows)
+    order = np.argsort(sizes, kind="stable")
+    place = np.empty(rows, np.int64)
+    place[order] = np.arange(rows)
+    moved = np.argsort(place[owner], kind="stable")
+    element, owner, ends = element[moved], place[owner][moved], np.cumsum(sizes[order])
     row = done = 0
     while done < len(element):
         last = max(int(np.searchsorted(ends, done + ELEMENTS, side="right")), row + 1)
-        end = int(ends[last - 1])
-        _fill(best[row:last], element[done:end], owner[done:end] - row, slots)
+        end, some = int(ends[last - 1]), order[row:last]
+        best[some] = _filled(element[done:end], owner[done:end] - row, len(some), slots)
         row, done = last, end
     return best
 
 
-def _fill(best: np.ndarray, element: np.ndarray, owner: np.ndarray, slots: int) -> None:
-    """Fill the slots of some sets, one rank of all elements after the other.
+def _filled(element: np.ndarray, owner: np.ndarray, rows: int, slots: int) -> np.ndarray:
+    """Signatures of some sets, one rank of all elements after the other.
 
     A slot filled at an earlier rank lies below all later ones, so only free slots are looked at,
-    and a set is done when none is left.
+    and a set is done when none is left; more ranks would change nothing.
     """
+    best = np.full((rows, slots), _FULL, np.uint64)
     flat = best.reshape(-1)
-    free = np.full(len(best), slots)
     swaps: list[np.ndarray] = []
     permutation = None
     for rank in range(slots):
@@ -88,13 +94,15 @@ def _fill(best: np.ndarray, element: np.ndarray, owner: np.ndarray, slots: int)
         open_ = np.flatnonzero(flat[spot] == _FULL)
         spot = spot[open_]
         np.minimum.at(flat, spot, np.uint64(rank << 32) | (draw[open_] & np.uint64(0xFFFFFFFF)))
-        free -= np.bincount(np.unique(spot) // slots, minlength=len(best))
-        keep = free[owner] > 0
+        if rank >= TRACED and rank % 8:
+            continue
+        keep = (best == _FULL).any(axis=1)[owner]
         if not keep.all():
             element, owner = element[keep], owner[keep]
             swaps = [s[keep] for s in swaps]
             if permutation is not None:
                 permutation = permutation[keep]
+    return best
 
 
 def _sets(text: str, size: int) -> set:
