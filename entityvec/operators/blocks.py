@@ -32,12 +32,15 @@ from pyspark.sql import types as T
 from entityvec.functions.hashing import keyed_hash
 from entityvec.functions.scratch import written
 from entityvec.functions.shipping import ship, unpack
+from entityvec.operators.balls import Balls
 from entityvec.operators.ranking import take_by_hash
 
 METRICS = ("euclidean", "dot")
 MEMBER = ("id", "grp", "vec")
 BATCH_BYTES = 32 * 1024 * 1024
 GATHER_VALUES = 1 << 20
+#: Pivots that the bounds of k-th scores are looked up among, and numbers of a tile of rows and cells.
+BOUND_PIVOTS, TILE_VALUES = 4096, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,12 @@ class Layout:
     cells: int | None = None
     tile: int = 1024
     probe_cells: int | None = None
+    # Pivots moved by k-means to the middle of what they stand for; cells get smaller radii.
+    refined: bool = False
+    # Cells found and ruled out by a tree of balls with about so many parts for each cell; their
+    # number is then bounded by ``pivot_bytes`` alone.
+    tree: bool = False
+    parts: int = 64
 
     def block_rows_for(self, width: int) -> int:
         """Rows per block: wide vectors get shorter blocks, so a block fits a batch."""
@@ -67,7 +76,15 @@ class Layout:
         """Number of pivots; they go through the driver, so their total size is bounded."""
         wanted = self.cells or math.ceil(rows / self.cell_rows)
         fits = max(1, self.pivot_bytes // (8 * max(width, 1)))
-        return max(1, min(wanted, self.max_cells, fits, max(rows, 1)))
+        return max(1, min(wanted, fits if self.tree else self.max_cells, fits, max(rows, 1)))
+
+    def sample_for(self, rows: int, width: int) -> int:
+        """Rows that go through the driver: the pivots, and what they are refined or divided by."""
+        wanted = self.cells_for(rows, width)
+        if self.tree or self.refined:
+            fits = max(1, self.pivot_bytes // (8 * max(width, 1)))
+            return max(wanted, min(wanted * self.parts, fits, rows))
+        return wanted
 
 
 @dataclass(frozen=True)
@@ -82,6 +99,7 @@ class CellSummary:
     rmin: np.ndarray
     rmax: np.ndarray
     blocks: np.ndarray
+    balls: Balls | None = None
 
 
 def as_matrix(vectors) -> np.ndarray:
@@ -177,6 +195,41 @@ def _assign(pivots) -> "callable":
     return run
 
 
+def _assign_down(sent) -> "callable":
+    """Rows with their cell and part, and their distance from each centre above them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls: Balls = unpack(sent)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = as_matrix(batch.column("vec"))
+            every = np.arange(len(a))
+            group, cell, part = balls.place(a)
+            far = [pair_scores(a, every, c, i, "euclidean") for c, i in
+                   ((balls.cells, cell), (balls.parts, part), (balls.groups, group))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[0]), pa.array(part.astype(np.int32)),
+                 pa.array(far[1]), pa.array(far[2])],
+                names=[*batch.schema.names, "cell", "radius", "part", "part_radius", "group_radius"])
+
+    return run
+
+
+def _refined(sample: np.ndarray, cells: int, spark) -> np.ndarray:
+    """Places in ``sample`` of the rows nearest to the centres of k-means over it.
+
+    Pivots stay rows of the corpus, as the bounds of k-th scores want them.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    rows = spark.createDataFrame([(Vectors.dense(v),) for v in sample], T.StructType([T.StructField("features", VectorUDT())]))
+    centres = np.array(KMeans(k=max(cells, 2), maxIter=10, seed=0, initMode="random").fit(rows).clusterCenters())
+    step = max(1, (1 << 22) // len(sample))
+    near = [squared_distances(centres[i:i + step], sample).argmin(1) for i in range(0, len(centres), step)]
+    return np.unique(np.concatenate(near))[:max(cells, 1)]
+
+
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
     if values.shape[1] < k:
         return np.full(values.shape[0], np.inf)
@@ -192,9 +245,10 @@ def _bounds(a, groups, summary: CellSummary, k: int, exclude: bool, self_join: b
 
 def _tile_bounds(every, all_groups, rows: slice, summary: CellSummary, k: int, exclude: bool, self_join: bool) -> np.ndarray:
     a, groups = every[rows], all_groups[rows]
-    s, slack = scores(a, summary.pivots, summary.metric)
+    # Any rows of the corpus give a bound; there may be very many pivots.
+    s, slack = scores(a, summary.pivots[:BOUND_PIVOTS], summary.metric)
     if exclude:
-        probe = pa.array(summary.pivot_groups, type=groups.type)
+        probe = pa.array(summary.pivot_groups[:BOUND_PIVOTS], type=groups.type)
         s = np.where(same_group(groups, probe), np.inf, s)
     bound = _kth(s, k) + slack
     if self_join:
@@ -223,17 +277,41 @@ def _cell_scores(a: np.ndarray, summary: CellSummary) -> tuple[np.ndarray, np.nd
     return np.maximum(low, 0.0), s + summary.rmax + 2 * slack
 
 
+def _ball_scores(metric: str):
+    """Least score that rows can have in balls, to the safe side of rounding."""
+    def lower(a: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        s, slack = scores(a, centres, metric)
+        if metric == "dot":
+            reach = np.sqrt((a * a).sum(1))[:, None] * radius[None, :]
+            return s - reach - slack - 1e-9 * reach
+        return np.maximum(s - radius - 2 * slack, 0.0)
+    return lower
+
+
+def _targets(a: np.ndarray, bound: np.ndarray, summary: CellSummary, tile: int, probe: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(cell, rows) for every cell that may hold a wanted neighbour of the rows."""
+    if summary.balls is not None and probe is None:
+        yield from summary.balls.reached(a, bound, _ball_scores(summary.metric))
+        return
+    wanted = np.vstack([_cell_scores(a[lo:lo + tile], summary)[0] <= bound[lo:lo + tile, None] for lo in range(0, len(a), tile)])
+    if probe is not None:
+        wanted &= np.vstack([_probed(a[lo:lo + tile], summary, probe) for lo in range(0, len(a), tile)])
+    for c in np.flatnonzero(wanted.any(0)):
+        yield int(c), np.flatnonzero(wanted[:, c])
+
+
 def _probed(a: np.ndarray, summary: CellSummary, cells: int) -> np.ndarray:
     """(rows, cells): whether the cell's pivot is among the row's nearest ones."""
     near = scores(a, summary.pivots, summary.metric)[0]
     return near <= _kth(near, min(cells, near.shape[1]))[:, None]
 
 
-def _route(cells, k: int | None, exclude: bool, self_join: bool, tile: int, probe: int | None = None):
+def _route(cells, k: int | None, exclude: bool, self_join: bool, tile_rows: int, probe: int | None = None):
     """Packs to (target block, rows) for every block that may hold a wanted neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary: CellSummary = unpack(cells)
+        tile = max(1, min(tile_rows, TILE_VALUES // max(1, len(summary.pivots))))
         for batch in batches:
             members = as_list(batch.column("rows"))
             for i in range(batch.num_rows):
@@ -249,32 +327,23 @@ def _route(cells, k: int | None, exclude: bool, self_join: bool, tile: int, prob
                     rows = pa.StructArray.from_arrays(
                         [*[rows.field(n) for n in names], pa.array(bound)],
                         names=[*names, "bound"])
-                wanted = np.vstack([_cell_scores(a[lo:lo + tile], summary)[0] <= bound[lo:lo + tile, None]
-                                    for lo in range(0, len(a), tile)])
-                if probe is not None:
-                    wanted &= np.vstack([_probed(a[lo:lo + tile], summary, probe) for lo in range(0, len(a), tile)])
                 room = max(1, BATCH_BYTES // (8 * a.shape[1]))
-                yield from _packs(rows, wanted, summary.blocks, home, room)
+                yield from _packs(rows, _targets(a, bound, summary, tile, probe), summary.blocks, home, room)
 
     return run
 
 
-def _packs(rows, wanted: np.ndarray, blocks: np.ndarray, home,
+def _packs(rows, wanted: Iterator[tuple[int, np.ndarray]], blocks: np.ndarray, home,
            room: int) -> Iterator[pa.RecordBatch]:
     """Batches of about ``room`` packed rows."""
-    pending, size = [], 0
-    everyone = np.arange(len(rows))
-    targets = [(home[0], home[1], True, everyone)]
-    for c in np.nonzero(wanted.any(0) & (blocks > 0))[0]:
-        idx = np.nonzero(wanted[:, c])[0]
-        targets += [(int(c), s, False, idx) for s in range(int(blocks[c]))
-                    if (int(c), s) != home]
-    for target in targets:
-        pending.append(target)
-        size += len(target[3])
-        if size >= room:
-            yield _pack_batch(rows, pending)
-            pending, size = [], 0
+    pending, size = [(home[0], home[1], True, np.arange(len(rows)))], len(rows)
+    for c, idx in wanted:
+        for target in ((c, s, False, idx) for s in range(int(blocks[c])) if (c, s) != home):
+            if size >= room:
+                yield _pack_batch(rows, pending)
+                pending, size = [], 0
+            pending.append(target)
+            size += len(idx)
     if pending:
         yield _pack_batch(rows, pending)
 
@@ -434,7 +503,7 @@ def _pack(assigned: DataFrame, blocks: np.ndarray, columns: list[str]) -> DataFr
 
 
 def _summarise(assigned: DataFrame, pivots: np.ndarray, groups, metric: str,
-               layout: Layout) -> CellSummary:
+               layout: Layout, balls: Balls | None = None) -> CellSummary:
     per_cell = (assigned.groupBy("cell", "grp")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"),
                      F.max("radius").alias("hi"))
@@ -447,8 +516,15 @@ def _summarise(assigned: DataFrame, pivots: np.ndarray, groups, metric: str,
     for r in per_cell:
         i = r["cell"]
         rows[i], top[i], lo[i], hi[i] = r["n"], r["g"], r["lo"], r["hi"]
+    if balls is not None:
+        # Balls without a row stay below zero. A group's radius is that of all rows of its cells.
+        balls.part_radius, balls.group_radius = np.full(len(balls.parts), -1.0), np.full(len(balls.groups), -1.0)
+        for r in assigned.groupBy("cell", "part").agg(F.max("part_radius").alias("p"), F.max("group_radius").alias("g")).collect():
+            balls.part_radius[r["part"]] = r["p"]
+            group = balls.cell_group[r["cell"]]
+            balls.group_radius[group] = max(balls.group_radius[group], r["g"])
     return CellSummary(metric, pivots, groups, rows, top, lo, hi,
-                       np.ceil(rows / layout.block_rows_for(pivots.shape[1])).astype(np.int64))
+                       np.ceil(rows / layout.block_rows_for(pivots.shape[1])).astype(np.int64), balls)
 
 
 class BlockSearch:
@@ -466,20 +542,22 @@ class BlockSearch:
         self.size, width = self.corpus.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
         if not self.size:
             raise ValueError("no vectors to search")
-        wanted = self.layout.cells_for(self.size, width)
-        # A cut found from counters: no task gathers more than the pivots.
-        sample = (take_by_hash(self.corpus, "id", 0, lambda n: wanted)[0]
+        wanted, taken = self.layout.cells_for(self.size, width), self.layout.sample_for(self.size, width)
+        # A cut found from counters: no task gathers more than the sample.
+        sample = (take_by_hash(self.corpus, "id", 0, lambda n: taken)[0]
                   .orderBy(keyed_hash(0, "id"), "id").collect())
-        pivots = np.array([r["vec"] for r in sample], dtype=np.float64)
-        _, keep = np.unique(pivots, axis=0, return_index=True)
-        keep.sort()
-        self.pivots = pivots[keep]
+        every = np.array([r["vec"] for r in sample], dtype=np.float64)
+        chosen = _refined(every, wanted, self.spark) if self.layout.refined else np.arange(len(every))[:wanted]
+        _, keep = np.unique(every[chosen], axis=0, return_index=True)
+        keep = chosen[np.sort(keep)]
+        self.pivots = every[keep]
         groups = np.empty(len(keep), dtype=object)
         groups[:] = [sample[i]["grp"] for i in keep]
         self.block_rows = self.layout.block_rows_for(width)
-        self._centres = ship(self.spark, self.pivots)
+        self.balls = Balls.over(self.pivots, every) if self.layout.tree else None
+        self._centres = ship(self.spark, self.balls if self.layout.tree else self.pivots)
         self.assigned = written(self.assign(self.corpus), "cells")
-        self.summary = _summarise(self.assigned, self.pivots, groups, metric, self.layout)
+        self.summary = _summarise(self.assigned, self.pivots, groups, metric, self.layout, self.balls)
         self._cells = ship(self.spark, self.summary)
         # One plan for both sides of a self-join, so its shuffle is done once.
         self._blocks = _pack(self.assigned, self.summary.blocks, list(MEMBER))
@@ -487,16 +565,29 @@ class BlockSearch:
     def assign(self, rows: DataFrame) -> DataFrame:
         schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()),
                                T.StructField("radius", T.DoubleType())])
-        return rows.mapInArrow(_assign(self._centres), schema)
-
-    def _meet(self, packs: DataFrame, blocks: DataFrame, cells: Broadcast, k: int | None,
-              exclude: bool, self_join: bool, member: T.StructType) -> DataFrame:
+        if self.balls is None:
+            return rows.mapInArrow(_assign(self._centres), schema)
+        schema = schema.add("part", T.IntegerType()).add("part_radius", T.DoubleType()).add("group_radius", T.DoubleType())
+        return rows.mapInArrow(_assign_down(self._centres), schema)
+
+    def copies(self, k: int, exclude_group: bool = False) -> float:
+        """Copies of a row that a self-join for the k nearest sends through the shuffle, on average."""
+        member = _struct_of(self.corpus.schema, [T.StructField("bound", T.DoubleType())])
+        routed = self._routed(self._blocks, self._cells, k, exclude_group, True, member)
+        return routed.agg(F.sum(F.size("pack"))).first()[0] / self.size
+
+    def _routed(self, packs: DataFrame, cells: Broadcast, k: int | None,
+                exclude: bool, self_join: bool, member: T.StructType) -> DataFrame:
         routed_schema = T.StructType([
             T.StructField("cell", T.IntegerType()), T.StructField("sub", T.IntegerType()),
             T.StructField("home", T.BooleanType()),
             T.StructField("pack", T.ArrayType(member))])
-        routed = packs.mapInArrow(_route(cells, k, exclude, self_join, self.layout.tile,
-                                         self.layout.probe_cells if k else None), routed_schema)
+        return packs.mapInArrow(_route(cells, k, exclude, self_join, self.layout.tile,
+                                       self.layout.probe_cells if k else None), routed_schema)
+
+    def _meet(self, packs: DataFrame, blocks: DataFrame, cells: Broadcast, k: int | None,
+              exclude: bool, self_join: bool, member: T.StructType) -> DataFrame:
+        routed = self._routed(packs, cells, k, exclude, self_join, member)
         # Sort-merge: rows are megabytes, sizes are unknown to the planner, and adaptive
         # execution can split a block that very many packs are sent to.
         return routed.hint("merge").join(blocks, ["cell", "sub"], "left")

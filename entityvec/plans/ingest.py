@@ -11,7 +11,7 @@ from entityvec.functions.joins import sent_if_small
 from entityvec.functions.schema import require_columns
 from entityvec.functions.scratch import scratch_tables, written
 from entityvec.operators.images import FINGERPRINT_SIZE, Decoder, pixel_fingerprint, validate_images
-from entityvec.operators.inference import VectorFn, apply_vectorizer
+from entityvec.operators.inference import VectorFn, attempted_vectors
 from entityvec.operators.ingest import (
     IMAGE_SUFFIXES, ingest_stats, intermediate_rows, match_paths, pair_metadata_images, vector_job_stats)
 from entityvec.operators.keysets import keep_keys
@@ -60,11 +60,14 @@ def ingest_archives(spark: SparkSession, paths: Iterable[str], out: str,
 
 
 def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn], out: str,
-                  batch_size: int = 32, pooling: str = "cls_token") -> tuple[DataFrame, DataFrame]:
+                  batch_size: int = 32, pooling: str = "cls_token", errors: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Vectors of the rows whose image is found, written to ``out`` in a folder per shard, and the job's totals.
 
     ``rows`` has ``shard`` and ``image_path``; ``files`` has ``shard, file, content``. A shard that ``out``
     holds already is not done again. The model runs where the contents lie; only vectors are joined.
+
+    A content that the model raises on costs its own rows only: they count as failed and go with the error's
+    text to ``errors``, a folder per shard, if one is given. A shard of which nothing could be written is tried again by the next run.
     """
     spark = rows.sparkSession
     try:
@@ -77,13 +80,19 @@ def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn
         found = matched.filter(F.col("path_status") == "ok")
         wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
         contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
-        made = apply_vectorizer(contents, load, "content", batch_size=batch_size, pooling=pooling)
-        vectors = made.select("shard", F.col("file").alias("matched_path"), "embedding")
-        full = found.join(vectors, ["shard", "matched_path"]).select(*rows.columns, "embedding")
+        made = attempted_vectors(contents, load, "content", batch_size=batch_size, pooling=pooling)
+        vectors = written(made.select("shard", F.col("file").alias("matched_path"), "embedding", F.col("error").alias("_error")), "vectors")
+        tried = found.join(vectors, ["shard", "matched_path"])
+        full = tried.filter("_error is null").select(*rows.columns, "embedding")
         if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
             full = ids.compose_ids(full)
         write_shards(full, out, "shard", "append")
-        stats = vector_job_stats(matched.withColumn("_done", F.col("path_status") == "ok"), "_done")
+        bad = written(vectors.filter("_error is not null").select("shard", "matched_path", "_error"), "errors")
+        if errors is not None:
+            lost = found.join(sent_if_small(bad), ["shard", "matched_path"]).select(*rows.columns, F.col("_error").alias("error"))
+            write_shards(lost, errors, "shard", "append")
+        judged = matched.join(sent_if_small(bad), ["shard", "matched_path"], "left")
+        stats = vector_job_stats(judged.withColumn("_done", (F.col("path_status") == "ok") & F.col("_error").isNull()), "_done")
         stats = spark.createDataFrame(stats.collect(), stats.schema)
     return spark.read.parquet(out), stats
 

@@ -1,9 +1,14 @@
 """Parquet inputs: shards, fingerprints and packaged images; partitioned outputs."""
 
+import json
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,38 +25,85 @@ FINGERPRINT_SCHEMA = T.StructType([
 
 def read_parquet_dir(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                      pattern: str = "*.parquet", required: Sequence[str] = (),
-                     file_name: str | None = None) -> DataFrame:
+                     file_name: str | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """Files of a folder that match ``pattern``; an error when there is none.
 
-    ``file_name`` adds the shard's file name under that name.
+    ``file_name`` adds the shard's file name under that name. ``types`` names columns that files may store in
+    different types and the type to read them as; a file with a damaged footer is an error then, too.
     """
+    if types:
+        groups, bad = files_by_schema(spark, path, pattern)
+        if bad:
+            raise ValueError(f"files that cannot be read: {', '.join(bad)}")
+        parts = [_picked(spark.read.parquet(*files), path, columns, required, file_name, types) for files in groups]
+        return reduce(DataFrame.unionByName, parts)
     try:
         df = spark.read.option("pathGlobFilter", pattern).parquet(path)
     except AnalysisException as e:
         raise ValueError(f"no readable {pattern} in {path}") from e
-    require_columns(df, [*required, *(columns or [])], path)
-    picked = [F.col(c) for c in (columns or df.columns)]
+    return _picked(df, path, columns, required, file_name, {})
+
+
+def _picked(df: DataFrame, path: str, columns: Sequence[str] | None, required: Sequence[str],
+            file_name: str | None, types: dict[str, str]) -> DataFrame:
+    require_columns(df, [*required, *(columns or []), *types], path)
+    picked = [F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in (columns or df.columns)]
     if file_name:
         picked.append(F.col("_metadata.file_name").alias(file_name))
     return df.select(*picked)
 
 
-def fingerprint_files(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], list[str]]:
-    """(files by their own schema, files whose footer cannot be read) of a folder of shards."""
+def _footer(path: str) -> str:
+    """Names and types of a file's columns, as text."""
+    if path.startswith("file:"):
+        store, inner = fs.LocalFileSystem(), unquote("/" + path.removeprefix("file:").lstrip("/"))
+    else:
+        store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_file(inner) as f:
+        return json.dumps([(c.name, str(c.type)) for c in pq.read_schema(f)])
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        schemas, errors = [], []
+        for path in batch.column(0).to_pylist():
+            try:
+                schemas.append(_footer(path))
+                errors.append(None)
+            except Exception as e:  # whatever a damaged footer raises
+                schemas.append(None)
+                errors.append(f"{type(e).__name__}: {e}"[:500])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(schemas, pa.string()), pa.array(errors, pa.string())], names=["file", "columns", "error"])
+
+
+def file_footers(spark: SparkSession, files: Sequence[str], per_task: int = 64) -> DataFrame:
+    """file, columns, error of Parquet files: footers are read by tasks, some files each.
+
+    ``columns`` is the JSON text of the names and types; a file whose footer cannot be read has an error instead.
+    Executors must reach the files by their URI.
+    """
+    listed = spark.createDataFrame([(f,) for f in sorted(files)], "file string")
+    return listed.repartition(max(1, -(-len(files) // per_task))).mapInArrow(_footers, "file string, columns string, error string")
+
+
+def files_by_schema(spark: SparkSession, path: str, pattern: str = "*.parquet") -> tuple[list[list[str]], list[str]]:
+    """(files grouped by their own schema, files whose footer cannot be read) of a folder, by one job."""
     try:
-        files = spark.read.schema(FINGERPRINT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(path).inputFiles()
+        files = spark.read.schema(FINGERPRINT_SCHEMA).option("pathGlobFilter", pattern).parquet(path).inputFiles()
     except AnalysisException as e:
-        raise ValueError(f"no fingerprint files in {path}") from e
+        raise ValueError(f"no readable {pattern} in {path}") from e
     if not files:
-        raise ValueError(f"no fingerprint files in {path}")
-    by_schema: dict[str, list[str]] = {}
+        raise ValueError(f"no readable {pattern} in {path}")
+    groups: dict[str, list[str]] = {}
     skipped = []
-    for file in sorted(files):
-        try:
-            by_schema.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
-        except Exception:  # whatever a damaged footer raises
-            skipped.append(file)
-    return by_schema, skipped
+    # One short row for each file.
+    for r in sorted(file_footers(spark, files).collect()):
+        if r["error"] is None:
+            groups.setdefault(r["columns"], []).append(r["file"])
+        else:
+            skipped.append(r["file"])
+    return list(groups.values()), skipped
 
 
 def read_fingerprints(spark: SparkSession, path: str, skipped: list[str] | None = None) -> DataFrame:
@@ -60,13 +112,13 @@ def read_fingerprints(spark: SparkSession, path: str, skipped: list[str] | None
     A file whose footer is damaged is left out: its name is appended to ``skipped``, and
     warned of without that list. Having no other file is an error. Damage inside a file fails the job that reads it.
     """
-    by_schema, bad = fingerprint_files(spark, path)
+    by_schema, bad = files_by_schema(spark, path)
     if bad and skipped is None:
         warnings.warn(f"fingerprint files that cannot be read: {', '.join(bad)}", stacklevel=2)
     elif bad:
         skipped += bad
     parts = []
-    for files in by_schema.values():
+    for files in by_schema:
         df = spark.read.parquet(*files)
         require_columns(df, FINGERPRINT_SCHEMA.names, files[0])
         parts.append(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FINGERPRINT_SCHEMA]))

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityvec.operators import neighbors, retrieval
+from entityvec.operators.balls import Balls
+from entityvec.operators.lsh import knn_by_hashing
 from entityvec.operators.blocks import BlockSearch, Layout, _nearest, _struct_of, best_pairs
 
 LAYOUTS = [Layout(), Layout(block_rows=16, cells=9, tile=10),
-           Layout(block_rows=1000, cells=40), Layout(block_rows=7, cells=1, tile=3)]
+           Layout(block_rows=1000, cells=40), Layout(block_rows=7, cells=1, tile=3),
+           Layout(block_rows=16, cells=24, parts=3, tree=True), Layout(block_rows=16, cells=9, parts=20, refined=True),
+           Layout(block_rows=16, cells=9, parts=8, refined=True, tree=True)]
 
 
 def data(kind: str, n=240, d=6, seed=1):
@@ -189,6 +193,89 @@ def test_probing_few_cells_is_approximate_and_cheaper(spark):
     assert got[20] == 1.0 and 0.5 < got[3] < 1.0
 
 
+def clustered(n: int, width: int, clusters: int, seed=3):
+    """Rows in clusters of very different sizes."""
+    draw = np.random.default_rng(seed)
+    centres = 6 * draw.standard_normal((clusters, width))
+    which = np.minimum(draw.geometric(6 / clusters, n) - 1, clusters - 1)
+    x = centres[which] + draw.standard_normal((n, width)) * draw.uniform(0.1, 0.6, clusters)[which][:, None]
+    return [(f"i{i:05d}", f"e{i % 700}", v.tolist()) for i, v in enumerate(x)]
+
+
+def copies(spark, rows, **layout):
+    search = BlockSearch(neighbors.candidate_rows(frame(spark, rows), "item", "entity", "vec"), "euclidean",
+                         Layout(block_rows=400, cell_rows=200, **layout))
+    return search.copies(10, True)
+
+
+def test_tree_and_kmeans_send_fewer_copies(spark):
+    rows = clustered(6000, 8, 25)
+    plain, kmeans, tree, both = (copies(spark, rows, **how) for how in (
+        {}, {"refined": True}, {"tree": True}, {"tree": True, "refined": True}))
+    print(f"copies of a row: pivots {plain:.2f}, k-means {kmeans:.2f}, tree {tree:.2f}, both {both:.2f}")
+    assert tree < 0.8 * plain and kmeans < plain and both <= tree
+
+
+def test_tree_of_balls_rules_out_nothing_that_is_near():
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((900, 5)) + 8 * draw.standard_normal((12, 5))[draw.integers(0, 12, 900)]
+    balls = Balls.over(x[:60], x[:400])
+    group, cell, part = balls.place(x)
+    assert (balls.cell_group[cell] == group).all() and (balls.part_cell[part] == cell).all()
+    balls.part_radius, balls.group_radius = np.full(len(balls.parts), -1.0), np.full(len(balls.groups), -1.0)
+    np.maximum.at(balls.part_radius, part, np.linalg.norm(x - balls.parts[part], axis=1))
+    np.maximum.at(balls.group_radius, group, np.linalg.norm(x - balls.groups[group], axis=1))
+    far = np.linalg.norm(x[:50, None] - x[None], axis=2)
+    bound = np.sort(far, 1)[:, 9]
+    met = np.zeros((50, 60), bool)
+    for c, rows in balls.reached(x[:50], bound, lambda a, c, r: np.linalg.norm(a[:, None] - c[None], axis=2) - r - 1e-9):
+        met[rows, c] = True
+    wanted = np.zeros((50, 60), bool)
+    for q, r in zip(*np.nonzero(far <= bound[:, None])):
+        wanted[q, cell[r]] = True
+    assert not (wanted & ~met).any() and met.sum() < 0.7 * met.size
+
+
+def test_many_cells_need_no_fixed_limit():
+    assert Layout().cells_for(10**9, 32) == 4096
+    assert Layout(tree=True).cells_for(10**9, 32) == -(-10**9 // 16384)
+    # Bounded by the bytes that go through the driver.
+    assert Layout(tree=True).cells_for(10**12, 32) == 64 * 1024 * 1024 // 256
+
+
+@pytest.mark.parametrize("width", [8, 32])
+def test_hashing_finds_nine_of_ten(spark, width):
+    rows = clustered(3000, width, 40, seed=width)
+    made = knn_by_hashing(frame(spark, rows), "item", "entity", "vec", 10, part_rows=150)
+    want, near = brute(rows, 10), found(made)
+    hit = sum(len({i for i, _ in near.get(q, [])} & {i for i, _ in w}) for q, w in want.items())
+    assert hit >= 0.9 * 10 * len(rows)
+    by_item = {r[0]: np.array(r[2]) for r in rows}
+    for q, edges in list(near.items())[:200]:
+        assert [d for _, d in edges] == sorted(d for _, d in edges) and len(edges) <= 10
+        assert all(d == pytest.approx(np.linalg.norm(by_item[q] - by_item[i]), abs=1e-8) for i, d in edges)
+
+
+def test_hashing_of_hot_buckets_and_odd_rows(spark):
+    rows = data("hot_copies", 300) + [("z", None, [4.0] * 6), ("y", None, [4.0] * 6)]
+    exact = brute(rows, 5)
+    near = found(knn_by_hashing(frame(spark, rows), "item", "entity", "vec", 5, tables=1, bits=1, part_rows=40))
+    for q, edges in near.items():
+        assert len(edges) <= 5 and all(d >= exact[q][0][1] for _, d in edges)
+    # Equal vectors share every bucket: the copies of other entities, smallest ids first.
+    assert near["z"] == exact["z"] and "y" not in {i for i, _ in near["z"]}
+    with pytest.raises(ValueError):
+        knn_by_hashing(frame(spark, rows).limit(0), "item", "entity", "vec")
+
+
+@pytest.mark.parametrize("width", [8, 32])
+def test_recall_of_probed_cells(spark, width):
+    rows = clustered(3000, width, 40, seed=width)
+    layout = Layout(block_rows=200, cells=30, probe_cells=6)
+    near, want = found(neighbors.knn_exclude_group(frame(spark, rows), "item", "entity", "vec", 10, layout=layout)), brute(rows, 10)
+    assert sum(len({i for i, _ in near[q]} & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 10 * len(rows)
+
+
 def test_queries_are_chosen_without_vectors(spark):
     rows = frame(spark, data("plain", 200))
     got = retrieval.retrieval_queries(rows, "entity", "item", 2, 20)

@@ -8,6 +8,8 @@ import sys
 import tarfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -142,6 +144,52 @@ def test_embedding_job_goes_on(spark, tmp_path):
     assert len(made) == len(set(made)) and go(rows)[1][0] == 0
 
 
+def test_a_bad_payload_costs_its_own_row(spark, tmp_path):
+    rows = spark.createDataFrame([(s, f"{i}.jpg") for s in (1, 2, 3) for i in range(4)], "shard int, image_path string")
+    files = spark.createDataFrame([(s, f"{i}.jpg", bytes(10 * s + i) if (s, i) != (3, 3) else None) for s in (1, 2, 3) for i in range(4)
+                                   if (s, i) != (1, 0)], "shard int, file string, content binary")
+
+    def load():
+        def model(payloads):
+            if any(len(p) in (21, 30, 31, 32) for p in payloads):
+                raise ValueError("cannot be read")
+            return np.array([[len(p)] for p in payloads], np.float32)
+        return model
+    out, bad = str(tmp_path / "vectors"), str(tmp_path / "errors")
+    made, stats = embedding_job(rows, files, load, out, batch_size=3, errors=bad)
+    assert sorted((r.shard, r.image_path) for r in made.collect()) == [
+        (1, "1.jpg"), (1, "2.jpg"), (1, "3.jpg"), (2, "0.jpg"), (2, "2.jpg"), (2, "3.jpg")]
+    assert tuple(stats.first()) == (12, 6, 6, 1)
+    errors = {(r.shard, r.image_path): r.error for r in spark.read.parquet(bad).collect()}
+    assert errors.keys() == {(2, "1.jpg"), (3, "0.jpg"), (3, "1.jpg"), (3, "2.jpg"), (3, "3.jpg")}
+    assert errors[(2, "1.jpg")] == "ValueError: cannot be read"
+    # The shard without any vector is tried again.
+    made, stats = embedding_job(rows, files, lambda: lambda p: np.ones((len(p), 1), np.float32), out)
+    assert tuple(stats.first()) == (4, 4, 0, 0) and made.filter("shard = 3").count() == 4
+
+
+def test_footers_of_many_files_by_one_job(spark, tmp_path):
+    for i in range(2000):
+        kind = pa.string() if i % 3 else pa.int64()
+        ids = pa.array([str(i)] if i % 3 else [i], kind)
+        pq.write_table(pa.table({"streetview_image_id": ids, "building_id": ids, "fingerprint": pa.array([[i % 256]], pa.list_(pa.int64()))}),
+                       tmp_path / f"{i:04d}.parquet")
+    for name in ("x1.parquet", "x2.parquet"):
+        (tmp_path / name).write_bytes(b"PAR1 not a footer")
+    group = "footers"
+    spark.sparkContext.setJobGroup(group, group)
+    skipped: list[str] = []
+    got = tables.read_fingerprints(spark, str(tmp_path), skipped)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20 and [f.rpartition("/")[2] for f in skipped] == ["x1.parquet", "x2.parquet"]
+    assert got.count() == 2000 and got.agg(F.sum(F.col("building_id").cast("int"))).first()[0] == sum(range(2000))
+    read = tables.read_parquet_dir(spark, str(tmp_path), ["building_id"], "0*.parquet", types={"building_id": "string"})
+    assert sorted(r.building_id for r in read.collect()) == sorted(str(i) for i in range(1000))
+    with pytest.raises(ValueError, match="x1"):
+        tables.read_parquet_dir(spark, str(tmp_path), types={"building_id": "string"})
+
+
 def test_training_set(spark):
     splits = spark.createDataFrame([(f"b{i // 2}", f"i{i}", [1.0], "train") for i in range(20)],
                                    "building_id string, streetview_image_id string, embedding array<float>, split string")

@@ -39,3 +39,9 @@ def test_pca_reduction_of_whole_vectors(spark):
     got = registry.queries()["pca_reduction"](spark, SF_DIR).toPandas().pivot(index="vec_id", columns="c", values="size")
     assert got.index.tolist() == list(ids) and got.shape[1] == 32
     assert got.to_numpy() == pytest.approx(np.abs(centred @ vt[:32].T), abs=1e-5)
+
+
+def test_recall_of_hashed_neighbours(spark):
+    edges = {name: {(r.item, r.neighbor_item) for r in registry.queries()[name](spark, SF_DIR).collect()} for name in ("knn_lsh", "knn_kmeans")}
+    assert len(edges["knn_kmeans"]) == 10_000
+    assert len(edges["knn_lsh"] & edges["knn_kmeans"]) >= 0.9 * len(edges["knn_kmeans"])
