@@ -157,6 +157,48 @@ def test_templates_of_the_largest_reductions_do_not_hide_others():
     assert notices(text) == [("mit", "Released under the MIT License", [], [])]
 
 
+@pytest.mark.parametrize("text, license", [
+    ("This work is licensed under the GNU General Public License, version 1.", None),
+    ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under the Apache License, Version 2.1", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "lgpl-2.1"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", None),
+    ("Distributed under the MIT license", "mit"), ("Released under the BSD 2-Clause License.", "bsd-2-clause"),
+    ("// SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: MIT-0", None)])
+def test_versions_and_names_tell_licenses_apart(text, license):
+    assert [n[0] for n in notices(f"{prose(1, 20)}\n{text}\n{prose(2, 20)}")] == ([license] if license else [])
+
+
+def test_every_identifier_is_found():
+    for name, identifier in licenses.IDENTIFIERS:
+        assert [(n[0], n[2], n[3]) for n in notices(f"#!/bin/sh\n# {identifier}\n\n{prose(1, 30)}")] == [(name, [], [])]
+
+
+def test_templates_without_their_version_are_no_notice():
+    scanner = licenses.Scanner()
+    tried = 0
+    for (name, template), versions in zip(licenses.TEMPLATES, scanner.versions):
+        for word, a, b in licenses.words_at(template):
+            if word in versions:
+                for other in ("", "9.7", "1"):
+                    tried += 1
+                    assert notices(template[:a] + other + template[b:]) == [], (name, other)
+    assert tried > 30
+
+
+def test_clauses_tell_the_forms_of_bsd_apart():
+    forms = {n: t for n, t in licenses.TEMPLATES if n.startswith("bsd") and len(t) > 80}
+    assert len(forms) == 3
+    for name, text in forms.items():
+        assert [n[0] for n in notices(re.sub(r" [123][.] ", "\n * ", text))] == [name]
+
+
+@pytest.mark.parametrize("before", ["is not", "was never", "is neither"])
+def test_negations_are_differences(before):
+    for _, template in licenses.TEMPLATES:
+        (found,) = notices(f"It {before} {template}")
+        assert found[3][0] == before.split()[1]
+
+
 def test_licenses_of_a_table(spark):
     assert licenses.license_notices(edges(spark)).filter("size(notices) = 0").count() == 12
     assert licenses.license_notices(empty(spark)).collect() == []
