@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Decoder = Callable[[bytes], np.ndarray]
 
@@ -23,7 +24,14 @@ def has_jpeg_markers(content: Column) -> Column:
 
 def validate_images(df: DataFrame, content: str = "content",
                     decode: Decoder | None = None) -> DataFrame:
-    """Add ``ok`` and ``check``: ``decoded`` with a decoder, else ``markers`` only."""
+    """Add ``ok`` and ``check``: ``decoded`` with a decoder, else ``markers`` only.
+
+    ``content`` may be the struct of Spark's ``image`` source, which has tried to decode the file already.
+    """
+    if isinstance(df.schema[content].dataType, T.StructType):
+        picture = F.col(content)
+        ok = F.coalesce((picture["height"] > 0) & (picture["width"] > 0) & picture["data"].isNotNull(), F.lit(False))
+        return df.withColumn("ok", ok).withColumn("check", F.lit("decoded"))
     if decode is None:
         return (df.withColumn("ok", has_jpeg_markers(F.col(content)))
                 .withColumn("check", F.lit("markers")))

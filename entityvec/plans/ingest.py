@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from entityvec.functions import ids
@@ -13,7 +13,7 @@ from entityvec.functions.scratch import scratch_tables, written
 from entityvec.operators.images import FINGERPRINT_SIZE, Decoder, pixel_fingerprint, validate_images
 from entityvec.operators.inference import VectorFn, attempted_vectors
 from entityvec.operators.ingest import (
-    IMAGE_SUFFIXES, ingest_stats, intermediate_rows, match_paths, pair_metadata_images, vector_job_stats)
+    IMAGE_SUFFIXES, ingest_stats, intermediate_rows, match_paths, pair_metadata_images)
 from entityvec.operators.keysets import keep_keys
 from entityvec.operators.neighbors import DIFFICULTY_COLUMNS
 from entityvec.operators.splits import sample_entities
@@ -27,7 +27,9 @@ def archive_outcomes(spark: SparkSession, paths: Iterable[str],
 
     Archives whose name is not a number give nothing, as they have no dataset id. Each archive is listed once.
     """
-    known = [p for p in paths if _has_dataset(p)]
+    known = [p for p in dict.fromkeys(paths) if _has_dataset(p)]
+    if len({p.rpartition("/")[2] for p in known}) < len(known):
+        raise ValueError("archives of one name in several folders: their members could not be told apart")
     members = written(list_archive_members(spark, known), "members")
     text = texts_of(read_members(members.filter("ext = '.txt'")))
     meta = ids.parse_metadata_line(text, "text", ids.shard_id(F.col("tar_file"))).drop("text")
@@ -59,11 +61,25 @@ def ingest_archives(spark: SparkSession, paths: Iterable[str], out: str,
         return spark.createDataFrame(full.collect(), full.schema)
 
 
+def _matched(rows: DataFrame, files: DataFrame, seen: Observation) -> DataFrame:
+    """The rows with their matched paths, counted while they are written."""
+    found = F.col("path_status") == "ok"
+    return written(match_paths(rows, files.select("shard", "file")).observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if(found).alias("found")), "matched")
+
+
+def _totals(spark: SparkSession, seen: Observation, successful: int) -> DataFrame:
+    """The one row of a job's statistics, from what its writing passes have counted."""
+    total, found = seen.get["total"], seen.get["found"]
+    return spark.createDataFrame([(total, successful, total - successful, total - found)],
+                                 "total_entries bigint, successful bigint, failed bigint, missing bigint")
+
+
 def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn], out: str,
                   batch_size: int = 32, pooling: str = "cls_token", errors: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Vectors of the rows whose image is found, written to ``out`` in a folder per shard, and the job's totals.
 
-    ``rows`` has ``shard`` and ``image_path``; ``files`` has ``shard, file, content``. A shard that ``out``
+    ``rows`` has ``shard`` and ``image_path``; ``files`` has ``shard, file, content``, each file once. A shard that ``out``
     holds already is not done again. The model runs where the contents lie; only vectors are joined.
 
     A content that the model raises on costs its own rows only: they count as failed and go with the error's
@@ -76,7 +92,8 @@ def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn
     except AnalysisException:
         pass
     with scratch_tables(spark):
-        matched = written(match_paths(rows, files.select("shard", "file")), "matched")
+        seen, kept = Observation(), Observation()
+        matched = _matched(rows, files, seen)
         found = matched.filter(F.col("path_status") == "ok")
         wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
         contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
@@ -86,14 +103,11 @@ def embedding_job(rows: DataFrame, files: DataFrame, load: Callable[[], VectorFn
         full = tried.filter("_error is null").select(*rows.columns, "embedding")
         if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
             full = ids.compose_ids(full)
-        write_shards(full, out, "shard", "append")
-        bad = written(vectors.filter("_error is not null").select("shard", "matched_path", "_error"), "errors")
+        write_shards(full, out, "shard", "append", kept, F.count(F.lit(1)).alias("successful"))
         if errors is not None:
-            lost = found.join(sent_if_small(bad), ["shard", "matched_path"]).select(*rows.columns, F.col("_error").alias("error"))
+            lost = tried.filter("_error is not null").select(*rows.columns, F.col("_error").alias("error"))
             write_shards(lost, errors, "shard", "append")
-        judged = matched.join(sent_if_small(bad), ["shard", "matched_path"], "left")
-        stats = vector_job_stats(judged.withColumn("_done", (F.col("path_status") == "ok") & F.col("_error").isNull()), "_done")
-        stats = spark.createDataFrame(stats.collect(), stats.schema)
+        stats = _totals(spark, seen, kept.get["successful"])
     return spark.read.parquet(out), stats
 
 
@@ -119,7 +133,8 @@ def fingerprint_job(rows: DataFrame, files: DataFrame, decode: Decoder,
     are matched on names only; fingerprints are made where the contents lie, so what is joined
     are 3 * size * size numbers.
     """
-    matched = written(match_paths(rows, files.select("shard", "file")), "matched")
+    seen = Observation()
+    matched = _matched(rows, files, seen)
     found = matched.filter(F.col("path_status") == "ok")
     wanted = written(found.select("shard", F.col("matched_path").alias("file")).distinct(), "wanted")
     contents = files.join(sent_if_small(wanted), ["shard", "file"], "left_semi")
@@ -128,6 +143,4 @@ def fingerprint_job(rows: DataFrame, files: DataFrame, decode: Decoder,
     out = found.join(made, ["shard", "matched_path"]).select(*rows.columns, "fingerprint", "decoded")
     if {"dataset_id", "target_id", "patch_id"} <= set(rows.columns):
         out = ids.compose_ids(out)
-    stats = vector_job_stats(
-        matched.withColumn("_done", F.col("path_status") == "ok"), "_done")
-    return out, stats
+    return out, _totals(rows.sparkSession, seen, seen.get["found"])

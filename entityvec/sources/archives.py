@@ -6,20 +6,25 @@ offsets to seek to: one task streams it. Paths must be reachable through the fil
 of every executor; object stores need a mount.
 """
 
+import glob
 import lzma
 import math
+import os
 import tarfile
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from entityvec.functions.scratch import written
 
 MEMBERS = ("path string, tar_file string, dir string, stem string, ext string, "
            "offset bigint, size bigint, packed boolean")
+MEMBER_COLUMNS = ["path", "tar_file", "dir", "stem", "ext", "offset", "size", "packed"]
 TARGET_BYTES = 64 * 1024 * 1024
 MAX_TASKS = 100_000
 
@@ -39,21 +44,25 @@ def _is_packed(path: str) -> bool:
         return f.read(6).startswith(PACKED)
 
 
+def _members(path: str) -> list[tuple]:
+    """The files of one archive; none if it cannot be read to its end."""
+    rows = []
+    try:
+        packed = _is_packed(path)
+        with tarfile.open(path, "r:*") as tar:
+            for m in tar:
+                if m.isfile():
+                    rows.append((path, path.rpartition("/")[2], *_split_name(m.name), m.offset_data, m.size, packed))
+    except (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError):
+        return []
+    return rows
+
+
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "tar_file", "dir", "stem", "ext", "offset", "size", "packed"]
+    columns = MEMBER_COLUMNS
     for batch in batches:
         for path in batch["path"]:
-            rows = []
-            try:
-                packed = _is_packed(path)
-                with tarfile.open(path, "r:*") as tar:
-                    for m in tar:
-                        if m.isfile():
-                            rows.append((path, path.rpartition("/")[2], *_split_name(m.name),
-                                         m.offset_data, m.size, packed))
-            except (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError):
-                # An archive that cannot be read to its end gives nothing at all.
-                rows = []
+            rows = _members(path)
             for i in range(0, len(rows), 10_000):
                 yield pd.DataFrame(rows[i:i + 10_000], columns=columns)
 
@@ -131,3 +140,82 @@ def texts_of(contents: DataFrame) -> DataFrame:
 def metadata_texts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """``tar_file, dir, stem, text`` of the text members."""
     return texts_of(read_archives(spark, paths, [".txt"]))
+
+
+CONTENTS = "tar_file string, dir string, stem string, ext string, content binary"
+#: Columns whose filters are answered from the headers, without reading contents.
+_NAMED = ("tar_file", "dir", "stem", "ext")
+
+
+class Range(InputPartition):
+    """Members of one archive whose contents start in a range of bytes."""
+
+    def __init__(self, path: str, start: int, end: int | None):
+        self.path, self.start, self.end = path, start, end
+
+
+class ArchiveReader(DataSourceReader):
+    """Reads ranges of archives; filters on the names of members are taken over from the query."""
+
+    def __init__(self, paths: list[str], range_bytes: int):
+        self.paths, self.range_bytes, self.allowed = paths, range_bytes, {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _NAMED:
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                self.allowed[f.attribute[0]] = self.allowed.get(f.attribute[0], values) & values
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for path in self.paths:
+            if path.rpartition("/")[2] not in self.allowed.get("tar_file", {path.rpartition("/")[2]}):
+                continue
+            try:
+                packed, size = _is_packed(path), os.path.getsize(path)
+            except OSError:
+                continue
+            # A compressed archive has no offsets to seek to.
+            step = size + 1 if packed else self.range_bytes
+            out += [Range(path, a, None if a + step > size else a + step) for a in range(0, size + 1, step)]
+        return out or [Range("", 0, None)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        members = pd.DataFrame(_members(partition.path), columns=MEMBER_COLUMNS)
+        members = members[(members["offset"] >= partition.start)
+                          & (members["offset"] < (math.inf if partition.end is None else partition.end))]
+        for column, values in self.allowed.items():
+            members = members[members[column].isin(values)]
+        if len(members):
+            for frame in _read(iter([members])):
+                yield from pa.Table.from_pandas(frame, pa.schema([*[(n, pa.string()) for n in _NAMED], ("content", pa.binary())]),
+                                                preserve_index=False).to_batches()
+
+
+class Archives(DataSource):
+    """Members of tar archives as a table: ``spark.read.format("tar_members").load("/folder/*.tar")``.
+
+    The path is a pattern; every task of the cluster must reach the files under the same name. Partitions are byte
+    ranges of option ``range_bytes`` (64 MB); each walks over the archive's headers, as a tar has no index, and reads the contents in its range. An
+    archive that cannot be read to its end gives nothing.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_members"
+
+    def schema(self) -> str:
+        return CONTENTS
+
+    def reader(self, schema) -> DataSourceReader:
+        return ArchiveReader(sorted(glob.glob(self.options["path"])), int(self.options.get("range_bytes", TARGET_BYTES)))
+
+
+def register_archives(spark: SparkSession) -> None:
+    """Make format ``tar_members`` known to the session, with its filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Archives)

@@ -9,7 +9,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 import pyarrow.fs as fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -127,6 +127,27 @@ def read_fingerprints(spark: SparkSession, path: str, skipped: list[str] | None
     return reduce(DataFrame.union, parts)
 
 
+def read_image_files(spark: SparkSession, path: str, decoded: bool = True) -> DataFrame:
+    """``file, dir, stem, ext, content`` of all files below a folder, the input of image checks and fingerprints.
+
+    ``content`` is the struct of Spark's ``image`` source (height -1 for a file that no codec of the JVM reads), or
+    with ``decoded`` false the bytes. Files are read by the tasks, many small ones in each.
+    """
+    reader = spark.read.format("image" if decoded else "binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(path)
+    if decoded:
+        files = files.select(F.col("image.origin").alias("path"), F.col("image").alias("content"))
+    # The two sources spell the path's scheme and blanks each in their own way.
+    name = F.url_decode(F.replace(F.regexp_replace("path", "^[a-zA-Z0-9+.-]+:/*", "/"), F.lit("+"), F.lit("%2B")))
+    base = F.substring_index(name, "/", -1)
+    dot = F.length(base) - F.locate(".", F.reverse(base))
+    named = F.contains(base, F.lit(".")) & (dot > 0)
+    return files.select(
+        name.alias("file"), F.substring_index(F.regexp_replace(name, "/[^/]*$", ""), "/", -1).alias("dir"),
+        F.when(named, F.substring(base, F.lit(1), dot)).otherwise(base).alias("stem"),
+        F.when(named, F.substring(base, dot + 1, F.length(base))).otherwise("").alias("ext"), "content")
+
+
 def usable_payloads(df: DataFrame, payload: str = "image_bytes", key: str = "OSMID",
                     valid: str = "is_valid", filter_valid: bool = True,
                     keep: Sequence[str] = ()) -> DataFrame:
@@ -148,19 +169,24 @@ def read_packaged_images(spark: SparkSession, path: str, filter_valid: bool = Tr
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "dataset_id",
-                 mode: str = "errorifexists") -> None:
+                 mode: str = "errorifexists", observation: Observation | None = None, *counts: Column) -> None:
     """One folder per shard; a shard without rows writes nothing.
 
     Rows are rebalanced by shard: small shards get one file, adaptive execution gives a big
-    one several writers.
+    one several writers. ``counts`` are aggregates of the rows as they are written, for ``observation``: by the
+    writing tasks themselves, so that a repeated shuffle task counts nothing twice.
     """
-    df.hint("rebalance", shard).write.mode(mode).partitionBy(shard).parquet(path)
+    out = df.hint("rebalance", shard)
+    if observation is not None:
+        out = out.observe(observation, *counts)
+    out.write.mode(mode).partitionBy(shard).parquet(path)
 
 
 def write_splits(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows of the splits without helper columns, one folder per split.
 
-    Every task writes its own part of each of the few splits, so the wide rows do not move.
+    Rows are rebalanced by split: files get the size that adaptive execution aims at, however many tasks made
+    the rows, and a big split has many writers.
     """
     kept = [c for c in rows.columns if c not in HELPER_COLUMNS]
-    rows.select(*kept).write.mode(mode).partitionBy("split").parquet(path)
+    rows.select(*kept).hint("rebalance", "split").write.mode(mode).partitionBy("split").parquet(path)

@@ -339,3 +339,52 @@ def test_writers(spark, tmp_path):
     assert back.count() == 40 and "tar_file" not in back.columns
     tables.write_splits(back.withColumn("image_path", F.lit("p")), str(tmp_path / "again"))
     assert "image_path" not in spark.read.parquet(str(tmp_path / "again")).columns
+
+
+def test_archives_as_a_data_source(spark, tmp_path):
+    for n in range(3):
+        with tarfile.open(tmp_path / f"{n:04d}.tar", "w:gz" if n == 1 else "w") as tar:
+            for i in range(40):
+                for ext, data in ((".txt", b"t%d" % i), (".jpg", bytes(300 + i))):
+                    info = tarfile.TarInfo(f"d/{i}{ext}")
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+    whole = (tmp_path / "0000.tar").read_bytes()
+    (tmp_path / "0003.tar").write_bytes(whole[:200])
+    archives.register_archives(spark)
+    made = spark.read.format("tar_members").option("range_bytes", 5000).load(f"{tmp_path}/*.tar")
+    want = archives.read_archives(spark, [str(p) for p in sorted(tmp_path.glob("*.tar"))])
+    rows = sorted(map(tuple, made.collect()))
+    assert rows == sorted(map(tuple, want.select(made.columns).collect())) and len(rows) == 240
+    # Several ranges of the plain archives, one task for the compressed one.
+    assert made.rdd.getNumPartitions() > 10
+    some = made.filter("ext = '.txt' and tar_file in ('0000.tar', '0001.tar') and stem > '2'")
+    assert sorted((r.tar_file, r.stem, bytes(r.content)) for r in some.collect()) == sorted(
+        (f"000{n}.tar", str(i), b"t%d" % i) for n in (0, 1) for i in range(40) if str(i) > "2")
+
+
+def test_filters_on_names_are_answered_from_headers(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+    reader = archives.ArchiveReader([str(tmp_path / "a.tar"), str(tmp_path / "b.tar")], 10)
+    (tmp_path / "a.tar").write_bytes(b"x" * 25)
+    other = GreaterThan(("stem",), "1")
+    assert list(reader.pushFilters([EqualTo(("ext",), ".txt"), other, In(("tar_file",), ("a.tar", "c.tar"))])) == [other]
+    assert reader.allowed == {"ext": {".txt"}, "tar_file": {"a.tar", "c.tar"}}
+    assert [(p.start, p.end) for p in reader.partitions()] == [(0, 10), (10, 20), (20, None)]
+
+
+def test_archives_of_one_name_are_refused(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "0001.tar").write_bytes(b"")
+    with pytest.raises(ValueError, match="one name"):
+        archive_outcomes(spark, [str(tmp_path / f / "0001.tar") for f in ("x", "y")])
+
+
+def test_job_totals_come_from_the_writing_passes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a.jpg"), (1, "none.jpg"), (2, "b.jpg")], "shard int, image_path string")
+    files = spark.createDataFrame([(1, "a.jpg", b"12"), (2, "b.jpg", b"1")], "shard int, file string, content binary")
+    made, stats = embedding_job(rows, files, lambda: lambda p: np.ones((len(p), 1), np.float32), str(tmp_path / "v"))
+    # Totals are values that were counted on the way: no scan, no shuffle, no aggregate.
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert tuple(stats.first()) == (3, 2, 1, 1) and "Aggregate" not in plan and "FileScan" not in plan
