@@ -182,6 +182,19 @@ def write_shards(df: DataFrame, path: str, shard: str = "dataset_id",
     out.write.mode(mode).partitionBy(shard).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Table ``name`` under ``path``, dealt into buckets by ``key`` and sorted in each; returns a scan of it.
+
+    A join or grouping on the key then needs no shuffle of this table: worth it for wide rows that are read again
+    and again. There are as many buckets as the session has shuffle partitions, else Spark would deal the rows anew.
+    Each bucket is one file, so choose a number that gives buckets of some hundred MB.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).mode("errorifexists").saveAsTable(name))
+    return spark.table(name)
+
+
 def write_splits(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows of the splits without helper columns, one folder per split.
 

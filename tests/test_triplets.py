@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from entityvec.operators import triplets
 from entityvec.operators.inference import Projector
-from entityvec.plans.epoch import harvest_epoch
+from entityvec.plans.epoch import harvest_epoch, stored_for_epochs
 
 SIZES = {f"e{i}": 2 + i % 5 for i in range(20)} | {"big": 100, "lone": 1}
 ITEMS = [(f"{e}-{j}", e) for e, n in SIZES.items() for j in range(n)]
@@ -141,3 +141,44 @@ def test_epochs(space, spark):
     assert two.triplets.filter("band >= 0").select("band").distinct().count() == 1
     loss = triplets.validation_loss(space, table, vecs, "item", "vec", samples=50)
     assert loss.first().triplets == 50
+
+
+def above_scans(plan: str, table: str) -> list[str]:
+    """Operators between the scan of ``table`` and the join that reads it, in the text of a physical plan."""
+    lines, out = plan.splitlines(), []
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    for at, line in enumerate(lines):
+        if "Scan" in line and table in line:
+            own = depth[at]
+            for above in range(at - 1, -1, -1):
+                if depth[above] < own:
+                    own = depth[above]
+                    if "Join" in lines[above]:
+                        break
+                    out.append(lines[above].strip(" :+-*"))
+    return out
+
+
+def test_stored_tables_are_not_shuffled_by_an_epoch(space, spark, tmp_path):
+    rng = np.random.default_rng(0)
+    vecs = spark.createDataFrame([(i, list(map(float, rng.normal(size=6)))) for i, _ in ITEMS], "item string, vec array<double>")
+    table = difficulty(spark, [(i, ["e1", "e2", "e3"], [0, 1, 2]) for i, e in ITEMS if e not in ("e1", "e2", "e3")])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, near = stored_for_epochs(table, vecs, "item", str(tmp_path), "stored")
+        drawn = triplets.sample_negatives(triplets.sample_pairs(space, 100, 3), rows, space, seed=3)
+        scored = triplets.scored_triplets(drawn, near, "item", "vec")
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        for name in ("stored_difficulty", "stored_vectors"):
+            between = above_scans(plan, name)
+            assert between and not any("Exchange" in x for x in between), between
+        assert "Exchange" in "".join(above_scans(triplets.scored_triplets(
+            triplets.sample_negatives(triplets.sample_pairs(space, 100, 3), spark.read.parquet(str(tmp_path / "difficulty")), space, seed=3),
+            spark.read.parquet(str(tmp_path / "vectors")), "item", "vec")._jdf.queryExecution().executedPlan().toString(), "FileScan parquet [target_coord_hash"))
+        plain = triplets.scored_triplets(triplets.sample_negatives(triplets.sample_pairs(space, 100, 3), table, space, seed=3), vecs, "item", "vec")
+        assert sorted(map(str, scored.collect())) == sorted(map(str, plain.select(scored.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("DROP TABLE IF EXISTS stored_difficulty")
+        spark.sql("DROP TABLE IF EXISTS stored_vectors")
