@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 class Mapping:
     """How one layout becomes turns.
 
-    ``turns`` names a list of messages with ``role`` and ``text`` fields inside; otherwise each
-    entry of ``fields`` is (role, paths): the non-empty values at the paths, joined by blank lines, make one turn.
+    ``turns`` are the fields that hold a message (``""``: the record is one) or a list of messages with
+    ``role`` and ``text`` fields inside, one field after the other; otherwise each entry of ``fields`` is (role, paths):
+    the non-empty values at the paths, joined by blank lines, make one turn. A text may be a list of parts.
     """
 
-    turns: str | None = None
+    turns: tuple[str, ...] = ()
     role: str | None = None
     text: str | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
@@ -34,10 +35,15 @@ class Mapping:
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
 
 
+def _step(key: str) -> str:
+    """A key as a part of a path; one that could be taken for several parts is quoted."""
+    return json.dumps(key) if any(c in '.[]{}"' for c in key) else key
+
+
 def paths_of(value, prefix: str = "") -> set[str]:
     """Nested field paths; list items share the path ``[]``. Nulls count as present."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths_of(v, f"{prefix}.{k}" if prefix else k)} or {prefix + "{}"}
+        return {p for k, v in value.items() for p in paths_of(v, f"{prefix}.{_step(k)}" if prefix else _step(k))} or {prefix + "{}"}
     if isinstance(value, list):
         return {p for v in value for p in paths_of(v, prefix + "[]")} or {prefix + "[]"}
     return {prefix}
@@ -47,16 +53,43 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8")).hexdigest()
 
 
-def _layouts() -> dict[str, Mapping]:
-    known: dict[str, Mapping] = {}
+class Layouts:
+    """Mappings by the fingerprint of the paths that they need.
 
-    def add(mapping: Mapping, *layouts: tuple[str, ...]) -> None:
+    Paths that no mapping needs (ids, names, scores, a rejected answer) are left out of a record's
+    fingerprint. Those that some mapping needs count, so that a field that may bear a turn is never passed over.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[str, Mapping] = {}
+        self.needed: set[str] = set()
+
+    def add(self, mapping: Mapping, *layouts: tuple[str, ...]) -> None:
         for paths in layouts:
-            known[fingerprint(paths)] = mapping
+            self.known[fingerprint(paths)] = mapping
+            self.needed.update(paths)
+
+    def mapping_of(self, record) -> Mapping | None:
+        return self.known.get(fingerprint(paths_of(record) & self.needed))
+
+
+def _layouts() -> Layouts:
+    known = Layouts()
+    add = known.add
+
+    def contents(text: str) -> tuple[tuple[str, ...], ...]:
+        """Texts as strings, as lists of parts, and both in one conversation."""
+        return (text,), (f"{text}[].text",), (text, f"{text}[].text")
 
     for turns in ("messages", "conversations", "conversation", "turns"):
         for role, text in (("role", "content"), ("from", "value"), ("role", "text"), ("speaker", "text")):
-            add(Mapping(turns=turns, role=role, text=text), (f"{turns}[].{role}", f"{turns}[].{text}"), (f"{turns}[]",))
+            for paths in contents(f"{turns}[].{text}"):
+                messages = (f"{turns}[].{role}", *paths)
+                add(Mapping((turns,), role, text), messages)
+                # A prompt beside the messages repeats the first of them.
+                add(Mapping((turns,), role, text), ("prompt", *messages))
+                add(Mapping((turns,), role, text, (("system", ("system",)),)), ("system", *messages))
+        add(Mapping((turns,)), (f"{turns}[]",))
     for prompt in ("prompt", "question", "input", "instruction"):
         for answer in ("completion", "response", "answer", "output", "chosen"):
             pair = (("user", (prompt,)), ("assistant", (answer,)))
@@ -66,28 +99,51 @@ def _layouts() -> dict[str, Mapping]:
         task = (("user", ("instruction", "input")), ("assistant", (answer,)))
         add(Mapping(fields=task), ("instruction", "input", answer))
         add(Mapping(fields=(("system", ("system",)), *task)), ("system", "instruction", "input", answer))
+    # Prompt and answer as lists of messages; a chosen conversation may hold its prompt, or stand alone.
+    for answer in ("completion", "chosen"):
+        for said in contents(f"{answer}[].content"):
+            reply = (f"{answer}[].role", *said)
+            for asked in contents("prompt[].content"):
+                add(Mapping(("prompt", answer), "role", "content"), ("prompt[].role", *asked, *reply))
+            add(Mapping((answer,), "role", "content"), reply, ("prompt", *reply))
     # One turn as a record of its own.
-    add(Mapping(turns="", role="role", text="text"), ("role", "text"))
-    add(Mapping(turns="", role="role", text="content"), ("role", "content"))
+    for text in ("text", "content"):
+        add(Mapping(("",), "role", text), *(("role", *paths) for paths in contents(text)))
     return known
 
 
 LAYOUTS = _layouts()
 
 
-def turns_of(record, layouts: dict[str, Mapping] = LAYOUTS) -> list[tuple[str | None, str]] | None:
-    """(role, text) of each turn of a record; None if no mapping has its fingerprint."""
-    mapping = layouts.get(fingerprint(paths_of(record)))
+def _text(value) -> str | None:
+    """A text, or the text parts of a list joined by blank lines; None if it is or has something else, such as a picture."""
+    if isinstance(value, dict):
+        return None
+    if not isinstance(value, list):
+        return "" if value is None else str(value)
+    if any(not isinstance(part, dict) or part.get("type", "text") != "text" or isinstance(part.get("text"), (dict, list)) for part in value):
+        return None
+    return "\n\n".join(str(part["text"]) for part in value if part.get("text") not in (None, ""))
+
+
+def turns_of(record, layouts: Layouts = LAYOUTS) -> list[tuple[str | None, str]] | None:
+    """(role, text) of each turn of a record; None if no mapping has its fingerprint, or a part of a text is no text."""
+    mapping = layouts.mapping_of(record)
     if mapping is None:
         return None
-    if mapping.turns is not None:
-        items = [record] if mapping.turns == "" else record[mapping.turns]
-        raw = [(i[mapping.role], i[mapping.text]) for i in items]
-    else:
-        raw = [(role, "\n\n".join(str(record[p]) for p in paths if record[p] not in (None, "")))
-               for role, paths in mapping.fields]
-        raw = [(r, t) for r, t in raw if r != "system" or t]
-    return [(None if r is None else ROLES.get(str(r).lower(), str(r)), "" if t is None else str(t)) for r, t in raw]
+    raw = [(role, "\n\n".join(str(record[p]) for p in paths if record[p] not in (None, "")))
+           for role, paths in mapping.fields]
+    raw = [(r, t) for r, t in raw if r != "system" or t]
+    messages = [m for f in mapping.turns for m in ([record] if f == "" else record[f])]
+    if any(not isinstance(m, dict) or isinstance(m.get(mapping.role), (dict, list)) for m in messages):
+        return None
+    # A message may lack what others of its record have.
+    raw += [(m.get(mapping.role), _text(m.get(mapping.text))) for m in messages]
+    if len(mapping.turns) > 1 and record[mapping.turns[1]][:len(record[mapping.turns[0]])] == record[mapping.turns[0]]:
+        del raw[:len(record[mapping.turns[0]])]
+    if any(t is None for _, t in raw):
+        return None
+    return [(None if r is None else ROLES.get(str(r).lower(), str(r)), t) for r, t in raw]
 
 
 # --- template -----------------------------------------------------------------------------
@@ -143,16 +199,16 @@ def parse(formatted: str) -> Iterator[tuple[str | None, str]]:
 
 # --- Spark jobs ---------------------------------------------------------------------------
 
-def _mapper(layouts: dict[str, Mapping]):
+def _mapper(layouts: Layouts):
     def map_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, payload in enumerate(batch.column(0)):
                 try:
                     record = json.loads(payload.as_py() or "null")
-                except ValueError:
-                    record = None
-                found = turns_of(record, layouts) if isinstance(record, dict) else None
+                    found = turns_of(record, layouts) if isinstance(record, dict) else None
+                except (ValueError, RecursionError):  # no JSON, or nested beyond reading
+                    found = None
                 for n, (role, text) in enumerate(found if found is not None else [(None, "")]):
                     for column, value in zip(out, (i, n, role, text, found is not None)):
                         column.append(value)
@@ -163,11 +219,14 @@ def _mapper(layouts: dict[str, Mapping]):
     return map_records
 
 
-def canonical_turns(records: DataFrame, payload: Column, keep: list[str], layouts: dict[str, Mapping] = LAYOUTS) -> DataFrame:
+def canonical_turns(records: DataFrame, payload: Column, keep: list[str], layouts: Layouts = LAYOUTS) -> DataFrame:
     """Columns ``keep`` with role, text, n (place in the record) and mapped, a row for each turn.
 
     ``payload`` is the record as JSON. One that is null, no object, or of an unknown
-    fingerprint gives a single row with mapped false, null role and empty text, so that nothing is lost unseen.
+    fingerprint gives a single row with mapped false, null role and empty text, so that nothing is lost unseen;
+    so does one that holds parts other than texts. Empty lists of messages give no row, null texts are empty. A record
+    is read whole in memory, however long. Repeated rows are mapped each; there are no ties to break. An empty table gives no rows. ``keep``
+    may hold columns named role, text, n or mapped only if the caller renames them; other columns are not read.
     """
     source = records.select(payload.alias("_payload"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     schema = (source.drop("_payload").schema.add("_n", "integer").add("_role", "string").add("_text", "string").add("_mapped", "boolean"))

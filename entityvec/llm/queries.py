@@ -162,7 +162,18 @@ def op8_chat_format(spark, d):
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
                                     "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").union(planted)
-    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    role, text = F.col("role"), F.col("text")
+    parts = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    layouts = [
+        F.struct(role, text),
+        F.struct(F.col("turn").alias("id"), role, text.alias("content")),
+        F.struct(F.array(F.struct(role, text.alias("content"))).alias("messages")),
+        F.struct(F.array(F.struct(role.alias("from"), text.alias("value"))).alias("conversations"), F.lit("made").alias("source")),
+        F.struct(F.array(F.struct(role, parts.alias("content"))).alias("messages")),
+        F.struct(F.array(F.struct(role.alias("speaker"), text, F.lit(None).cast("string").alias("name"))).alias("turns"))]
+    dealt = F.coalesce(F.pmod("conv_id", F.lit(len(layouts))), F.lit(0))
+    # The same rows in the layouts that corpora have, one for each conversation.
+    record = F.coalesce(*[F.when(dealt == i, F.to_json(x, {"ignoreNullFields": "false"})) for i, x in enumerate(layouts)])
     return chat.read_back(chat.canonical_turns(rows, record, ["conv_id", "turn"]))
 
 

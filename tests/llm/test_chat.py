@@ -38,6 +38,26 @@ def test_control_strings_do_not_stay_whole():
     ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("user", "a"), ("assistant", "b")]),
     ({"messages": []}, []),
     ({"role": "user", "text": "a"}, [("user", "a")]),
+    ({"id": 7, "messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": "b"}], "meta": {"score": 1}},
+     [("user", "a"), ("assistant", "b")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "c"}]}, {"role": "assistant", "content": "b"}]},
+     [("user", "a\n\nc"), ("assistant", "b")]),
+    ({"messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u"}}, {"type": "text", "text": "c"}]}]}, None),
+    ({"prompt": "a", "chosen": "b", "rejected": "c"}, [("user", "a"), ("assistant", "b")]),
+    ({"prompt": "a", "chosen": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}],
+      "rejected": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "c"}]}, [("user", "a"), ("assistant", "b")]),
+    ({"prompt": [{"role": "user", "content": "a"}], "completion": [{"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]),
+    ({"prompt": [{"role": "user", "content": "a"}], "chosen": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]},
+     [("user", "a"), ("assistant", "b")]),
+    ({"system": "s", "conversations": [{"from": "human", "value": "a"}]}, [("system", "s"), ("user", "a")]),
+    ({"prompt": "a", "messages": [{"role": "user", "content": "a"}]}, [("user", "a")]),
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "tool_calls": []}]}, [("user", "a"), ("assistant", "")]),
+    ({"messages": [{"role": "user", "content": "a"}, "b"]}, None),
+    ({"messages": [{"role": "user", "content": "a"}, []]}, None),
+    ({"messages": [{"role": "user", "content": "a"}, {"role": {"name": "user"}, "content": "a"}]}, None),
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": {"parts": ["a"]}}]}, None),
+    ({"messages[].role": "user", "messages[].content": "a"}, None),
+    ({"messages": [{"role": "user", "content": "a"}], "input": "b"}, None),
     ({"foo": "a"}, None),
     ({}, None),
 ])
@@ -47,11 +67,11 @@ def test_layouts(record, turns):
 
 def test_records_of_a_table(spark):
     rows = [(1, json.dumps({"prompt": "a", "completion": "b"})), (2, "{broken"), (3, None), (4, json.dumps({"messages": []})), (5, "[1]"),
-            (6, json.dumps({"messages": [{"role": "user", "content": "x"}]}))]
+            (6, json.dumps({"messages": [{"role": "user", "content": "x"}]})), (7, "[" * 200_000), (8, '{"a":' * 200_000)]
     frame = spark.createDataFrame(rows, "id bigint, body string").withColumn("role", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = sorted((r.id, r.n, r.role, r.text, r.mapped) for r in chat.canonical_turns(frame, F.col("body"), ["id"]).collect())
     assert got == [(1, 0, "user", "a", True), (1, 1, "assistant", "b", True), (2, 0, None, "", False), (3, 0, None, "", False),
-                   (5, 0, None, "", False), (6, 0, "user", "x", True)]
+                   (5, 0, None, "", False), (6, 0, "user", "x", True), (7, 0, None, "", False), (8, 0, None, "", False)]
     assert chat.canonical_turns(frame.limit(0), F.col("body"), ["id"]).collect() == []
 
 
