@@ -26,11 +26,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Letters of other scripts that look like Latin ones.
-LOOK_ALIKES = dict(zip(
-    "аеорсухіјѕԁАВЕКМНОРСТХ"
-    "οανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-    "aeopcyxijsdABEKMHOPCTX" "oavpABEZHIKMNOPTYX"))
+# Latin letters, each with the letters of other alphabets that look like it.
+_ALIKE = """
+aаαɑ AАΑᎪ BВΒᏴ cсϲᴄ CСϹᏟ dԁ DᎠ eеҽ EЕΕᎬ gɡց GԌᏀ hһհ HНΗᎻ iіιɩı IІΙӀ jјϳյ JЈͿᎫ kκ KКΚᏦ lӏ LԼᏞ MМΜᎷ nո NΝ
+oоοօᴏ OОΟՕ pрρ PРΡᏢ qԛզ QԚ rг RᎡᏒ sѕ SЅՏᏚ TТΤᎢ uυսᴜ UՍ vνѵᴠ VѴᏙ wԝᴡ WԜᎳ xхχ XХΧ yуγү YУΥҮ zᴢ ZΖᏃ
+"""
+LOOK_ALIKES = {other: group[0] for group in _ALIKE.split() for other in group[1:]}
 _DASHES = frozenset("‐‑‒–—―−﹣")
 _BLANKS = frozenset("      　")
 _UNSEEN = frozenset("­​‌‍⁠﻿")
@@ -43,21 +44,26 @@ DIGIT_NAMES = (
 _VALUE = {name: str(i) for names in DIGIT_NAMES for i, name in enumerate(names.split())}
 _VALUE |= {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}
 _NAME = "|".join(sorted(_VALUE, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_NAME}|\+?[0-9]+)(?:[ ,.\-]{{1,3}}(?:{_NAME}|[0-9]+))+(?!\w)", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:{_NAME}|\+?[0-9]+)(?:[ ,.()\-]{{1,3}}(?:{_NAME}|[0-9]+))+(?!\w)", re.I)
 _ANY_NAME = re.compile(rf"(?<!\w)(?:{_NAME})(?!\w)", re.I)
 _PART = re.compile(rf"{_NAME}|\+|[0-9]", re.I)
 #: Digits that a spelled run has at least; shorter ones are prose.
 SPELLED_DIGITS = 4
 # Whole tokens of digits and letters that look like 0 and 1.
-_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[OolI])(?=[OolI]*[0-9])[0-9OolI]{2,64}+(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[OolI])(?=[OolI]*[0-9])[0-9OolI]{2,}+(?![A-Za-z0-9])")
 _AS_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _AT, _DOT = "at|arobase|arroba", "dot|point|punkt|punto"
-_CODED = re.compile(r"&#0{0,5}64;|&#x0{0,5}40;|&commat;|(&#0{0,5}46;|&#x0{0,5}2e;|&period;)|(?<=[A-Za-z0-9])\s{1,3}@\s{1,3}(?=[A-Za-z0-9])", re.I)
+_CODED = re.compile(r"&#0*+64;|&#x0*+40;|&commat;|(&#0*+46;|&#x0*+2e;|&period;)|(?<=[A-Za-z0-9])\s{1,3}@\s{1,3}(?=[A-Za-z0-9])", re.I)
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
 _WORDED_AT, _WORDED_DOT = rf"[\s_]{{1,3}}(?:{_AT})[\s_]{{1,3}}", rf"[\s_]{{1,3}}(?:{_DOT})[\s_]{{1,3}}"
 _WORDED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}?({_WORDED_AT}|@)[A-Za-z0-9-]{{1,63}}((?:(?:{_WORDED_DOT}|\.)[A-Za-z0-9-]{{1,63}})+)"
     r"(?![A-Za-z0-9-])", re.I)
+# English words that stand before "at" and a site, and are no mailbox.
+_BEFORE_SITE = frozenset(
+    "and are available based be been blog buy find found from have here hosted is it join listed live located look looked looking looks "
+    "me meet more now of on online or order page posted published read register see seen shop site them there these things this "
+    "up us was website were work worked working works".split())
 _SIGN = re.compile(rf"{_WORDED_DOT}|\.", re.I)
 _SIGN_WORD = re.compile(rf"[\s_](?:{_AT}|{_DOT})[\s_]", re.I)
 
@@ -211,6 +217,8 @@ def _worded_edits(seen: Rewritten) -> list:
         return []
     for m in _WORDED.finditer(text):
         at, dots, plain = m.group(1).strip().strip("_").lower(), [], False
+        if at == "at" and text[m.start():m.start(1)].lower() in _BEFORE_SITE:
+            continue
         sure = at != "at"
         for d in _SIGN.finditer(m.group(2)):
             word, a, b = d.group().strip().strip("_").lower(), m.start(2) + d.start(), m.start(2) + d.end()
@@ -277,7 +285,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     disguised find is left out only if it lies within a plain one of its kind, so both are listed
     where the plain one is a fragment. Null and empty texts have
     no spans. Rows are independent: nulls in doc_id and repeated rows pass through, an empty table gives no
-    rows, other columns are not read. Every search is linear in the text's length.
+    rows, other columns are not read. Spans of one kind that start together are ordered by their end. Very long texts are
+    searched whole, as every search is linear in the text's length.
+
+    A disguise is undone within these bounds: a mailbox of up to 64 and domain labels of up to 63 characters where a sign is a
+    word (as mail allows), up to three blanks around a sign or between digits in words, runs of digits in words of
+    ``SPELLED_DIGITS`` or more, and "at" only where a second sign, and no word that leads to a site ("look at"), is beside it.
     """
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
         _find, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,plain:boolean>>")

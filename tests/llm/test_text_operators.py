@@ -44,6 +44,10 @@ def test_plain_spans_equal_the_patterns():
     ("phone", "call +1 (4O4) 555-OlO1 ok", "+1 (4O4) 555-OlO1"),
     ("phone", "call plus one four one five five five five two six seven one ok",
      "plus one four one five five five five two six seven one"),
+    ("email", "mail JОHN.ІVАN＠ехаmple.com", "JОHN.ІVАN＠ехаmple.com"),
+    ("email", "mail john&#0000000064;example&#0000000046;com now", "john&#0000000064;example&#0000000046;com"),
+    ("phone", "call +1 (five five five) 123 4567 ok", "+1 (five five five) 123 4567"),
+    ("phone", "call +" + "4O" * 4 + "1" + "2" * 5 + " 1 ok", "+" + "4O" * 4 + "1" + "2" * 5 + " 1"),
     ("ip", "１９２.１６８.０.١", "１９２.１６８.０.١"),
     ("ip", "at one nine two dot one six eight dot zero dot one.", "one nine two dot one six eight dot zero dot one"),
     ("card", "card four one one one 1111 1111 one one one one", "four one one one 1111 1111 one one one one"),
@@ -60,6 +64,16 @@ def test_prose_is_left_alone(text):
     assert not any(base.values()) and not any(more.values())
 
 
+def test_every_look_alike_letter():
+    assert all(v.isascii() and v.isalpha() and not k.isascii() for k, v in pii.LOOK_ALIKES.items())
+    groups = pii._ALIKE.split()
+    assert len(groups) == len({g[0] for g in groups}) and len(pii.LOOK_ALIKES) == sum(len(g) - 1 for g in groups)
+    for other, latin in pii.LOOK_ALIKES.items():
+        text = f"mail j{other}n@example.com or {other}{other}@example.org"
+        base, more = pii.spans_of(text, {})
+        assert [text[a:b] for a, b in more["email"]] == [f"j{other}n@example.com", f"{other}{other}@example.org"], (other, latin)
+
+
 def test_personal_data_of_a_table(spark):
     frame = docs_of(spark, ["a@b.c 1.2.3.4", "x (at) y (dot) de", None]).withColumn("spans", F.lit(1))
     rows = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.personal_data(frame).collect()}
@@ -83,6 +97,7 @@ def test_signs_of_mixed_forms(found):
 
 @pytest.mark.parametrize("text,found", [
     ("we are at this point in time", []), ("look at example.com now", []), ("nous sommes au point de", []),
+    ("look at google dot com", []), ("write to us at example dot com", []), ("more is at example [dot] com", []),
     ("write to john@example.co dot uk", ["john@example.co dot uk"]), ("à jean@exemple.fr point final", [])])
 def test_words_that_are_no_signs(text, found):
     _, more = pii.spans_of(text, {})
