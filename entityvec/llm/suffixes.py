@@ -28,6 +28,10 @@ from entityvec.llm.arrays import GOLDEN, chunks, mix64, text_bytes
 WIDTH, ANCHOR = 50, 32
 #: Bytes of text in a block; a longer document is in a block with few others.
 BLOCK_BYTES = 8 << 20
+#: Blocks of text for each bucket. A block sends at most one message to a bucket, and none without an anchor in it.
+BUCKET_BLOCKS = 4
+#: Suffixes that are compared at once; all of one anchor, if it has more.
+COMPARED = 1 << 16
 #: Splitters at most; finer buckets are cut by the hash of the anchor.
 SPLITTERS = 4096
 SAMPLED_DOCS, SAMPLED_EACH = 8192, 32
@@ -100,8 +104,11 @@ class _Block:
         self.shared = low < high
 
     def cuts(self, buckets: int) -> np.ndarray:
-        edges = (np.arange(buckets + 1, dtype=object) * (1 << 48) + buckets - 1) // buckets
-        return np.searchsorted(self.short, np.array([int(e) for e in edges[:-1]], np.uint64)).tolist() + [len(self.short)]
+        """Places in ``short`` where equal ranges of hashes begin, and its end."""
+        i = np.arange(buckets, dtype=np.uint64)
+        each, rest = (np.uint64(x) for x in divmod(1 << 48, buckets))
+        edges = i * each + (i * rest + np.uint64(buckets - 1)) // np.uint64(buckets)
+        return np.append(np.searchsorted(self.short, edges), len(self.short))
 
     def suffixes(self, masks: dict[int, bytes], buckets: int):
         """Distinct suffixes with the bytes around them, and the occurrences of each."""
@@ -184,40 +191,51 @@ def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(fresh) - 1
 
 
-def least_owner(full: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """(rows, reach + 1): least doc of the string that starts ``o`` bytes before each anchor.
-
-    LAST where the row has no such string.
-    """
-    reach = width - ANCHOR
-    back = np.arange(reach + 1)
-    there = (full[:, -2, None] >= back) & (full[:, -1, None] >= reach - back)
-    out = np.where(there, doc[:, None], LAST)
-    symbols = np.ascontiguousarray(full[:, reach:reach + ANCHOR]).view(">u8").astype(np.uint64)
-    order, group = multikey_order(symbols)
-    size = np.bincount(group)
-    many = size[group] > 1
-    rows, group = order[many], group[many]
-    if not len(rows):
-        return out
+def _mark_owners(out: np.ndarray, full: np.ndarray, rank: np.ndarray, rows: np.ndarray, group: np.ndarray) -> None:
+    """Fill ``out[rows]`` with the least rank of each string; ``group`` tells anchors apart."""
+    reach = out.shape[1] - 1
     left, right = full[rows, -2].astype(np.int64), full[rows, -1].astype(np.int64)
     sides = []
     for have, step in ((left, -1), (right, 1)):
-        ids = [group]
+        ids = [(group - group[0]).astype(np.int32)]
         for n in range(1, reach + 1):
             byte = full[rows, reach - n if step < 0 else reach + ANCHOR + n - 1].astype(np.int64)
             # Rows that end here are told apart from a byte of value 0.
-            _, dense = np.unique(ids[-1] * 512 + np.where(have >= n, byte, 256), return_inverse=True)
-            ids.append(dense)
+            _, dense = np.unique(ids[-1] * np.int64(512) + np.where(have >= n, byte, 256), return_inverse=True)
+            ids.append(dense.astype(np.int32))
         sides.append(ids)
     for o in range(reach + 1):
         ok = np.flatnonzero((left >= o) & (right >= reach - o))
         if not len(ok):
             continue
-        _, same = np.unique(sides[0][o][ok] * len(rows) + sides[1][reach - o][ok], return_inverse=True)
-        low = np.full(same.max() + 1, LAST)
-        np.minimum.at(low, same, doc[rows[ok]])
+        _, same = np.unique(sides[0][o][ok] * np.int64(len(rows)) + sides[1][reach - o][ok], return_inverse=True)
+        low = np.full(same.max() + 1, np.iinfo(np.int32).max, np.int32)
+        np.minimum.at(low, same, rank[rows[ok]])
         out[rows[ok], o] = low[same]
+
+
+def least_owner(full: np.ndarray, rank: np.ndarray, none: int, width: int, compared: int = COMPARED) -> np.ndarray:
+    """(rows, reach + 1): least rank of the documents with the string that starts ``o`` bytes before each anchor.
+
+    ``none`` where the row has no such string. Anchors are taken together up to ``compared`` rows.
+    """
+    reach = width - ANCHOR
+    back = np.arange(reach + 1)
+    there = (full[:, -2, None] >= back) & (full[:, -1, None] >= reach - back)
+    out = np.where(there, rank[:, None].astype(np.int32), np.int32(none))
+    symbols = np.ascontiguousarray(full[:, reach:reach + ANCHOR]).view(">u8").astype(np.uint64)
+    order, group = multikey_order(symbols)
+    many = np.bincount(group)[group] > 1
+    rows, group = order[many], group[many]
+    if not len(rows):
+        return out
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(rows)]])
+    at = 0
+    while at < len(edges) - 1:
+        end = max(at + 1, int(np.searchsorted(edges, edges[at] + compared, side="right")) - 1)
+        tile = slice(edges[at], edges[end])
+        _mark_owners(out, full, rank, rows[tile], group[tile])
+        at = end
     return out
 
 
@@ -228,22 +246,25 @@ def _senders(width: int, buckets: int, splitters: np.ndarray, finer: int):
         block = table.column("block")[0].as_py()
         own = _Block(table, width)
         cuts = own.cuts(buckets)
-        parts = [(b, own.short[cuts[b]:cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        parts = [(int(b), own.short[cuts[b]:cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts))]
         deltas = [np.diff(x, prepend=np.uint64(0)) for _, x in parts]
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int64()),
                          "block": pa.array([block] * len(parts), pa.int64()),
                          "payload": pa.array([_packed(d) for d in deltas], pa.binary())})
 
     def match_hashes(table: pa.Table) -> pa.Table:
-        found = [np.cumsum(_unpacked(p.as_py(), np.uint64)) for p in table.column("payload")]
-        every = np.sort(np.concatenate(found))
+        sent = table.column("payload")
+        every = np.concatenate([np.cumsum(_unpacked(p.as_py(), np.uint64)) for p in sent])
+        every.sort()
         twice = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
         masks = []
-        for own in found:
+        # Unpacked again one by one, so that a bucket's hashes are held once.
+        for own in (np.cumsum(_unpacked(p.as_py(), np.uint64)) for p in sent):
             at = np.searchsorted(twice, own)
             masks.append(np.packbits(twice[np.minimum(at, len(twice) - 1)] == own).tobytes() if len(twice)
                          else bytes(-(-len(own) // 8)))
-        return pa.table({"block": table.column("block"), "kind": pa.array([0] * len(found), pa.int32()),
+        return pa.table({"block": table.column("block"), "kind": pa.array([0] * len(sent), pa.int32()),
                          "bucket": table.column("bucket"), "payload": pa.array(masks, pa.binary())})
 
     def masks_of(table: pa.Table) -> dict[int, bytes]:
@@ -269,11 +290,13 @@ def _senders(width: int, buckets: int, splitters: np.ndarray, finer: int):
     def match_suffixes(table: pa.Table) -> pa.Table:
         full = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8).reshape(-1, ANCHOR + 2 * reach + 2)
                 for x in table.column("suffixes")]
-        docs = np.concatenate([_unpacked(x.as_py(), np.int64) for x in table.column("docs")])
-        low = least_owner(np.concatenate(full), docs, width)
-        ends = np.cumsum([len(x) for x in full])
-        answers = [zstandard.ZstdCompressor(level=1).compress(low[e - len(x):e].tobytes()) for e, x in zip(ends, full)]
-        return pa.table({"block": table.column("block"), "kind": pa.array([1] * len(full), pa.int32()),
+        ends = np.cumsum([0] + [len(x) for x in full])
+        full = np.concatenate(full)
+        docs, rank = np.unique(np.concatenate([_unpacked(x.as_py(), np.int64) for x in table.column("docs")]), return_inverse=True)
+        low = least_owner(full, rank, len(docs), width)
+        docs = np.append(docs, LAST)
+        answers = [zstandard.ZstdCompressor(level=1).compress(docs[low[a:b]].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+        return pa.table({"block": table.column("block"), "kind": pa.array([1] * len(answers), pa.int32()),
                          "bucket": table.column("bucket"), "payload": pa.array(answers, pa.binary())})
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -283,9 +306,11 @@ def _senders(width: int, buckets: int, splitters: np.ndarray, finer: int):
         if len(full):
             low = np.full((len(full), reach + 1), LAST)
             goal = _bucket_of(full, hashes, splitters, finer, reach)
+            order = np.argsort(goal, kind="stable")
+            goal = goal[order]
             for k, b, p in zip(answers.column("kind"), answers.column("bucket"), answers.column("payload")):
                 if k.as_py() == 1:
-                    low[goal == b.as_py()] = np.frombuffer(
+                    low[order[slice(*np.searchsorted(goal, [b.as_py(), b.as_py() + 1]))]] = np.frombuffer(
                         zstandard.ZstdDecompressor().decompress(p.as_py()), np.int64).reshape(-1, reach + 1)
             for o in range(reach + 1):
                 start = at[low[of, o] < own.order[row]] - o
@@ -345,7 +370,7 @@ def _splitters(docs: DataFrame, rows: int, ranges: int, width: int) -> np.ndarra
 
 
 def cut_repetitions(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES,
-                    texts: bool = False) -> DataFrame:
+                    texts: bool = False, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text).
 
     A byte of the UTF-8 text is removed if a string of ``width`` bytes covers it that also
@@ -355,15 +380,20 @@ def cut_repetitions(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOC
     Null and empty texts have no bytes; texts of fewer than ``width`` bytes keep all. A null
     doc_id counts as larger than any other, and rows of one doc_id (or of none) take nothing from each
     other. Empty tables give no rows; other columns are not read. ``width`` is at least 33.
+
+    A block is ``block_bytes`` of text, a bucket the anchors of ``bucket_blocks`` blocks. All different surroundings
+    of one anchor meet in one task, so a string that a very large number of texts continue in different ways makes that task long.
+    A very long text is in one block, with arrays of some 50 times its bytes.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    buckets = max(1, -(-int(size or 0) // block_bytes))
+    count = max(1, -(-int(size or 0) // block_bytes))
+    buckets = -(-count // bucket_blocks)
     ranges = min(buckets, SPLITTERS)
     splitters = _splitters(docs, rows, ranges, width)
     finer = -(-buckets // ranges)
     send_hashes, match_hashes, send_suffixes, match_suffixes, cut, cut_digest = _senders(width, buckets, splitters, finer)
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
     answer = "block bigint, kind int, bucket bigint, payload binary"
     masks = (blocks.groupBy("block").applyInArrow(send_hashes, "bucket bigint, block bigint, payload binary")
              .groupBy("bucket").applyInArrow(match_hashes, answer))
