@@ -28,7 +28,7 @@ from entityvec.llm.arrays import GOLDEN, chunks, mix64, text_bytes
 WIDTH, ANCHOR = 50, 32
 #: Bytes of text in a block; a longer document is in a block with few others.
 BLOCK_BYTES = 8 << 20
-#: Blocks of text for each bucket. A block sends at most one message to a bucket, and none without an anchor in it.
+#: Blocks of text for each bucket of hashes; buckets of suffixes are half as large. A block sends at most one message to a bucket, and none without an anchor in it.
 BUCKET_BLOCKS = 4
 #: Suffixes that are compared at once; all of one anchor, if it has more.
 COMPARED = 1 << 16
@@ -194,12 +194,15 @@ def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _mark_owners(out: np.ndarray, full: np.ndarray, rank: np.ndarray, rows: np.ndarray, group: np.ndarray) -> None:
     """Fill ``out[rows]`` with the least rank of each string; ``group`` tells anchors apart."""
     reach = out.shape[1] - 1
-    left, right = full[rows, -2].astype(np.int64), full[rows, -1].astype(np.int64)
+    # Column by column in memory, as the rows of a tile lie far apart.
+    near, own = np.ascontiguousarray(full[rows].T), rank[rows]
+    found = out[rows]
+    left, right = near[-2].astype(np.int64), near[-1].astype(np.int64)
     sides = []
     for have, step in ((left, -1), (right, 1)):
         ids = [(group - group[0]).astype(np.int32)]
         for n in range(1, reach + 1):
-            byte = full[rows, reach - n if step < 0 else reach + ANCHOR + n - 1].astype(np.int64)
+            byte = near[reach - n if step < 0 else reach + ANCHOR + n - 1].astype(np.int64)
             # Rows that end here are told apart from a byte of value 0.
             _, dense = np.unique(ids[-1] * np.int64(512) + np.where(have >= n, byte, 256), return_inverse=True)
             ids.append(dense.astype(np.int32))
@@ -210,8 +213,9 @@ def _mark_owners(out: np.ndarray, full: np.ndarray, rank: np.ndarray, rows: np.n
             continue
         _, same = np.unique(sides[0][o][ok] * np.int64(len(rows)) + sides[1][reach - o][ok], return_inverse=True)
         low = np.full(same.max() + 1, np.iinfo(np.int32).max, np.int32)
-        np.minimum.at(low, same, rank[rows[ok]])
-        out[rows[ok], o] = low[same]
+        np.minimum.at(low, same, own[ok])
+        found[ok, o] = low[same]
+    out[rows] = found
 
 
 def least_owner(full: np.ndarray, rank: np.ndarray, none: int, width: int, compared: int = COMPARED) -> np.ndarray:
@@ -381,7 +385,7 @@ def cut_repetitions(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOC
     doc_id counts as larger than any other, and rows of one doc_id (or of none) take nothing from each
     other. Empty tables give no rows; other columns are not read. ``width`` is at least 33.
 
-    A block is ``block_bytes`` of text, a bucket the anchors of ``bucket_blocks`` blocks. All different surroundings
+    A block is ``block_bytes`` of text, a bucket the hashes of ``bucket_blocks`` blocks or the suffixes of half as many. All different surroundings
     of one anchor meet in one task, so a string that a very large number of texts continue in different ways makes that task long.
     A very long text is in one block, with arrays of some 50 times its bytes.
     """
@@ -389,9 +393,10 @@ def cut_repetitions(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOC
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     count = max(1, -(-int(size or 0) // block_bytes))
     buckets = -(-count // bucket_blocks)
-    ranges = min(buckets, SPLITTERS)
+    sorted_in = min(count, 2 * buckets)
+    ranges = min(sorted_in, SPLITTERS)
     splitters = _splitters(docs, rows, ranges, width)
-    finer = -(-buckets // ranges)
+    finer = -(-sorted_in // ranges)
     send_hashes, match_hashes, send_suffixes, match_suffixes, cut, cut_digest = _senders(width, buckets, splitters, finer)
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
     answer = "block bigint, kind int, bucket bigint, payload binary"
