@@ -10,7 +10,8 @@ from entityvec.functions.joins import sent_if_small
 from entityvec.functions.scratch import scratch_dir, written
 from entityvec.llm.decontaminate import _LOWER, _UPPER
 
-#: Keyed state lives in RocksDB on the executors' disks, with its changes in the checkpoint folder.
+#: Keyed state lives in RocksDB on the executors' disks, with its changes in the checkpoint folder. A partition of it is
+#: closed when its task commits, so an executor holds the native memory of the partitions that it works on, not of all.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -18,6 +19,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Input of one micro-batch: a few files for each core of a large cluster.
 BATCH_BYTES = str(512 << 30)
